@@ -26,7 +26,7 @@ PROCEDURAL_TERMS = ("therapy", "surgery", "MRI", "replacement", "treatment", "re
 
 def strip_space(text: Column) -> Column:
     """Remove leading and trailing whitespace, Unicode spaces included."""
-    return F.regexp_replace(text, f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$", "")
+    return F.regexp_replace(text, f"^[{SPACE_CHARS}]++|(?<![{SPACE_CHARS}])[{SPACE_CHARS}]++$", "")
 
 
 def word_count(text: Column) -> Column:
@@ -116,7 +116,8 @@ def parse_classification(reply: Column) -> Column:
 
 def parse_query_list(reply: Column) -> Column:
     """Items of a list literal of quoted strings, in order."""
-    quoted = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
+    # Possessive loops keep the matcher from descending once per character of a long item.
+    quoted = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
     items = F.regexp_extract_all(reply, F.lit(quoted), F.lit(0))
     return F.transform(
         items,
@@ -126,7 +127,8 @@ def parse_query_list(reply: Column) -> Column:
 
 def has_procedural_term(query: Column, terms: Sequence[str] = PROCEDURAL_TERMS) -> Column:
     """Whether a query names a procedure, matched as whole words without regard to case."""
-    return query.rlike(r"(?i)\b(" + "|".join(terms) + r")\b")
+    letter = r"[\p{L}\p{N}_]"
+    return query.rlike(f"(?i)(?<!{letter})({'|'.join(terms)})(?!{letter})")
 
 
 def next_status(succeeded: Column, attempts: Column, max_attempts: int = 3) -> Column:

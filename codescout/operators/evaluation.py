@@ -154,11 +154,9 @@ def cv_threshold(
     """
     placed = queries.join(assign_folds(queries, folds, seed), "query")
     counts = score_counts(placed, codes, truth, fold="fold", **limits)
-    other_folds = F.filter(
-        F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f.cast("int") != F.col("fold")
-    )
+    other_folds = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
     training = (
-        counts.select(F.explode(other_folds).cast("int").alias("held_out"), "score", "n", "hits")
+        counts.select(F.explode(other_folds).alias("held_out"), "score", "n", "hits")
         .groupBy(F.col("held_out").alias("fold"), "score")
         .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     )

@@ -182,9 +182,13 @@ def _pick(hard: Column, easy: Column, num: int) -> Column:
     """Half hard and the rest easy, each drawn in random order; nothing is refilled."""
     some_hard = F.slice(F.array_sort(hard), 1, num // 2) if num >= 2 else F.slice(hard, 1, 0)
     some_easy = F.slice(F.array_sort(easy), F.lit(1), F.lit(num) - F.size(some_hard))
-    return F.concat(
-        F.transform(some_hard, lambda m: F.struct(m["code"].alias("code"), F.lit("hard").alias("kind"), m["similarity"].alias("similarity"))),
-        F.transform(some_easy, lambda m: F.struct(m["code"].alias("code"), F.lit("easy").alias("kind"), m["similarity"].alias("similarity"))),
+    return F.concat(_as_picks(some_hard, "hard"), _as_picks(some_easy, "easy"))
+
+
+def _as_picks(items: Column, kind: str) -> Column:
+    return F.transform(
+        items,
+        lambda m: F.struct(m["code"].alias("code"), F.lit(kind).alias("kind"), m["similarity"].alias("similarity")),
     )
 
 
@@ -211,8 +215,9 @@ def mine_negatives_topk(
     if pool_size < num + longest:
         # The pool is shorter than a few positives lists, so it fits a literal.
         every = F.array(*[F.lit(row.code) for row in codes.orderBy("code").collect()])
-        left_over = F.array_except(every, F.col("positives")) if pool_size else F.col("positives").cast("array<string>")
-        rest = queries.withColumn("_rest", left_over)
+        rest = queries.withColumn(
+            "_rest", F.array_except(every, "positives") if pool_size else F.slice("positives", 1, 0)
+        )
         scarce = rest.filter(F.size("_rest") < num).select(
             "query",
             F.explode("_rest").alias("code"),
@@ -221,18 +226,12 @@ def mine_negatives_topk(
         )
         asked = rest.filter(F.size("_rest") >= num).drop("_rest")
     near = top_k_codes(asked, pool, 10 * num, exclude="positives", **limits)
-    return _with_quotas(near, num, percentile, None, seed, scarce)
-
-
-def _with_quotas(
-    near: DataFrame, num: int, low: float, high: float | None, seed: int, scarce: DataFrame | None
-) -> DataFrame:
     chance = pair_draw(draw_number(seed, F.col("query")), draw_number(seed, F.col("code")))
     lists = near.groupBy("query").agg(
         F.collect_list(F.struct(chance.alias("draw"), F.col("code"), F.col("similarity"))).alias("_near")
     )
     ascending = F.array_sort(F.transform("_near", lambda m: m["similarity"]))
-    cut = lists.withColumn("_cut", _percentile(ascending, low))
+    cut = lists.withColumn("_cut", _percentile(ascending, percentile))
     hard = F.filter("_near", lambda m: m["similarity"] >= F.col("_cut"))
     easy = F.filter("_near", lambda m: m["similarity"] < F.col("_cut"))
     picked = cut.select("query", F.inline(_pick(hard, easy, num)))
@@ -310,14 +309,12 @@ def mine_negatives_band(
     lists = parts.groupBy("query").agg(
         F.collect_list(F.struct("draw", "code", "similarity", "kind")).alias("_near")
     )
-    of = {
-        kind: F.filter("_near", lambda m, kind=kind: m["kind"] == kind) for kind in ("hard", "easy", "all")
-    }
-    everything = F.transform(
-        of["all"],
-        lambda m: F.struct(m["code"].alias("code"), F.lit("all").alias("kind"), m["similarity"].alias("similarity")),
-    )
-    return lists.select("query", F.inline(F.concat(_pick(of["hard"], of["easy"], num), everything)))
+
+    def of(kind: str) -> Column:
+        return F.filter("_near", lambda m: m["kind"] == kind)
+
+    chosen = F.concat(_pick(of("hard"), of("easy"), num), _as_picks(of("all"), "all"))
+    return lists.select("query", F.inline(chosen))
 
 
 def negative_candidates(queries: DataFrame, pool: DataFrame) -> DataFrame:
