@@ -129,7 +129,7 @@ def latency_histogram(
     limits = runs.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     placed = runs.join(limits, list(keys))
     share = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
-    place = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(bins // 2))
+    place = F.least(F.coalesce(F.floor(share * bins), F.lit(bins // 2)), F.lit(bins - 1))
     counted = (
         placed.withColumn("bin", place.cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     )
