@@ -30,8 +30,13 @@ def strip_space(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words; null and empty text count 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE_CHARS}]+")), F.lit(0))
+    """Number of whitespace-separated words; null and empty text count 0.
+
+    A plain letter is told from a space by one range check; the full list of spaces is
+    only looked through for other characters.
+    """
+    word = f"[^[^!-~]&&[{SPACE_CHARS}]]+"
+    return F.coalesce(F.regexp_count(text, F.lit(word)), F.lit(0))
 
 
 def triplet_word_length(*texts: Column) -> Column:

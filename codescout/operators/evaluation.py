@@ -80,7 +80,10 @@ def score_counts(
         of_row = left.columns["fold"].to_numpy(zero_copy_only=False)
         out_fold, out_score, out_n = [], [], []
         for value in np.unique(of_row):
-            found, n = np.unique(scores[of_row == value], return_counts=True)
+            counts = np.bincount((scores[of_row == value] + blocks.MICRO).ravel())
+            found = np.flatnonzero(counts)
+            n = counts[found]
+            found = found - blocks.MICRO
             out_fold.append(np.full(len(found), value, dtype=np.int32))
             out_score.append(found)
             out_n.append(n)

@@ -378,12 +378,22 @@ def triplet_embeddings(triplets: DataFrame, embeddings: DataFrame, key: str = "k
     return out
 
 
-def triplet_accuracy(triplets: DataFrame, embeddings: DataFrame, key: str = "key", vector: str = "embedding") -> DataFrame:
+def triplet_accuracy(
+    triplets: DataFrame,
+    embeddings: DataFrame,
+    key: str = "key",
+    vector: str = "embedding",
+    first: int | None = None,
+) -> DataFrame:
     """Share of triplets whose positive is nearer to the anchor than the negative.
 
     Distinct (anchor, other) pairs are scored once: the list form of triplets repeats
-    each positive with every negative and the other way round.
+    each positive with every negative and the other way round. ``first`` restricts the
+    report to that many triplets in the order of their texts. The triplets are read
+    twice, so they should be a stored table.
     """
+    if first is not None:
+        triplets = triplets.orderBy("anchor", "positives", "negatives").limit(first)
     table = embeddings.select(key, vector)
     anchors = table.select(F.col(key).alias("anchor"), F.col(vector).alias("_a"))
     others = table.select(F.col(key).alias("other"), F.col(vector).alias("_b"))

@@ -7,10 +7,13 @@ before it, so even one group that holds everything is spread over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codescout.session import materialise
 
@@ -24,36 +27,94 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` per group in the given order.
 
-    The order must be total inside a group for a reproducible result.
+    The order must be total inside a group for a reproducible result. One range
+    shuffle is all: rows are summed in their sorted range, and since groups lie next
+    to each other, only the first group of a range can have begun earlier. The offsets
+    are therefore one row per range and are broadcast.
     """
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = {name: f"_part_{name}" for name in sums}
-    ranged = df
-    for name, column in sums.items():
-        ranged = ranged.withColumn(parts[name], column)
-    # Sampled range bounds may differ between two evaluations, so they are frozen here.
-    ranged = materialise(
-        ranged.repartitionByRange(partitions, *[F.col(g) for g in group], *order).withColumn(
-            "_range", F.spark_partition_id()
+    group, names = list(group), list(sums)
+    columns = df.columns
+    valued = df.select("*", *[F.coalesce(c, F.lit(0)).alias(name) for name, c in sums.items()])
+    kinds = {n: T.DoubleType() if _fractional(valued.schema[n].dataType) else T.LongType() for n in names}
+    valued = valued.select(*columns, *[F.col(n).cast(kinds[n]).alias(n) for n in names])
+    keys = [F.col(g).asc() for g in group]
+    ranged = (
+        valued.repartitionByRange(partitions, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_sum_range", F.spark_partition_id())
+        .mapInArrow(
+            _sum_batches(group, names),
+            T.StructType(
+                [*valued.schema.fields, T.StructField("_sum_range", T.IntegerType()), T.StructField("_sum_row", T.LongType())]
+            ),
         )
     )
-    inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range", *group).agg(*[F.sum(parts[n]).alias(f"_total_{n}") for n in sums])
-    offsets = totals.select(
-        F.col("_range").alias("_range_o"),
-        *[F.col(g).alias(f"{g}_o") for g in group],
-        *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in sums],
+    # Sampled range bounds may differ between two evaluations, so they are frozen here.
+    ranged = materialise(ranged)
+
+    held = F.struct(*(group or [F.lit(0).alias("_all")]))
+    edges = ranged.groupBy("_sum_range").agg(
+        F.min_by(held, "_sum_row").alias("_first"),
+        F.max_by(held, "_sum_row").alias("_last"),
+        *[F.max_by(n, "_sum_row").alias(f"_end_{n}") for n in names],
     )
-    matched = F.col("_range") == F.col("_range_o")
-    for g in group:
-        matched = matched & F.col(g).eqNullSafe(F.col(f"{g}_o"))
-    summed = ranged.select(
-        "*", *[F.sum(parts[n]).over(inside).alias(f"_inside_{n}") for n in sums]
-    ).join(offsets, matched)
-    return summed.select(
-        *df.columns, *[(F.col(f"_inside_{n}") + F.col(f"_offset_{n}")).alias(n) for n in sums]
+    none = [F.lit(0).cast(kinds[n]).alias(f"_end_{n}") for n in names]
+    ends = [f"_end_{n}" for n in names]
+    both = edges.select("_sum_range", F.col("_first").alias("_group"), F.lit(0).alias("_side"), *none).unionByName(
+        edges.select("_sum_range", F.col("_last").alias("_group"), F.lit(1).alias("_side"), *ends)
     )
+    # Within one range a group that is both first and last ends after it begins.
+    before = Window.partitionBy("_group").orderBy("_sum_range", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = both.select(
+        "_sum_range", "_group", "_side", *[F.sum(f"_end_{n}").over(before).alias(f"_offset_{n}") for n in names]
+    ).filter((F.col("_side") == 0) & F.col(f"_offset_{names[0]}").isNotNull())
+    joined = ranged.join(F.broadcast(offsets.drop("_side")), "_sum_range", "left")
+    carried = held.eqNullSafe(F.col("_group"))
+    return joined.select(
+        *columns,
+        *[(F.col(n) + F.when(carried, F.col(f"_offset_{n}")).otherwise(F.lit(0).cast(kinds[n]))).alias(n) for n in names],
+    )
+
+
+def _fractional(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
+
+
+def _sum_batches(group: list[str], names: list[str]):
+    """Running sums over the sorted rows of one range, begun anew with each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, carried, seen = None, {}, 0
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            begins = np.zeros(size, dtype=bool)
+            for name in group:
+                codes = batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                begins[1:] |= codes[1:] != codes[:-1]
+            key = tuple(batch.column(name)[0].as_py() for name in group)
+            fresh = key != last_key
+            begins[0] = True
+            start = np.maximum.accumulate(np.where(begins, np.arange(size), 0))
+            head = size if not begins[1:].any() else int(np.argmax(begins[1:])) + 1
+            out = {}
+            for name in names:
+                values = batch.column(name).to_numpy(zero_copy_only=False)
+                total = np.cumsum(values)
+                running = total - (total - values)[start]
+                if not fresh:
+                    running[:head] += carried[name]
+                carried[name] = running[-1]
+                out[name] = pa.array(running)
+            last_key = tuple(batch.column(name)[size - 1].as_py() for name in group)
+            columns = [out.get(name, batch.column(name)) for name in batch.schema.names]
+            columns.append(pa.array(np.arange(seen, seen + size)))
+            seen += size
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_sum_row"])
+
+    return run
 
 
 def row_numbers(

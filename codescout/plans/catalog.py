@@ -165,6 +165,23 @@ def triplets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def line_triplets(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as short text triplets with many repeats; unreturned lines have a null."""
+    lines = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    return (
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            F.col("l_linestatus").alias("specialty"),
+            F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("anchor"),
+            F.concat_ws(" ", F.lit("sold by"), F.col("s_name")).alias("positives"),
+            F.when(F.col("l_returnflag") != "N", F.concat_ws(" ", F.lit("flag"), F.col("l_returnflag"))).alias("negatives"),
+        )
+    )
+
+
 def turn_triplets(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of conversations with the next turn as positive; the last one has a null."""
     turns = table(spark, folder, "conversations")
@@ -249,6 +266,10 @@ VIEWS = {
         SELECT d.doc_id, source AS specialty, text AS anchor, lang AS positives,
                'quality ' || quality::VARCHAR || ' toxic ' || toxic::VARCHAR AS negatives
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "line_trip": """
+        SELECT l_linestatus AS specialty, p_name || ' ' || p_type || ' ' || p_brand AS anchor, 'sold by ' || s_name AS positives,
+               CASE WHEN l_returnflag <> 'N' THEN 'flag ' || l_returnflag END AS negatives
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
     "turns": """
         SELECT a.role AS specialty, a.text AS anchor, b.text AS positives, a.role AS negatives
         FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",

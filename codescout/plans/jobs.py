@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from codescout.operators import diversity, evaluation, labels, latency, mining, retrieval, sampling
 from codescout.operators.embed import Encoder, embed_texts
+from codescout.session import materialise
 
 
 def query_to_code_mapping(
     queries: DataFrame, reference: DataFrame, make_encoder: Callable[[], Encoder], k: int = 10
 ) -> DataFrame:
-    """Embed queries and code descriptions, match them, and list the codes per query."""
+    """Embed queries and code descriptions, match them, and list the codes per query.
+
+    The code vectors are measured before they are matched, so they are stored once.
+    """
     embedded = embed_texts(queries.select("specialty", "query").distinct(), "query", make_encoder)
-    described = embed_texts(reference.select("code", "description"), "description", make_encoder)
+    described = materialise(embed_texts(reference.select("code", "description"), "description", make_encoder))
     matches = retrieval.top_k_codes(embedded, described, k, query_keys=("specialty", "query"))
     return retrieval.codes_per_query(matches)
 
@@ -51,7 +55,7 @@ def training_set(
 ) -> tuple[DataFrame, DataFrame]:
     """Clean flat triplets mined from labelled queries, and their cosine accuracy."""
     rows = mining.explode_triplets(mining.build_triplets(queries, pool, top_k, num, seed))
-    clean = sampling.prepare_split(rows)
+    clean = materialise(sampling.prepare_split(rows))
     vectors = queries.select(F.col("query").alias("key"), "embedding").unionByName(
         pool.select(F.col("code").alias("key"), "embedding")
     )

@@ -73,6 +73,16 @@ def triplet_lengths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def line_triplet_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    texts = [F.col(c) for c in sampling.TRIPLET]
+    rows = catalog.line_triplets(spark, folder).select("specialty", text.triplet_length(*texts).alias("longest"))
+    return rows.groupBy("specialty", "longest").agg(F.count("*").alias("n"))
+
+
+def clean_line_triplets(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.prepare_split(catalog.line_triplets(spark, folder))
+
+
 def keyword_codes(spark: SparkSession, folder: str) -> DataFrame:
     queries = _documents(spark, folder).select(F.col("text").alias("query"), F.col("lang").alias("specialty"), "doc_id")
     default = F.concat(F.lit("Z-"), F.col("specialty"))
@@ -444,7 +454,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_family, keyed_specialty, file_safe_specialty, parsed_code_lists, instruction_anchors, word_counts,
-        token_length_map, triplet_lengths, keyword_codes, closest_labels, validated_labels, relevance_labels,
+        token_length_map, triplet_lengths, line_triplet_lengths, clean_line_triplets, keyword_codes, closest_labels, validated_labels, relevance_labels,
         classifications, top_labels, query_list_items, procedural_terms, next_status, llm_requests, valid_codes,
         code_descriptions, code_description_sets, description_codes, pending_items, remaining_codes,
         queries_by_specialty, merged_label_list, consolidated_labels, consolidation_summary, empty_queries,
@@ -559,6 +569,12 @@ SQL = {
     "triplet_lengths": with_views("trip", f"""
         SELECT doc_id, {_words('anchor')} + {_words('positives')} + {_words('negatives')} AS word_length,
                greatest({_words('anchor')}, {_words('positives')}, {_words('negatives')}) AS longest FROM trip"""),
+    "line_triplet_lengths": with_views("line_trip", f"""
+        SELECT specialty, greatest({_words('anchor')}, {_words('positives')}, {_words('negatives')}) AS longest, count(*) AS n
+        FROM line_trip GROUP BY ALL"""),
+    "clean_line_triplets": with_views("line_trip", """
+        SELECT DISTINCT anchor, positives, negatives FROM line_trip
+        WHERE specialty IS NOT NULL AND anchor IS NOT NULL AND positives IS NOT NULL AND negatives IS NOT NULL"""),
     "keyword_codes": f"""
         WITH words AS (SELECT * FROM (VALUES {_KEYWORD_TABLE}) t(word, codes)),
         latest AS (SELECT text, arg_max(lang, doc_id) AS lang FROM documents GROUP BY text),

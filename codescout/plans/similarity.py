@@ -11,6 +11,7 @@ from codescout.operators import diversity, evaluation, mining, retrieval
 from codescout.operators.embed import embed_texts, hashing_encoder
 from codescout.plans import catalog
 from codescout.plans.catalog import with_views
+from codescout.session import materialise
 
 THRESHOLD = 0.25
 NEGATIVES = 10
@@ -167,7 +168,7 @@ def triplet_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 def triplet_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     vectors = catalog.vectors(spark, folder).select(F.col("query").alias("key"), "embedding")
-    return mining.triplet_accuracy(triplet_rows(spark, folder), vectors)
+    return mining.triplet_accuracy(materialise(triplet_rows(spark, folder)), vectors)
 
 
 def optimal_threshold(spark: SparkSession, folder: str) -> DataFrame:
