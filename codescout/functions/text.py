@@ -13,6 +13,8 @@ SPACE_CHARS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
+
 # The text formats that downstream encoders were trained with.
 INSTRUCTION_HEAD = "Instruct: Given a medical query in the field of "
 INSTRUCTION_MIDDLE = ", retrieve the relevant ICD description\nQuery: "
@@ -26,7 +28,7 @@ PROCEDURAL_TERMS = ("therapy", "surgery", "MRI", "replacement", "treatment", "re
 
 def strip_space(text: Column) -> Column:
     """Remove leading and trailing whitespace, Unicode spaces included."""
-    return F.regexp_replace(text, f"^[{SPACE_CHARS}]++|(?<![{SPACE_CHARS}])[{SPACE_CHARS}]++$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def word_count(text: Column) -> Column:

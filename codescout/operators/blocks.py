@@ -126,7 +126,17 @@ def _width(df: DataFrame, vector: str) -> type:
     return np.float32 if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else np.float64
 
 
-Kernel = Callable[[Block, Block], Iterator[dict[str, pa.Array]] | dict[str, pa.Array]]
+Kernel = Callable[[Block, Block], dict[str, pa.Array]]
+
+
+class Total:
+    """What a task keeps over all its meetings and emits once at its end."""
+
+    def add(self, left: Block, right: Block) -> None:
+        raise NotImplementedError
+
+    def result(self) -> dict[str, pa.Array]:
+        raise NotImplementedError
 
 
 def meet(
@@ -135,13 +145,14 @@ def meet(
     left_keep: Sequence[str],
     right_keep: Sequence[str],
     vector: str,
-    kernel: Kernel,
+    kernel: Kernel | type[Total],
     schema: T.StructType,
     block_bytes: int = BLOCK_BYTES,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, int]:
     """Run ``kernel`` on every (left block, right block); returns rows and right blocks.
 
+    A kernel is a function of two blocks, or a :class:`Total` that sums up a task.
     With a single right block each left row meets all right rows in one call, so
     the kernel's result is final; otherwise the caller merges the parts.
     Right blocks are sorted by the first of ``right_keep``.
@@ -249,7 +260,7 @@ def run_kernel(
     right_keep: Sequence[str],
     left_kind: type,
     right_kind: type,
-    kernel: Kernel,
+    kernel: Kernel | type[Total],
     schema: T.StructType,
     same: Sequence[str] = (),
 ) -> DataFrame:
@@ -264,7 +275,10 @@ def run_kernel(
         data = np.frombuffer(cell("_matrix").as_buffer(), dtype=kind)
         return Block({name: cell(name).values for name in keep}, data.reshape(count, -1))
 
+    totals = isinstance(kernel, type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = kernel() if totals else None
         for batch in batches:
             for row in range(batch.num_rows):
                 left = decode(batch, row, "l_", left_keep, left_kind)
@@ -275,6 +289,9 @@ def run_kernel(
                     name: batch.column(batch.schema.get_field_index(name)).slice(row, 1) for name in same
                 }
                 for part in _slices(left, len(right)):
+                    if totals:
+                        total.add(part, right)
+                        continue
                     columns = dict(kernel(part, right))
                     size = len(next(iter(columns.values())))
                     if not size:
@@ -282,6 +299,9 @@ def run_kernel(
                     for name, value in scalars.items():
                         columns[name] = value.take(pa.array(np.zeros(size, dtype=np.int64)))
                     yield pa.RecordBatch.from_arrays([columns[name] for name in out_names], out_names)
+        if totals:
+            columns = total.result()
+            yield pa.RecordBatch.from_arrays([columns[name] for name in out_names], out_names)
 
     return pairs.mapInArrow(run, schema)
 

@@ -75,25 +75,32 @@ def score_counts(
         ]
     )
 
-    def kernel(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
-        scores = blocks.micro_cosines(left, right)
-        of_row = left.columns["fold"].to_numpy(zero_copy_only=False)
-        out_fold, out_score, out_n = [], [], []
-        for value in np.unique(of_row):
-            counts = np.bincount((scores[of_row == value] + blocks.MICRO).ravel())
-            found = np.flatnonzero(counts)
-            n = counts[found]
-            found = found - blocks.MICRO
-            out_fold.append(np.full(len(found), value, dtype=np.int32))
-            out_score.append(found)
-            out_n.append(n)
-        return {
-            "fold": pa.array(np.concatenate(out_fold)),
-            "score": pa.array(np.concatenate(out_score)),
-            "n": pa.array(np.concatenate(out_n).astype(np.int64)),
-        }
-
-    parts, _ = blocks.meet(keyed, codes, ["query", "fold"], ["code"], vector, kernel, schema, **limits)
+    class Counts(blocks.Total):
+        """Pairs per fold and score, counted over all blocks of a task."""
+
+        def __init__(self) -> None:
+            self.of_fold: dict[int, np.ndarray] = {}
+
+        def add(self, left: blocks.Block, right: blocks.Block) -> None:
+            scores = blocks.micro_cosines(left, right) + blocks.MICRO
+            folds = left.columns["fold"].to_numpy(zero_copy_only=False)
+            for value in np.unique(folds).tolist():
+                counts = np.bincount(scores[folds == value].ravel(), minlength=2 * blocks.MICRO + 1)
+                self.of_fold[value] = self.of_fold.get(value, 0) + counts
+
+        def result(self) -> dict[str, pa.Array]:
+            parts = [(value, np.flatnonzero(counts), counts) for value, counts in self.of_fold.items()]
+            none = [np.zeros(0, dtype=np.int64)]
+            found = np.concatenate([places for _, places, _ in parts] or none)
+            return {
+                "fold": pa.array(
+                    np.concatenate([np.full(len(places), value) for value, places, _ in parts] or none), pa.int32()
+                ),
+                "score": pa.array(found - blocks.MICRO),
+                "n": pa.array(np.concatenate([counts[places] for _, places, counts in parts] or none)),
+            }
+
+    parts, _ = blocks.meet(keyed, codes, ["query", "fold"], ["code"], vector, Counts, schema, **limits)
     first = codes.groupBy("code").agg(F.min_by(vector, "ord").alias("_code_vector"))
     relevant = (
         truth.select("query", "code")
@@ -114,13 +121,13 @@ def score_counts(
 
 def _best_threshold(counts: DataFrame) -> DataFrame:
     """Threshold of highest F1 per fold from (fold, score, n, hits)."""
-    totals = counts.groupBy("fold").agg(F.sum("hits").alias("_relevant"))
     summed = running_sums(
         counts.select("fold", "score", "n", "hits"),
         ["fold"],
         [F.col("score").desc()],
         {"_retrieved": F.col("n"), "_found": F.col("hits")},
     )
+    totals = summed.groupBy("fold").agg(F.max("_found").alias("_relevant"))
     f1 = F.round(2 * F.col("_found") / (F.col("_retrieved") + F.col("_relevant")), 9)
     return (
         summed.join(totals, "fold")

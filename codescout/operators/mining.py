@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codescout.functions.draws import MODULUS, MULTIPLIER, draw_number, pair_draw
+from codescout.functions.draws import draw_number, pair_draws
 from codescout.functions.vectors import cosine
 from codescout.operators import blocks
-from codescout.operators.retrieval import exclusion_mask, top_k_codes
+from codescout.operators.retrieval import exclusion_mask, nearest
 
 _LOWEST = -2 * blocks.MICRO
 
@@ -27,14 +27,6 @@ def trim_positives(df: DataFrame, k: int = 5, column: str = "positives") -> Data
 # --- percentiles of all candidates ---------------------------------------------------------
 
 
-def _percentile(values: Column, q: float) -> Column:
-    """Linear percentile of an ascending array."""
-    place = F.lit(q) * (F.size(values) - 1)
-    low = F.get(values, F.floor(place).cast("int"))
-    high = F.get(values, F.ceil(place).cast("int"))
-    return F.round(low + (high - low) * (place - F.floor(place)), 9)
-
-
 def similarity_percentiles(
     queries: DataFrame,
     pool: DataFrame,
@@ -178,18 +170,21 @@ def similarity_percentiles(
 # --- selection -------------------------------------------------------------------------------
 
 
-def _pick(hard: Column, easy: Column, num: int) -> Column:
-    """Half hard and the rest easy, each drawn in random order; nothing is refilled."""
-    some_hard = F.slice(F.array_sort(hard), 1, num // 2) if num >= 2 else F.slice(hard, 1, 0)
-    some_easy = F.slice(F.array_sort(easy), F.lit(1), F.lit(num) - F.size(some_hard))
-    return F.concat(_as_picks(some_hard, "hard"), _as_picks(some_easy, "easy"))
+def _with_quotas(rows: DataFrame, num: int) -> DataFrame:
+    """Up to half hard ones and the rest easy ones by draw; nothing is refilled.
 
-
-def _as_picks(items: Column, kind: str) -> Column:
-    return F.transform(
-        items,
-        lambda m: F.struct(m["code"].alias("code"), F.lit(kind).alias("kind"), m["similarity"].alias("similarity")),
+    ``rows`` is (query, code, kind, draw, similarity), bounded per query.
+    """
+    of_query = Window.partitionBy("query")
+    by_draw = Window.partitionBy("query", "kind").orderBy("draw", "code")
+    hard = F.least(F.count_if(F.col("kind") == "hard").over(of_query), F.lit(num // 2))
+    quota = (
+        F.when(F.col("kind") == "hard", F.lit(num // 2))
+        .when(F.col("kind") == "easy", F.lit(num) - F.col("_hard"))
+        .otherwise(F.lit(num))
     )
+    placed = rows.withColumn("_hard", hard).withColumn("_place", F.row_number().over(by_draw))
+    return placed.filter(F.col("_place") <= quota).select("query", "code", "kind", "similarity")
 
 
 def mine_negatives_topk(
@@ -225,16 +220,12 @@ def mine_negatives_topk(
             F.lit(None).cast("double").alias("similarity"),
         )
         asked = rest.filter(F.size("_rest") >= num).drop("_rest")
-    near = top_k_codes(asked, pool, 10 * num, exclude="positives", **limits)
-    chance = pair_draw(draw_number(seed, F.col("query")), draw_number(seed, F.col("code")))
-    lists = near.groupBy("query").agg(
-        F.collect_list(F.struct(chance.alias("draw"), F.col("code"), F.col("similarity"))).alias("_near")
-    )
-    ascending = F.array_sort(F.transform("_near", lambda m: m["similarity"]))
-    cut = lists.withColumn("_cut", _percentile(ascending, percentile))
-    hard = F.filter("_near", lambda m: m["similarity"] >= F.col("_cut"))
-    easy = F.filter("_near", lambda m: m["similarity"] < F.col("_cut"))
-    picked = cut.select("query", F.inline(_pick(hard, easy, num)))
+    drawn = asked.dropDuplicates(["query"]).withColumn("draw", draw_number(seed, F.col("query")))
+    drawn_pool = pool.withColumn("draw", draw_number(seed, F.col("code")))
+    near = nearest(drawn, drawn_pool, 10 * num, ["query"], "code", "embedding", "positives", "draw", **limits)
+    cut = F.round(F.percentile("similarity", percentile).over(Window.partitionBy("query")), 9)
+    kind = F.when(F.col("similarity") >= F.col("_cut"), "hard").otherwise("easy")
+    picked = _with_quotas(near.withColumn("_cut", cut).withColumn("kind", kind), num)
     return picked if scarce is None else picked.unionByName(scarce)
 
 
@@ -255,10 +246,10 @@ def mine_negatives_band(
     """
     cuts = similarity_percentiles(queries, pool, (low, high), **limits)
     marked = queries.dropDuplicates(["query"]).join(cuts, "query").withColumn(
-        "_draw", draw_number(seed, F.col("query"))
+        "draw", draw_number(seed, F.col("query"))
     )
-    drawn_pool = pool.withColumn("_draw", draw_number(seed, F.col("code")))
-    keep = ["query", "positives", "_draw", "candidates", f"p{low}", f"p{high}"]
+    drawn_pool = pool.withColumn("draw", draw_number(seed, F.col("code")))
+    keep = ["query", "positives", "draw", "candidates", f"p{low}", f"p{high}"]
     schema = T.StructType(
         [
             T.StructField("query", queries.schema["query"].dataType),
@@ -277,9 +268,8 @@ def mine_negatives_band(
         counts = left.columns["candidates"].to_numpy(zero_copy_only=False)
         bottom = left.columns[f"p{low}"].fill_null(0.0).to_numpy(zero_copy_only=False)[:, None]
         top = left.columns[f"p{high}"].fill_null(0.0).to_numpy(zero_copy_only=False)[:, None]
-        mine = left.columns["_draw"].to_numpy(zero_copy_only=False)[:, None]
-        other = right.columns["_draw"].to_numpy(zero_copy_only=False)[None, :]
-        draws = (mine ^ other) % MODULUS * MULTIPLIER % MODULUS
+        mine, other = (b.columns["draw"].to_numpy(zero_copy_only=False) for b in (left, right))
+        draws = pair_draws(mine[:, None], other[None, :])
         scarce = (counts < num)[:, None]
         kinds = {
             "all": (candidate & scarce, num),
@@ -305,16 +295,8 @@ def mine_negatives_band(
             "similarity": pa.array(similarity[rows, columns]),
         }
 
-    parts, _ = blocks.meet(marked, drawn_pool, keep, ["code", "_draw"], "embedding", kernel, schema, **limits)
-    lists = parts.groupBy("query").agg(
-        F.collect_list(F.struct("draw", "code", "similarity", "kind")).alias("_near")
-    )
-
-    def of(kind: str) -> Column:
-        return F.filter("_near", lambda m: m["kind"] == kind)
-
-    chosen = F.concat(_pick(of("hard"), of("easy"), num), _as_picks(of("all"), "all"))
-    return lists.select("query", F.inline(chosen))
+    parts, _ = blocks.meet(marked, drawn_pool, keep, ["code", "draw"], "embedding", kernel, schema, **limits)
+    return _with_quotas(parts, num)
 
 
 def negative_candidates(queries: DataFrame, pool: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codescout.functions.draws import pair_draws
 from codescout.operators import blocks
 
 
@@ -29,19 +30,39 @@ def top_k_codes(
     and equal ones are ranked by code. Fewer than k codes give all of them.
     ``exclude`` names an array column of codes a query must not be matched with.
     """
+    keys = list(query_keys)
+    left = queries.select(*keys, *([exclude] if exclude else []), vector).dropDuplicates(keys)
+    return nearest(left, codes, k, keys, code_key, vector, exclude, **limits)
+
+
+def nearest(
+    queries: DataFrame,
+    codes: DataFrame,
+    k: int,
+    keys: list[str],
+    code_key: str,
+    vector: str,
+    exclude: str | None = None,
+    chance: str | None = None,
+    **limits: int,
+) -> DataFrame:
+    """:func:`top_k_codes` over queries with unique keys.
+
+    ``chance`` names a column of draw numbers on both sides; the random order of each
+    pair then comes out in a column of that name.
+    """
     if k < 1:
         raise ValueError("k must be positive")
-    keep = list(query_keys) + ([exclude] if exclude else [])
-    left = queries.select(*keep, vector).dropDuplicates(list(query_keys))
+    keep = keys + ([exclude] if exclude else []) + ([chance] if chance else [])
     schema = T.StructType(
-        [T.StructField(name, queries.schema[name].dataType) for name in query_keys]
+        [T.StructField(name, queries.schema[name].dataType) for name in keys]
         + [
             T.StructField(code_key, codes.schema[code_key].dataType),
             T.StructField("similarity", T.DoubleType()),
             T.StructField("rank", T.IntegerType()),
         ]
+        + ([T.StructField(chance, T.LongType())] if chance else [])
     )
-    keys = list(query_keys)
 
     def kernel(left_block: blocks.Block, right_block: blocks.Block) -> dict[str, pa.Array]:
         scores = blocks.micro_cosines(left_block, right_block)
@@ -51,19 +72,22 @@ def top_k_codes(
         best = blocks.top_cells(scores, k)
         kept = np.take_along_axis(scores, best, axis=1)
         rows, places = np.nonzero(kept > -2 * blocks.MICRO)
+        columns = best[rows, places]
         out = {name: left_block.columns[name].take(pa.array(rows)) for name in keys}
-        out[code_key] = right_block.columns[code_key].take(pa.array(best[rows, places]))
+        out[code_key] = right_block.columns[code_key].take(pa.array(columns))
         out["similarity"] = pa.array(kept[rows, places] / blocks.MICRO)
         out["rank"] = pa.array((places + 1).astype(np.int32))
+        if chance:
+            mine, other = (b.columns[chance].to_numpy(zero_copy_only=False) for b in (left_block, right_block))
+            out[chance] = pa.array(pair_draws(mine[rows], other[columns]))
         return out
 
-    parts, n_blocks = blocks.meet(left, codes, keep, [code_key], vector, kernel, schema, **limits)
+    right_keep = [code_key] + ([chance] if chance else [])
+    parts, n_blocks = blocks.meet(queries, codes, keep, right_keep, vector, kernel, schema, **limits)
     if n_blocks == 1:
         return parts
-    best_first = Window.partitionBy(*query_keys).orderBy(F.desc("similarity"), F.asc(code_key))
-    return (
-        parts.drop("rank").withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
-    )
+    best_first = Window.partitionBy(*keys).orderBy(F.desc("similarity"), F.asc(code_key))
+    return parts.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
 def exclusion_mask(
