@@ -7,10 +7,12 @@ the whole DataFrame, with the same results.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -25,6 +27,7 @@ from codescout.session import materialise
 
 TASK_BYTES = 64 << 20
 CUT_EVERY = 8
+ROUND_PICKS = 4096
 
 
 def split_by_size(
@@ -83,7 +86,7 @@ def diverse_greedy(
             _greedy_in_task(threshold, max_queries, specialty, key, vector), schema
         )
     if large is not None:
-        large = _greedy_over_rounds(large, threshold, max_queries, specialty, key, vector)
+        large = _greedy_over_rounds(large, threshold, max_queries, specialty, key, vector, task_bytes)
     return _both(small, large)
 
 
@@ -113,55 +116,146 @@ def _greedy_in_task(
 
 
 def _greedy_over_rounds(
-    rows: DataFrame, threshold: float, max_queries: int | None, specialty: str, key: str, vector: str
+    rows: DataFrame,
+    threshold: float,
+    max_queries: int | None,
+    specialty: str,
+    key: str,
+    vector: str,
+    task_bytes: int,
 ) -> DataFrame:
-    """One round picks one query in every large specialty at once.
+    """The same choice for specialties too large for a task, all of them at once.
 
-    A pick is one row per specialty; the state (one number per remaining query) is
-    kept by Spark and its lineage is cut by reliable checkpoints.
+    Every round takes the queries of lowest similarity to the chosen ones, as many as
+    fit a task, and goes on choosing among them for as long as no query outside can
+    have become better: an outsider's sum falls by at most one per choice. The new
+    choices are then applied to all remaining queries in blocks. The state is one
+    number per query; reliable checkpoints cut its lineage.
     """
     limit = round(threshold * blocks.MICRO)
+    _, width = blocks.vector_stats(rows, vector)
+    pool = max(1, task_bytes // (2 * max(8, width)))
+    kind = np.float32 if isinstance(rows.schema[vector].dataType.elementType, T.FloatType) else np.float64
+
     # The cosine to the summed unit vectors orders rows like their mean similarity.
     totals = vector_sums(rows, [specialty], vector)
     mean = totals.groupBy(specialty).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda c: c["total"]).alias("_sum")
     )
-    start = rows.join(F.broadcast(mean), specialty).select(
-        specialty, key, vector, F.round(cosine(vector, "_sum"), 9).alias("_first")
+    start = rows.join(mean, specialty).withColumn("_first", F.round(cosine(vector, "_sum"), 9))
+    first = F.min_by(F.struct(key, vector), F.struct("_first", key)).alias("_pick")
+    picks = start.groupBy(specialty).agg(first).select(specialty, "_pick.*", F.lit(1).alias("place"))
+    picks = materialise(picks)
+    chosen = [picks.drop(vector)]
+
+    shares = rows.groupBy(specialty).agg(
+        F.ceil(F.count("*") / F.lit(8 * blocks.CHUNK_ROWS)).cast("int").alias("_shares")
     )
-    pick = materialise(
-        start.groupBy(specialty).agg(F.min_by(F.struct(key, vector), F.struct("_first", key)).alias("_pick"))
+    state = (
+        rows.join(shares, specialty)
+        .withColumn("_share", F.pmod(F.xxhash64(key), F.col("_shares")).cast("int"))
+        .repartition(specialty, "_share")
+        .sortWithinPartitions(specialty, "_share")
+        .select(specialty, key, vector, F.lit(0).cast("long").alias("_sum"))
     )
-    state = rows.withColumn("_sum", F.lit(0).cast("long"))
-    chosen = [pick]
+    state_schema = T.StructType([*state.schema.fields, T.StructField("_chosen", T.IntegerType())])
+    pick_schema = T.StructType([_type(rows, specialty), _type(rows, key), _type(rows, vector), T.StructField("place", T.IntegerType())])
+    choose = _greedy_in_pool(limit, max_queries, pool, specialty, key, vector)
     held: DataFrame | None = None
-    while max_queries is None or len(chosen) < max_queries:
-        similar = F.rint(cosine(F.col(vector), F.col("_pick")[vector]) * blocks.MICRO).cast("long")
-        state = (
-            state.join(F.broadcast(pick), specialty)
-            .withColumn("_similar", similar)
-            .filter((F.col("_similar") <= limit) & (F.col(key) != F.col("_pick")[key]))
-            .select(specialty, key, vector, (F.col("_sum") + F.col("_similar")).alias("_sum"))
+    rounds = 0
+    while max_queries is None or max_queries > 1:
+        rounds += 1
+        packed_picks = picks.groupBy(specialty).agg(
+            F.flatten(F.collect_list(vector)).alias("_picked"),
+            F.collect_list(key).alias("_names"),
+            F.max("place").alias("_chosen"),
         )
-        state = materialise(state) if len(chosen) % CUT_EVERY == 0 else state.persist()
-        pick = materialise(
-            state.groupBy(specialty).agg(F.min_by(F.struct(key, vector), F.struct("_sum", key)).alias("_pick"))
+        small = picks.count() * width <= blocks.BROADCAST_BYTES
+        packed = blocks.pack(state, [key, "_sum"], vector, blocks.CHUNK_ROWS, same=[specialty])
+        state = packed.join(F.broadcast(packed_picks) if small else packed_picks, specialty).mapInArrow(
+            _apply_picks(limit, max_queries, specialty, key, vector, kind), state_schema
         )
+        state = materialise(state) if rounds % CUT_EVERY == 0 else state.persist()
+        lowest = Window.partitionBy(specialty).orderBy("_sum", key)
+        ranked = state.withColumn("_rank", F.row_number().over(lowest)).filter(F.col("_rank") <= pool + 1)
+        picks = materialise(ranked.groupBy(specialty).applyInArrow(choose, pick_schema))
         if held is not None:
             held.unpersist()
         held = state
-        if pick.isEmpty():
+        if picks.isEmpty():
             break
-        chosen.append(pick)
+        chosen.append(picks.drop(vector))
+        if len(chosen) % 50 == 0:
+            chosen = [materialise(functools.reduce(DataFrame.unionByName, chosen))]
     if held is not None:
         held.unpersist()
-    result = None
-    for place, part in enumerate(chosen, start=1):
-        part = part.select(specialty, F.col("_pick")[key].alias(key), F.lit(place).alias("place"))
-        result = part if result is None else result.unionByName(part)
-        if place % 50 == 0:
-            result = materialise(result)
-    return result
+    return functools.reduce(DataFrame.unionByName, chosen)
+
+
+def _apply_picks(
+    limit: int, max_queries: int | None, specialty: str, key: str, vector: str, kind: type
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drop picked queries and those too similar to a pick; add up the similarity of the rest."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = {name: batch.column(name)[row] for name in batch.schema.names}
+                placed = cell["_chosen"].as_py()
+                if max_queries is not None and placed >= max_queries:
+                    continue
+                matrix = np.frombuffer(cell["_matrix"].as_buffer(), dtype=kind).reshape(cell["_rows"].as_py(), -1)
+                names, sums = cell[key].values, cell["_sum"].values.to_numpy(zero_copy_only=False)
+                picked = cell["_picked"].values.to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+                similar = np.rint(unit_rows(matrix) @ unit_rows(picked).T * blocks.MICRO).astype(np.int64)
+                taken = pa.compute.is_in(names, value_set=cell["_names"].values).to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero((similar <= limit).all(axis=1) & ~taken)
+                if not len(keep):
+                    continue
+                offsets = pa.array(np.arange(len(keep) + 1) * matrix.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(specialty).slice(row, 1).take(pa.array(np.zeros(len(keep), dtype=np.int64))),
+                        names.take(pa.array(keep)),
+                        pa.ListArray.from_arrays(offsets, pa.array(matrix[keep].reshape(-1))),
+                        pa.array((sums + similar.sum(axis=1))[keep]),
+                        pa.array(np.full(len(keep), placed, dtype=np.int32)),
+                    ],
+                    [specialty, key, vector, "_sum", "_chosen"],
+                )
+
+    return apply
+
+
+def _greedy_in_pool(
+    limit: int, max_queries: int | None, pool: int, specialty: str, key: str, vector: str
+) -> Callable[[pa.Table], pa.Table]:
+    """Choices among the lowest ``pool`` queries of a specialty that no other can beat."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_sum", "ascending"), (key, "ascending")])
+        sums = table.column("_sum").to_numpy().astype(np.int64)
+        # The row after the pool bounds all queries outside of it.
+        outside = int(sums[pool]) if len(sums) > pool else None
+        table, sums = table.slice(0, pool), sums[:pool]
+        by_key = np.asarray(pa.compute.sort_indices(table.column(key)))
+        table, sums = table.take(pa.array(by_key)), sums[by_key]
+        unit = unit_rows(rows_of(table.column(vector)))
+        placed = table.column("_chosen")[0].as_py()
+        alive, picks = np.arange(len(unit)), []
+        while len(alive) and (max_queries is None or placed + len(picks) < max_queries) and len(picks) < ROUND_PICKS:
+            best = int(np.argmin(sums))
+            if picks and outside is not None and sums[best] >= outside - len(picks) * blocks.MICRO:
+                break
+            picks.append(int(alive[best]))
+            similar = np.rint(unit[alive] @ unit[picks[-1]] * blocks.MICRO).astype(np.int64)
+            keep = (similar <= limit) & (alive != picks[-1])
+            alive, sums = alive[keep], (sums + similar)[keep]
+        out = table.take(pa.array(picks, pa.int64())).select([specialty, key, vector])
+        places = np.arange(placed + 1, placed + len(picks) + 1, dtype=np.int32)
+        return out.append_column("place", pa.array(places))
+
+    return choose
 
 
 # --- selection by clusters ---------------------------------------------------------------
@@ -683,10 +777,10 @@ def evaluate_methods(
 
     ``everything`` is (specialty, query, embedding), ``choices`` (method, specialty,
     query), ``mapping`` (query, code). Specialties where a method chose nothing are
-    left out.
+    left out. Choices come from iterations, so they are stored before they are measured.
     """
-    methods = choices.select("method").distinct()
-    n_methods = methods.count()
+    choices = materialise(choices)
+    n_methods = choices.select("method").distinct().count()
     complete = (
         choices.groupBy("specialty")
         .agg(F.count_distinct("method").alias("_m"))
@@ -699,6 +793,7 @@ def evaluate_methods(
     selected = (
         kept.join(everything, ["specialty", "query"]).withColumn("cell", cell).select("cell", "query", "embedding")
     )
+    selected = materialise(selected)
     every = everything.join(cells, "specialty").select("cell", "query", "embedding")
     similarity = average_pairwise_similarity(selected, ["cell"])
     coverage = embedding_coverage(selected, every, "cell")

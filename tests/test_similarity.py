@@ -168,8 +168,7 @@ def greedy_by_hand(vectors, threshold, limit):
     return chosen
 
 
-@pytest.mark.parametrize("task_bytes", [1 << 20, 64 * 30, 0])
-@pytest.mark.parametrize("limit", [None, 0, 4])
+@pytest.mark.parametrize("task_bytes, limit", [(1 << 20, None), (1 << 20, 0), (1 << 20, 4), (64 * 30, None), (0, None), (0, 0), (0, 4), (1000, 9)])
 def test_greedy(data, queries, task_bytes, limit):
     names, specialties, vectors, _, _ = data
     expected = set()
