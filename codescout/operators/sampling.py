@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -212,19 +213,22 @@ def prepare_splits(
 
 
 def split_report(raw: dict[str, DataFrame], subset: Sequence[str] | None = TRIPLET) -> DataFrame:
-    """Rows, rows removed for nulls and rows left after cleaning, per split."""
-    parts = None
-    for name, rows in raw.items():
-        complete = drop_null_rows(rows, subset)
-        left = dedup_triplets(complete).agg(F.count("*").alias("final_rows"))
-        check = [F.col(c).isNotNull() for c in (subset or rows.columns)]
-        every = check[0]
-        for other in check[1:]:
-            every = every & other
-        counts = rows.agg(F.count("*").alias("rows"), F.count_if(~every).alias("removed_nulls"))
-        part = counts.withColumn("split", F.lit(name)).join(left.withColumn("split", F.lit(name)), "split")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Rows, rows removed for nulls and rows left after cleaning, per split.
+
+    ``subset`` names the columns that must not be null and holds the triplet columns;
+    None checks all columns.
+    """
+    checked = list(subset or next(iter(raw.values())).columns)
+    parts = [rows.select(F.lit(name).alias("split"), *checked) for name, rows in raw.items()]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    complete = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in checked])
+    counts = every.groupBy("split").agg(
+        F.count("*").alias("rows"), F.count_if(~complete).alias("removed_nulls")
+    )
+    left = every.filter(complete).select("split", *TRIPLET).distinct().groupBy("split").agg(F.count("*").alias("_left"))
+    return counts.join(left, "split", "left").select(
+        "split", "rows", "removed_nulls", F.coalesce("_left", F.lit(0).cast("long")).alias("final_rows")
+    )
 
 
 def length_batches(rows: DataFrame, size: int, order: Sequence[Column]) -> DataFrame:
