@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -340,3 +341,10 @@ def top_cells(scores: np.ndarray, k: int) -> np.ndarray:
         chosen = np.broadcast_to(np.arange(width), scores.shape)
     order = np.argsort(-np.take_along_axis(unique, chosen, axis=1), axis=1)
     return np.take_along_axis(chosen, order, axis=1)
+
+
+def same_keys(left: Block, right: Block, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in which both sides are the same row; keys must be unique."""
+    places = pa.compute.index_in(left.columns[key], value_set=right.columns[key])
+    rows = np.flatnonzero(np.asarray(places.is_valid()))
+    return rows, places.drop_null().to_numpy()

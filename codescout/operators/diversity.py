@@ -599,7 +599,7 @@ def embedding_coverage(
         everything.select(specialty)
         .distinct()
         .join(means, specialty, "left")
-        .select(specialty, F.round(F.coalesce("_mean", F.lit(0.0)), 6).alias("coverage"))
+        .select(specialty, F.round(F.coalesce("_mean", F.lit(0.0)), 12).alias("coverage"))
     )
 
 
@@ -630,11 +630,7 @@ def redundancy_profile(
     def kernel(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
         scores = blocks.micro_cosines(left, right)
         sums = scores.sum(axis=1)
-        place = {value: i for i, value in enumerate(right.columns[key].to_pylist())}
-        own = [(row, place[value]) for row, value in enumerate(left.columns[key].to_pylist()) if value in place]
-        if own:
-            rows, columns = map(list, zip(*own))
-            scores[rows, columns] = -2 * blocks.MICRO
+        scores[blocks.same_keys(left, right, key)] = -2 * blocks.MICRO
         nearest = scores.max(axis=1)
         return {
             key: left.columns[key],
@@ -654,7 +650,7 @@ def redundancy_profile(
     return merged.select(
         specialty,
         key,
-        F.round(F.col("_sum") / F.col("_n") / blocks.MICRO, 9).alias("mean_similarity"),
+        F.round(F.col("_sum") / F.col("_n") / blocks.MICRO, 12).alias("mean_similarity"),
         "similar_queries",
         (F.col("_nearest") / blocks.MICRO).alias("nearest_similarity"),
     )
@@ -716,11 +712,8 @@ def silhouette(
     def kernel(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
         a, b = left.matrix.astype(np.float64), right.matrix.astype(np.float64)
         squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
-        place = {value: i for i, value in enumerate(right.columns[key].to_pylist())}
         distances = np.sqrt(np.maximum(squares, 0.0))
-        for row, value in enumerate(left.columns[key].to_pylist()):
-            if value in place:
-                distances[row, place[value]] = 0.0
+        distances[blocks.same_keys(left, right, key)] = 0.0
         names = right.columns[cluster].dictionary_encode()
         codes = names.indices.to_numpy(zero_copy_only=False)
         member = np.zeros((len(codes), len(names.dictionary)))

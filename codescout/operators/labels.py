@@ -110,14 +110,14 @@ def last_descriptions(codes: DataFrame, order: str) -> DataFrame:
 def validate_codes(replies: DataFrame, reference: DataFrame, keys: Sequence[str] = ("specialty", "query")) -> DataFrame:
     """Codes of each reply that exist in the reference, order and repeats kept.
 
-    A reply without valid codes keeps an empty list.
+    A reply without valid codes keeps an empty list. Copies of a reply count once.
     """
     parsed = replies.select(*keys, F.posexplode_outer(parse_code_list(F.col("reply"))).alias("_pos", "code"))
     known = reference.select(F.col("code").alias("_known")).distinct()
     checked = parsed.join(known, F.col("code") == F.col("_known"), "left")
     item = F.when(F.col("_known").isNotNull(), F.struct("_pos", "code"))
     return checked.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda m: m["code"]).alias("codes")
+        F.transform(F.array_sort(F.collect_set(item)), lambda m: m["code"]).alias("codes")
     )
 
 
@@ -135,7 +135,7 @@ def codes_to_descriptions(
         )
     return found.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", "description"))), lambda m: m["description"]
+            F.array_sort(F.collect_set(F.struct("_pos", "description"))), lambda m: m["description"]
         ).alias("descriptions")
     )
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,17 +94,20 @@ def nearest(
 def exclusion_mask(
     left: blocks.Block, right: blocks.Block, exclude: str, code_key: str
 ) -> np.ndarray | None:
-    """True where a right key is in the exclusion list of a left row."""
+    """True where a right key is in the exclusion list of a left row, None if that is nowhere."""
     lists = left.columns[exclude]
-    place = {key: i for i, key in enumerate(right.columns[code_key].to_pylist())}
-    mask = None
-    for row, keys in enumerate(lists.to_pylist()):
-        hits = [place[key] for key in keys or () if key in place]
-        if hits:
-            if mask is None:
-                mask = np.zeros((len(left), len(right)), dtype=bool)
-            mask[row, hits] = True
-    return mask
+    names = right.columns[code_key].dictionary_encode()
+    places = pa.compute.index_in(lists.flatten(), value_set=names.dictionary)
+    sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(left)), sizes)
+    known = np.asarray(places.is_valid())
+    if not known.any():
+        return None
+    barred = np.zeros((len(left), len(names.dictionary)), dtype=bool)
+    barred[rows[known], places.drop_null().to_numpy()] = True
+    if len(names.dictionary) == len(right):
+        return barred
+    return barred[:, names.indices.to_numpy(zero_copy_only=False)]
 
 
 def with_descriptions(matches: DataFrame, codes: DataFrame, code_key: str = "code") -> DataFrame:

@@ -28,11 +28,10 @@ def running_sums(
     """Add inclusive running sums of ``sums`` per group in the given order.
 
     The order must be total inside a group for a reproducible result. One range
-    shuffle is all: rows are summed in their sorted range, and since groups lie next
+    shuffle is all (AQE fits the number of ranges to the data): rows are summed in their sorted range, and since groups lie next
     to each other, only the first group of a range can have begun earlier. The offsets
     are therefore one row per range and are broadcast.
     """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group, names = list(group), list(sums)
     columns = df.columns
     valued = df.select("*", *[F.coalesce(c, F.lit(0)).alias(name) for name, c in sums.items()])
@@ -40,7 +39,11 @@ def running_sums(
     valued = valued.select(*columns, *[F.col(n).cast(kinds[n]).alias(n) for n in names])
     keys = [F.col(g).asc() for g in group]
     ranged = (
-        valued.repartitionByRange(partitions, *keys, *order)
+        (
+            valued.repartitionByRange(partitions, *keys, *order)
+            if partitions
+            else valued.repartitionByRange(*keys, *order)
+        )
         .sortWithinPartitions(*keys, *order)
         .withColumn("_sum_range", F.spark_partition_id())
         .mapInArrow(

@@ -301,7 +301,8 @@ SQL = {
         SELECT t.query, t.code, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
         FROM truth t JOIN vec a ON t.query = a.query JOIN vec b ON t.code = b.query"""),
     "redundancy_profile": with_views("sim", f"""
-        SELECT specialty, query, round(avg(s), 9) AS mean_similarity,
+        SELECT specialty, query,
+               round(sum(round(s * 1000000)::BIGINT)::DOUBLE / count(*) / 1000000, 12) AS mean_similarity,
                count_if(s > {THRESHOLD} AND code <> query) AS similar_queries,
                max(s) FILTER (code <> query) AS nearest_similarity
         FROM sim WHERE specialty = code_specialty GROUP BY specialty, query"""),
@@ -314,7 +315,8 @@ SQL = {
         best AS (
             SELECT specialty, query, max(s) AS best FROM sim
             WHERE specialty = code_specialty AND code IN (SELECT code FROM truth) GROUP BY specialty, query)
-        SELECT specialty, round(avg(best), 6) AS coverage FROM best GROUP BY specialty"""),
+        SELECT specialty, round(sum(round(best * 1000000)::BIGINT)::DOUBLE / count(*) / 1000000, 12) AS coverage
+        FROM best GROUP BY specialty"""),
     "silhouette": with_views("vec", """,
         points AS (SELECT *, (e[1] > 0)::INTEGER * 2 + (e[2] > 0)::INTEGER AS cluster FROM vec),
         sums AS (

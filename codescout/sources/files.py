@@ -161,17 +161,15 @@ def load_embeddings(spark: SparkSession, path: str | list[str]) -> DataFrame:
 # --- results ---------------------------------------------------------------------------------
 
 
-def write_per_specialty(results: DataFrame, path: str, spread: int = 8) -> None:
+def write_per_specialty(results: DataFrame, path: str) -> None:
     """JSON results in one folder per specialty; only folders with new results are replaced.
 
-    Rows of a specialty are spread over ``spread`` tasks, so a hot one is not written by
-    a single task.
+    Rows are rebalanced by specialty: small ones share a task and AQE splits a hot one
+    over many.
     """
     named = results.withColumn("specialty", file_safe(F.col("specialty")))
-    placed = named.withColumn("_share", F.pmod(F.xxhash64("query"), F.lit(spread)))
     (
-        placed.repartition("specialty", "_share")
-        .drop("_share")
+        named.hint("rebalance", F.col("specialty"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("ignoreNullFields", "false")
