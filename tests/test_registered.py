@@ -31,6 +31,9 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "NestedLoop", "BatchEvalPython"):
+        assert operator not in plan
     if name in SQL:
         assert differences(df, db, SQL[name]) == []
     else:
