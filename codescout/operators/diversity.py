@@ -25,6 +25,10 @@ from codescout.operators import blocks
 from codescout.operators.running import row_numbers
 from codescout.session import materialise
 
+# Names of the two selection methods in reports.
+GREEDY = "Similarity-based"
+CLUSTERED = "Cluster-based"
+
 TASK_BYTES = 64 << 20
 CUT_EVERY = 8
 ROUND_PICKS = 4096
@@ -498,8 +502,8 @@ def diverse_cluster(
 
 def run_comparison(df: DataFrame, threshold: float = 0.8, clusters: int | None = None, **options) -> DataFrame:
     """Choices of both methods over the same queries."""
-    greedy = diverse_greedy(df, threshold, **options).withColumn("method", F.lit("Similarity-based"))
-    clustered = diverse_cluster(df, clusters, **options).withColumn("method", F.lit("Cluster-based"))
+    greedy = diverse_greedy(df, threshold, **options).withColumn("method", F.lit(GREEDY))
+    clustered = diverse_cluster(df, clusters, **options).withColumn("method", F.lit(CLUSTERED))
     keep = ["method", options.get("specialty", "specialty"), options.get("key", "query"), "place"]
     return greedy.select(keep).unionByName(clustered.select(keep))
 
@@ -814,7 +818,7 @@ def method_summary(evaluation: DataFrame) -> DataFrame:
     return evaluation.groupBy("method").agg(*[F.round(F.avg(m), 6).alias(m) for m in MEASURES])
 
 
-def method_wins(summary: DataFrame, challenger: str = "Cluster-based", incumbent: str = "Similarity-based") -> DataFrame:
+def method_wins(summary: DataFrame, challenger: str = CLUSTERED, incumbent: str = GREEDY) -> DataFrame:
     """In how many measures the challenger is strictly better; ties go to the incumbent."""
 
     def of(method: str, measure: str):

@@ -214,6 +214,12 @@ def split_by_specialty(rows: DataFrame, chunks: int, specialty: str = "specialty
 # --- requests to a model ---------------------------------------------------------------------
 
 
+# The placeholders of prompt templates.
+QUERY_PLACEHOLDER = "medical_query"
+SPECIALTY_PLACEHOLDER = "medical_specialty_subspecialty"
+CODES_PLACEHOLDER = "icd_code_description_list"
+
+
 def build_requests(
     labels: DataFrame,
     descriptions: DataFrame,
@@ -242,9 +248,9 @@ def build_requests(
         fill_template(
             template,
             {
-                "medical_query": F.col("query"),
-                "medical_specialty_subspecialty": F.col("specialty"),
-                "icd_code_description_list": text,
+                QUERY_PLACEHOLDER: F.col("query"),
+                SPECIALTY_PLACEHOLDER: F.col("specialty"),
+                CODES_PLACEHOLDER: text,
             },
         ).alias("request"),
     )

@@ -136,7 +136,10 @@ def codes_per_query(matches: DataFrame, code_key: str = "code") -> DataFrame:
 def limited_view(
     matches: DataFrame, max_queries: int = 5, max_codes: int = 3, query_order: Column | None = None
 ) -> DataFrame:
-    """First queries per specialty with their first codes, and how many queries remain."""
+    """First queries per specialty with their first codes, and how many queries remain.
+
+    Reads the matches three times, so they should be stored.
+    """
     order = query_order if query_order is not None else F.col("query").asc()
     names = matches.select("specialty", "query").distinct()
     totals = names.groupBy("specialty").agg(F.count("*").alias("_n"))

@@ -14,6 +14,15 @@ from codescout.operators.running import row_numbers
 
 TRIPLET = ("anchor", "positives", "negatives")
 
+# Names of the sampling rules as they appear in the plan.
+USE_ALL = "Use all available (insufficient total)"
+SYNTHETIC_ONLY = "Synthetic only (no paraphrased available)"
+ALL_PARAPHRASED = "All paraphrased + synthetic (paraphrased <= {threshold})"
+EQUAL_WEIGHT = "Equal weight (paraphrased > 200)"
+PRIORITIZE = "Prioritize paraphrased, fill with synthetic"
+MANY_PARAPHRASED = 200
+PREFERRED_SHARE = 0.7
+
 
 def query_stats(synthetic: DataFrame, paraphrased: DataFrame) -> DataFrame:
     """Query counts per specialty of the synthetic set; paraphrased ones may be missing."""
@@ -47,11 +56,11 @@ def sampling_plan(stats: DataFrame, target: int = 250, paraphrased_threshold: in
     p, s, total = F.col("paraphrased"), F.col("synthetic"), F.col("total")
     goal = F.lit(target).cast("long")
     half = F.lit(target // 2).cast("long")
-    preferred = F.lit(int(target * 0.7)).cast("long")
+    preferred = F.lit(int(target * PREFERRED_SHARE)).cast("long")
     whole = total < target
     none = p == 0
     few = p <= paraphrased_threshold
-    many = p > 200
+    many = p > MANY_PARAPHRASED
 
     # Equal shares: what is missing is taken from the synthetic side unless that side
     # of the paraphrased share was the short one.
@@ -75,13 +84,15 @@ def sampling_plan(stats: DataFrame, target: int = 250, paraphrased_threshold: in
         .otherwise(fill_s)
     )
     strategy = (
-        F.when(whole, "Use all available (insufficient total)")
-        .when(none, "Synthetic only (no paraphrased available)")
-        .when(few, f"All paraphrased + synthetic (paraphrased <= {paraphrased_threshold})")
-        .when(many, "Equal weight (paraphrased > 200)")
-        .otherwise("Prioritize paraphrased, fill with synthetic")
+        F.when(whole, USE_ALL)
+        .when(none, SYNTHETIC_ONLY)
+        .when(few, ALL_PARAPHRASED.format(threshold=paraphrased_threshold))
+        .when(many, EQUAL_WEIGHT)
+        .otherwise(PRIORITIZE)
+    )
+    planned = stats.select(
+        "specialty", p, s, total, take_p.alias("take_p"), take_s.alias("take_s"), strategy.alias("sampling_strategy")
     )
-    planned = stats.select("specialty", p, s, total, take_p.alias("take_p"), take_s.alias("take_s"), strategy.alias("sampling_strategy"))
     drawn = F.col("take_p") + F.col("take_s")
     return planned.select(
         "specialty",
@@ -103,7 +114,7 @@ def sampling_summary(plan: DataFrame) -> DataFrame:
         F.count_if("target_met").alias("meeting_target"),
         F.round(F.avg("paraphrased_ratio"), 3).alias("mean_ratio"),
         F.count_if(F.col("original_paraphrased") == 0).alias("without_paraphrased"),
-        F.count_if(F.col("original_paraphrased") > 200).alias("above_200_paraphrased"),
+        F.count_if(F.col("original_paraphrased") > MANY_PARAPHRASED).alias("above_200_paraphrased"),
     )
 
 

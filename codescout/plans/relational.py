@@ -176,7 +176,7 @@ def next_status(spark: SparkSession, folder: str) -> DataFrame:
 # --- labels ------------------------------------------------------------------------------------
 
 
-def llm_requests(spark: SparkSession, folder: str) -> DataFrame:
+def model_requests(spark: SparkSession, folder: str) -> DataFrame:
     descriptions = labels.last_descriptions(catalog.codes(spark, folder), "ord")
     return labels.build_requests(catalog.label_set(spark, folder), descriptions, TEMPLATE)
 
@@ -455,7 +455,7 @@ QUERIES = {
     for f in (
         code_family, keyed_specialty, file_safe_specialty, parsed_code_lists, instruction_anchors, word_counts,
         token_length_map, triplet_lengths, line_triplet_lengths, clean_line_triplets, keyword_codes, closest_labels, validated_labels, relevance_labels,
-        classifications, top_labels, query_list_items, procedural_terms, next_status, llm_requests, valid_codes,
+        classifications, top_labels, query_list_items, procedural_terms, next_status, model_requests, valid_codes,
         code_descriptions, code_description_sets, description_codes, pending_items, remaining_codes,
         queries_by_specialty, merged_label_list, consolidated_labels, consolidation_summary, empty_queries,
         precision_recall, code_coverage, labelling_progress, overall_progress, specialty_chunks, label_ingest,
@@ -609,7 +609,7 @@ SQL = {
     "next_status": with_views("items", """
         SELECT specialty, query, CASE WHEN status = 'completed' THEN 'completed' WHEN attempts >= 3 THEN 'failed'
                ELSE 'pending' END AS status FROM items"""),
-    "llm_requests": with_views("labels_all", f""", {_LAST_DESCRIPTION},
+    "model_requests": with_views("labels_all", f""", {_LAST_DESCRIPTION},
         singles AS (SELECT specialty, query, unnest(codes) AS code FROM labels_all),
         listed AS (
             SELECT specialty, query, string_agg(code || ': ' || description, ', ' ORDER BY code || ': ' || description) AS l

@@ -48,7 +48,7 @@ def codes_per_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def limited_view(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.limited_view(_matches(spark, folder, 5))
+    return retrieval.limited_view(materialise(_matches(spark, folder, 5)))
 
 
 def l2_normalized(spark: SparkSession, folder: str) -> DataFrame:
