@@ -1,13 +1,13 @@
 """Comparing many vectors with many others, block by block.
 
-Vectors are packed into rows that hold a whole block (keys and one matrix). Left
-blocks meet right blocks in an equi-join on the bucket of the right block, and
-each meeting is one matrix product in an Arrow task that emits only an aggregate
-of it (the top k, a histogram, a maximum), never the pairs.
-
-The right side is broadcast only if its measured size is below a limit. Beyond it
-both sides are shuffled on (bucket, salt), so no task ever sees more than single
-blocks, whatever share of the rows one group holds.
+Vectors are packed into rows that hold a whole block (keys and one matrix). Blocks
+meet in an equi-join, and each meeting is one matrix product in an Arrow task that
+emits only an aggregate of it (the top k, a histogram, a maximum), never the pairs.
+
+The right side is broadcast only if its measured size is below a limit; left rows
+then stay where they are. Beyond it both sides are cut into parts of bounded size
+that meet in a grid: left parts are copied to every band of right blocks and right
+blocks to every left part, so the work of one task is bounded on both sides.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from codescout.functions.vectors import unit_rows
 
 BLOCK_BYTES = 8 << 20
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 512 << 20
+GRID_BYTES = 256 << 20
 CHUNK_ROWS = 1024
 MICRO = 1_000_000
 _PRODUCT_CELLS = 4_000_000
@@ -61,11 +62,11 @@ def pack(
     rows: int,
     same: Sequence[str] = (),
 ) -> DataFrame:
-    """Pack consecutive rows of each partition into blocks, without a shuffle.
+    """Pack consecutive rows of each partition into blocks of up to ``rows``, without a shuffle.
 
     ``keep`` columns become arrays; ``same`` columns stay scalars and a block never
     mixes their values, so rows should arrive clustered by them. Rows without a
-    vector are left out.
+    vector are left out. Rows that fit one block always end up in one block.
     """
     source = df.select(*same, *keep, F.col(vector).alias("_vector")).filter(
         F.col("_vector").isNotNull() & (F.size("_vector") > 0)
@@ -79,37 +80,46 @@ def pack(
     )
     names = [field.name for field in schema]
 
+    def blocks_of(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(name: str) -> pa.Array:
+            return pa.concat_arrays([piece.column(name) for piece in pieces])
+
+        vectors = whole("_vector")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+        offsets = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+        kept = {name: whole(name) for name in keep}
+        for start in range(0, len(vectors), rows):
+            size = min(rows, len(vectors) - start)
+            lengths = np.diff(offsets[start:start + size + 1])
+            if (lengths != lengths[0]).any():
+                raise ValueError("vectors differ in dimension")
+            cells = [pieces[0].column(name).slice(0, 1) for name in same]
+            cells += [_wrap(kept[name], start, size) for name in keep]
+            cells.append(pa.array([flat[offsets[start]:offsets[start + size]].tobytes()], pa.binary()))
+            cells.append(pa.array([size], pa.int32()))
+            yield pa.RecordBatch.from_arrays(cells, names)
+
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        held_key, held_rows = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = batch.column(batch.schema.get_field_index("_vector"))
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
-            offsets = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
-            edges = [0, batch.num_rows]
-            if same:
-                change = np.zeros(batch.num_rows - 1, dtype=bool)
-                for name in same:
-                    column = batch.column(batch.schema.get_field_index(name))
-                    codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                    change |= codes[1:] != codes[:-1]
-                edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            change = np.zeros(batch.num_rows - 1, dtype=bool)
+            for name in same:
+                codes = batch.column(name).dictionary_encode().indices.fill_null(-1)
+                codes = codes.to_numpy(zero_copy_only=False)
+                change |= codes[1:] != codes[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
             for low, high in zip(edges, edges[1:]):
-                for start in range(low, high, rows):
-                    size = min(rows, high - start)
-                    values = flat[offsets[start]:offsets[start + size]]
-                    lengths = np.diff(offsets[start:start + size + 1])
-                    if (lengths != lengths[0]).any():
-                        raise ValueError("vectors differ in dimension")
-                    cells = [
-                        batch.column(batch.schema.get_field_index(name)).slice(start, 1) for name in same
-                    ]
-                    cells += [
-                        _wrap(batch.column(batch.schema.get_field_index(name)), start, size) for name in keep
-                    ]
-                    cells.append(pa.array([values.tobytes()], pa.binary()))
-                    cells.append(pa.array([size], pa.int32()))
-                    yield pa.RecordBatch.from_arrays(cells, names)
+                key = tuple(batch.column(name)[low].as_py() for name in same)
+                if held and (key != held_key or held_rows + high - low > rows):
+                    yield from blocks_of(held)
+                    held, held_rows = [], 0
+                held.append(batch.slice(low, high - low))
+                held_key, held_rows = key, held_rows + high - low
+        if held:
+            yield from blocks_of(held)
 
     return source.mapInArrow(pack_batches, schema)
 
@@ -154,8 +164,8 @@ def meet(
     """Run ``kernel`` on every (left block, right block); returns rows and right blocks.
 
     A kernel is a function of two blocks, or a :class:`Total` that sums up a task.
-    With a single right block each left row meets all right rows in one call, so
-    the kernel's result is final; otherwise the caller merges the parts.
+    With a single right block (all of its rows fit) each left row meets all right rows
+    in one call and the kernel's result is final; otherwise the caller merges the parts.
     Right blocks are sorted by the first of ``right_keep``.
     """
     spark = left.sparkSession
@@ -163,7 +173,12 @@ def meet(
     total = count * width
     buckets = max(1, math.ceil(total / block_bytes))
     small = total <= broadcast_bytes
-    salts = 1 if small else max(1, math.ceil(4 * spark.sparkContext.defaultParallelism / buckets))
+    parts = bands = 1
+    if not small:
+        left_count, left_width = vector_stats(left, vector)
+        parts = max(1, math.ceil(left_count * left_width / GRID_BYTES))
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        bands = min(buckets, max(math.ceil(total / GRID_BYTES), math.ceil(tasks / parts)))
 
     stored = right.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
     stored = stored.withColumn("_bucket", F.pmod(F.xxhash64(right_keep[0]), F.lit(buckets)).cast("int"))
@@ -173,22 +188,21 @@ def meet(
     packed_left = pack(left, left_keep, vector, CHUNK_ROWS)
 
     packed_left = _prefix(packed_left, "l_").withColumn(
-        "_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+        "_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
+    )
+    packed_right = _prefix(packed_right, "r_", skip=["_bucket"]).withColumn(
+        "_band", F.pmod("_bucket", F.lit(bands))
     )
-    packed_right = _prefix(packed_right, "r_", skip=["_bucket"])
-    on = ["_bucket"]
-    if salts > 1:
-        packed_left = packed_left.withColumn("_salt", F.pmod(F.xxhash64("l__matrix"), F.lit(salts)).cast("int"))
-        packed_right = packed_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append("_salt")
+    on = ["_band"]
+    if not small:
+        packed_left = packed_left.withColumn("_part", F.pmod(F.xxhash64("l__matrix"), F.lit(parts)).cast("int"))
+        packed_right = packed_right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        on.append("_part")
     pairs = packed_left.join(F.broadcast(packed_right) if small else packed_right, on)
     result = run_kernel(
         pairs, left_keep, right_keep, _width(left, vector), _width(right, vector), kernel, schema
     )
-    # A right bucket may spill over into several blocks, so one bucket is final only
-    # when it is certain to fit one block and one Arrow batch.
-    single = buckets == 1 and count <= int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    return result, 1 if single else max(2, buckets)
+    return result, buckets
 
 
 def meet_in_group(
