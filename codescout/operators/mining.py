@@ -16,6 +16,8 @@ from codescout.operators import blocks
 from codescout.operators.retrieval import exclusion_mask, nearest
 
 _LOWEST = -2 * blocks.MICRO
+# A pool up to this size is one block, so that percentiles need a single pass.
+WHOLE_POOL_BYTES = 64 << 20
 
 
 def trim_positives(df: DataFrame, k: int = 5, column: str = "positives") -> DataFrame:
@@ -44,6 +46,7 @@ def similarity_percentiles(
     thousand counts per query, whatever the size of the pool. Columns ``p70`` ... and
     ``candidates``.
     """
+    limits = {"block_bytes": WHOLE_POOL_BYTES, **limits}
     keep = [key] + ([exclude] if exclude else [])
     names = [f"p{p}" for p in percents]
     query_field = T.StructField(key, queries.schema[key].dataType)
@@ -121,17 +124,21 @@ def similarity_percentiles(
     def count_low(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
         scores, barred = scored(left, right)
         shifted = scores + blocks.MICRO
-        rows, values, counts = [], [], []
-        for row, digits in enumerate(left.columns["_digits"].to_pylist()):
-            mine = shifted[row][~barred[row]]
-            found, n = np.unique(mine[np.isin(mine // base, digits)], return_counts=True)
-            rows.append(np.full(len(found), row))
-            values.append(found)
-            counts.append(n)
+        digits = shifted // base
+        lists = left.columns["_digits"].to_pylist()
+        wanted = np.full((len(lists), max(map(len, lists))), -1)
+        for row, values in enumerate(lists):
+            wanted[row, :len(values)] = values
+        hit = np.zeros(scores.shape, dtype=bool)
+        for column in wanted.T:
+            hit |= digits == column[:, None]
+        rows, places = np.nonzero(hit & ~barred)
+        span = 2 * blocks.MICRO + 1
+        found, n = np.unique(rows * span + shifted[rows, places], return_counts=True)
         return {
-            key: left.columns[key].take(pa.array(np.concatenate(rows))),
-            "value": pa.array(np.concatenate(values).astype(np.int64)),
-            "n": pa.array(np.concatenate(counts).astype(np.int64)),
+            key: left.columns[key].take(pa.array(found // span)),
+            "value": pa.array(found % span),
+            "n": pa.array(n.astype(np.int64)),
         }
 
     low_schema = T.StructType(
