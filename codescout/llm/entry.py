@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codescout.llm import bpe
+from codescout.llm import bpe, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +20,20 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, folder, "documents"), path, decode=True))
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counts = token_counts.count_tokens(table(spark, folder, "documents"), path)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash_groups": op3_simhash_groups,
 }
 
 SQL: dict[str, str] = {}
