@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import bpe, simhash, token_counts
+from codescout.llm import bpe, langid, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
+    "op5_language_id": op5_language_id,
 }
 
 SQL: dict[str, str] = {}
