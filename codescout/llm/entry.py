@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import bpe, langid, simhash, token_counts
+from codescout.llm import bpe, langid, line_dedup, mixing, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,11 +37,51 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.remove_repeated(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
     "op5_language_id": op5_language_id,
+    "op6_source_mix": op6_source_mix,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_source_mix": """
+        WITH sizes AS (
+            SELECT source AS s, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY source
+        ), rated AS (
+            SELECT s, CASE WHEN bytes = 0 THEN 1.0::DOUBLE
+                ELSE 1.0::DOUBLE / (SELECT count(*) FROM sizes WHERE bytes > 0)
+                    * (SELECT sum(bytes) FROM sizes)::DOUBLE / bytes END AS rate
+            FROM sizes
+        ), means AS (
+            SELECT s, greatest(ceil(rate / 16.0), 1)::INT AS draws, rate / greatest(ceil(rate / 16.0), 1)::INT AS mean FROM rated
+        ), terms AS (
+            SELECT s, draws, k, sum(exp(-mean) * pow(mean, k) / gamma(k + 1.0))
+                OVER (PARTITION BY s ORDER BY k) AS below
+            FROM means, range(81) AS r(k)
+        ), drawn AS (
+            SELECT d.doc_id AS id, m.s, (('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || i), 1, 13))::BIGINT + 0.5)
+                / 4503599627370496.0::DOUBLE AS u
+            FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN means m ON d.source IS NOT DISTINCT FROM m.s,
+                LATERAL (SELECT unnest(range(1, m.draws + 1)) AS i)
+        ), counted AS (
+            SELECT id, s, sum(n)::INT AS copies FROM (
+                SELECT id, drawn.s, (SELECT count(*) FROM terms WHERE terms.s IS NOT DISTINCT FROM drawn.s AND below <= u) AS n FROM drawn)
+            GROUP BY id, s
+        )
+        SELECT d.*, c.copy::INT AS copy, counted.copies,
+            md5('mix|order|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || c.copy) AS shuffle_key
+        FROM documents d JOIN counted ON d.doc_id IS NOT DISTINCT FROM id AND d.source IS NOT DISTINCT FROM s,
+            LATERAL (SELECT unnest(range(1, counted.copies + 1)) AS copy) c
+    """,
+}
