@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import bpe, langid, line_dedup, mixing, simhash, token_counts
+from codescout.llm import bpe, chat, langid, line_dedup, mixing, simhash, token_counts, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: A conversation that says a control string of another template, as user and as assistant.
+_MARKED = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", _MARKED), (-7, 1, "assistant", _MARKED)], turns.schema)
+    return chat.digests(chat.expand(turns.unionByName(marked)))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -45,16 +55,88 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, folder, "documents"))
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list holds the URLs of pages that ``labels`` calls toxic."""
+    pages = table(spark, folder, "pages")
+    toxic = table(spark, folder, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    return urls.judge(pages, pages.join(toxic, "page_id", "left_semi"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_chat_examples": op4_chat_examples,
     "op5_language_id": op5_language_id,
     "op6_source_mix": op6_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
+_COUNTED = " + ".join(
+    f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROL)
+)
+
 SQL: dict[str, str] = {
+    "op4_chat_examples": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '{_MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{_MARKED}'
+        ), sized AS (
+            SELECT *, {len(chat.START) + 1 + len(chat.END)} + length(role) + length(text) + {_COUNTED} AS chars,
+                row_number() OVER turns AS place, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM turns WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), summed AS (
+            SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM sized
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(CASE WHEN role = 'assistant' OR place = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars
+        FROM summed GROUP BY conv_id
+    """,
+    "op10_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, url,
+                translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+                    lambda p: p <> '' AND NOT regexp_matches(p, '^(ref|fbclid|gclid|utm_[^=]*)(=|\z)'))) AS query
+            FROM pages
+        ), named AS (
+            SELECT *, CASE WHEN contains(url, '://') THEN
+                regexp_replace(host, '^www\.|:(80|443)\z|\.\z', '', 'g') || regexp_replace(path, '/+\z', '')
+                || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical
+            FROM parts
+        ), bad AS (
+            SELECT DISTINCT canonical FROM named
+            WHERE canonical IS NOT NULL AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        ), judged AS (
+            SELECT page_id, host, path, canonical IN (SELECT canonical FROM bad) AND canonical IS NOT NULL AS listed,
+                CASE
+                    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+                END AS rule
+            FROM named
+        )
+        SELECT page_id, host, path, rule, coalesce(listed, false) AS listed,
+            CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+        FROM judged
+    """,
     "op6_source_mix": """
         WITH sizes AS (
             SELECT source AS s, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY source
