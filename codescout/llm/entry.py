@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import bpe, chat, langid, line_dedup, mixing, simhash, token_counts, urls
+from codescout.llm import bm25, bpe, chat, langid, line_dedup, mixing, simhash, token_counts, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, folder, "documents"))
 
 
+def op9_bm25_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document whose id is divisible by 100 is a query, with its whole text, against all others."""
+    docs = table(spark, folder, "documents")
+    return bm25.search(docs, docs.filter("doc_id % 100 = 0"))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("net", "/", "block"),
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_source_mix": op6_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op9_bm25_top_k": op9_bm25_top_k,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -105,6 +112,31 @@ SQL: dict[str, str] = {
             sum(CASE WHEN role = 'assistant' OR place = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars
         FROM summed GROUP BY conv_id
     """,
+    "op9_bm25_top_k": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), counts AS (
+            SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+        ), lengths AS (
+            SELECT doc_id, count(*) AS length FROM words GROUP BY doc_id
+        ), total AS (
+            SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS n, (SELECT count(*) FROM words) AS words
+        ), frequency AS (
+            SELECT term, count(*) AS df FROM counts GROUP BY term
+        ), scored AS (
+            SELECT q.doc_id AS query_id, d.doc_id,
+                round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * length / (words::DOUBLE / n)))), 6) AS score
+            FROM counts q JOIN frequency USING (term) JOIN counts d ON d.term = q.term AND d.doc_id <> q.doc_id
+                JOIN lengths ON lengths.doc_id = d.doc_id, total
+            WHERE q.doc_id % 100 = 0
+            GROUP BY q.doc_id, d.doc_id
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
     "op10_url_filter": r"""
         WITH parts AS (
             SELECT page_id, url,
