@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import bm25, bpe, chat, langid, line_dedup, mixing, simhash, token_counts, urls
+from codescout.llm import ann, bm25, bpe, chat, langid, line_dedup, mixing, simhash, token_counts, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, folder, "documents"))
 
 
+def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op9_bm25_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """Every document whose id is divisible by 100 is a query, with its whole text, against all others."""
     docs = table(spark, folder, "documents")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_source_mix": op6_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_bm25_top_k": op9_bm25_top_k,
     "op10_url_filter": op10_url_filter,
 }
