@@ -14,6 +14,7 @@ from codescout.functions.draws import draw_number, pair_draws
 from codescout.functions.vectors import cosine
 from codescout.operators import blocks
 from codescout.operators.retrieval import exclusion_mask, nearest
+from codescout.operators.running import row_numbers
 
 _LOWEST = -2 * blocks.MICRO
 # A pool up to this size is one block, so that percentiles need a single pass.
@@ -29,6 +30,12 @@ def trim_positives(df: DataFrame, k: int = 5, column: str = "positives") -> Data
 # --- percentiles of all candidates ---------------------------------------------------------
 
 
+def one_row_each(df: DataFrame, key: str) -> DataFrame:
+    """One row per key; of several the smallest in the order of the other columns, so that the choice is always the same."""
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*")
+
+
 def similarity_percentiles(
     queries: DataFrame,
     pool: DataFrame,
@@ -47,6 +54,7 @@ def similarity_percentiles(
     ``candidates``.
     """
     limits = {"block_bytes": WHOLE_POOL_BYTES, **limits}
+    queries = one_row_each(queries, key)
     keep = [key] + ([exclude] if exclude else [])
     names = [f"p{p}" for p in percents]
     query_field = T.StructField(key, queries.schema[key].dataType)
@@ -78,7 +86,13 @@ def similarity_percentiles(
     )
     result, n_blocks = blocks.meet(queries, pool, keep, [code_key], vector, whole, schema, **limits)
     if n_blocks == 1:
-        return result
+        # Queries without a vector meet no block; they have no candidates here as well.
+        return (
+            queries.select(key)
+            .distinct()
+            .join(result, key, "left")
+            .select(key, F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), *names)
+        )
 
     # Cosines as integers 0 .. 2 000 000, split into a high and a low digit of base 2048.
     base = 2048
@@ -209,25 +223,25 @@ def mine_negatives_topk(
     percentile are hard, the others easy. A query with fewer than ``num`` candidates
     gets all of them. Returns (query, code, kind, similarity).
     """
+    queries = one_row_each(queries, "query")
     codes = pool.select("code").distinct()
     pool_size = codes.count()
-    longest = queries.agg(F.max(F.size("positives"))).first()[0] or 0
-    asked = queries
+    positives = queries.select("query", F.explode(F.array_distinct("positives")).alias("code"))
+    known = positives.join(codes, "code", "left_semi").groupBy("query").agg(F.count("*").alias("_known"))
+    free = F.lit(pool_size) - F.coalesce("_known", F.lit(0))
+    counted = queries.join(known, "query", "left").withColumn("_free", free).drop("_known")
+    asked = counted.filter(F.col("_free") >= num).drop("_free")
     scarce = None
-    if pool_size < num + longest:
-        # The pool is shorter than a few positives lists, so it fits a literal.
-        every = F.array(*[F.lit(row.code) for row in codes.orderBy("code").collect()])
-        rest = queries.withColumn(
-            "_rest", F.array_except(every, "positives") if pool_size else F.slice("positives", 1, 0)
-        )
-        scarce = rest.filter(F.size("_rest") < num).select(
-            "query",
-            F.explode("_rest").alias("code"),
-            F.lit("all").alias("kind"),
-            F.lit(None).cast("double").alias("similarity"),
+    longest = queries.agg(F.max(F.size("positives"))).first()[0] or 0
+    if 0 < pool_size < num + longest:
+        # A scarce query meets every code, by number: fewer than ``num`` and as many as it has positives.
+        numbered = row_numbers(codes, [F.col("code").asc()], "_place")
+        every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(pool_size).cast("long"))).alias("_place")
+        met = counted.filter(F.col("_free") < num).select("query", "positives", every).join(numbered, "_place")
+        scarce = met.filter(~F.coalesce(F.array_contains("positives", F.col("code")), F.lit(False))).select(
+            "query", "code", F.lit("all").alias("kind"), F.lit(None).cast("double").alias("similarity")
         )
-        asked = rest.filter(F.size("_rest") >= num).drop("_rest")
-    drawn = asked.dropDuplicates(["query"]).withColumn("draw", draw_number(seed, F.col("query")))
+    drawn = asked.withColumn("draw", draw_number(seed, F.col("query")))
     drawn_pool = pool.withColumn("draw", draw_number(seed, F.col("code")))
     near = nearest(drawn, drawn_pool, 10 * num, ["query"], "code", "embedding", "positives", "draw", **limits)
     cut = F.round(F.percentile("similarity", percentile).over(Window.partitionBy("query")), 9)
@@ -252,7 +266,7 @@ def mine_negatives_band(
     pass in which every block keeps only the best draws.
     """
     cuts = similarity_percentiles(queries, pool, (low, high), **limits)
-    marked = queries.dropDuplicates(["query"]).join(cuts, "query").withColumn(
+    marked = one_row_each(queries, "query").join(cuts, "query").withColumn(
         "draw", draw_number(seed, F.col("query"))
     )
     drawn_pool = pool.withColumn("draw", draw_number(seed, F.col("code")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codescout.operators.running import row_numbers
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -25,23 +27,27 @@ def code_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, folder: str) -> DataFrame:
-    """Relevant codes of a query: the first five others with its label, as (query, code, pos)."""
+    """Relevant codes of a query, as (query, code, pos): the others of its group of six vectors with one label.
+
+    The vectors of a label are numbered by id and cut into groups of six, so every vector is a query and a positive of others (only
+    a group of one that is left over has none).
+    """
     rows = table(spark, folder, "embeddings").select("vec_id", "label")
-    first = rows.withColumn("_p", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    first = first.filter(F.col("_p") <= 6).select("label", F.col("vec_id").alias("other"))
-    pairs = rows.join(first, "label").filter(F.col("vec_id") != F.col("other"))
+    numbered = row_numbers(rows, [F.col("vec_id").asc()], "_p", ["label"])
+    members = numbered.select("label", "vec_id", F.floor((F.col("_p") - 1) / 6).alias("_group"))
+    others = members.withColumnRenamed("vec_id", "other")
+    pairs = members.join(others, ["label", "_group"]).filter(F.col("vec_id") != F.col("other"))
     placed = pairs.withColumn("pos", F.row_number().over(Window.partitionBy("vec_id").orderBy("other")))
-    return placed.filter(F.col("pos") <= 5).select(
-        F.col("vec_id").cast("string").alias("query"), F.col("other").cast("string").alias("code"), "pos"
-    )
+    return placed.select(F.col("vec_id").cast("string").alias("query"), F.col("other").cast("string").alias("code"), "pos")
 
 
 def labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries with their positives: (query, specialty, embedding, positives)."""
+    """Queries with their positives, which may be none: (query, specialty, embedding, positives)."""
     lists = truth(spark, folder).groupBy("query").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda m: m["code"]).alias("positives")
     )
-    return vectors(spark, folder).join(lists, "query")
+    none = F.array().cast("array<string>")
+    return vectors(spark, folder).join(lists, "query", "left").withColumn("positives", F.coalesce("positives", none))
 
 
 def codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,11 +215,8 @@ VIEWS = {
     "truth": """
         SELECT e.vec_id::VARCHAR AS query, f.vec_id::VARCHAR AS code,
                row_number() OVER (PARTITION BY e.vec_id ORDER BY f.vec_id) AS pos
-        FROM embeddings e JOIN (
-            SELECT label, vec_id FROM embeddings
-            QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 6) f USING (label)
-        WHERE e.vec_id <> f.vec_id
-        QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY f.vec_id) <= 5""",
+        FROM sixes e JOIN sixes f USING (label, place) WHERE e.vec_id <> f.vec_id""",
+    "sixes": "SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 6 AS place FROM embeddings",
     "codes": """
         SELECT p_partkey AS ord, p_name || ' ' || p_type AS description,
                chr((65 + p_partkey % 26)::INTEGER) || lpad((p_partkey % 100)::VARCHAR, 2, '0')
@@ -281,6 +284,7 @@ VIEWS = {
 
 _NEEDS = {
     "sim": ["vec"],
+    "truth": ["sixes"],
     "lines": ["codes"],
     "labels_all": ["lines"],
     "labels1": ["lines"],
