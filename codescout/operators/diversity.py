@@ -8,6 +8,7 @@ the whole DataFrame, with the same results.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,6 +60,12 @@ def _both(small: DataFrame | None, large: DataFrame | None) -> DataFrame:
     return small if large is None else small.unionByName(large)
 
 
+def _usable(df: DataFrame, specialty: str, key: str, vector: str) -> DataFrame:
+    """Rows with a vector, one for each specialty and key (of several the smallest vector), whatever the size of the group."""
+    filled = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
+    return filled.groupBy(specialty, key).agg(F.min(vector).alias(vector))
+
+
 def _type(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType)
 
@@ -80,9 +87,10 @@ def diverse_greedy(
     Starts with the query of lowest mean similarity to its specialty; then drops
     those above ``threshold`` to any chosen one and adds the one with the lowest mean
     similarity to the chosen ones, the lowest key on ties. Returns the specialty, the
-    key and the place in which it was chosen. A lone query is always kept.
+    key and the place in which it was chosen. A lone query is always kept. Rows without a vector take no part, and a key
+    that occurs several times in a specialty counts once.
     """
-    rows = df.select(specialty, key, vector)
+    rows = _usable(df, specialty, key, vector)
     small, large = split_by_size(rows, specialty, vector, task_bytes)
     if small is not None:
         schema = T.StructType([_type(df, specialty), _type(df, key), T.StructField("place", T.IntegerType())])
@@ -275,7 +283,7 @@ def cluster_queries(
     df: DataFrame,
     clusters: int | None = None,
     seed: int = 42,
-    max_rounds: int = 100,
+    max_rounds: int | None = None,
     specialty: str = "specialty",
     key: str = "query",
     vector: str = "embedding",
@@ -284,9 +292,10 @@ def cluster_queries(
     """K-means per specialty: the cluster of each query and its cosine to the centroid.
 
     The first centroids are a seeded draw of the queries; a centroid without members
-    stays where it is.
+    stays where it is. Runs until no query changes its cluster, unless ``max_rounds`` ends it before. Rows without a vector take
+    no part, and a key that occurs several times in a specialty counts once.
     """
-    rows = df.select(specialty, key, vector, draw(seed, F.col(key)).alias("_draw"))
+    rows = _usable(df, specialty, key, vector).withColumn("_draw", draw(seed, F.col(key)))
     small, large = split_by_size(rows, specialty, vector, task_bytes)
     schema = T.StructType(
         [
@@ -305,6 +314,10 @@ def cluster_queries(
     return _both(small, large)
 
 
+def _rounds(most: int | None):
+    return itertools.count() if most is None else range(most)
+
+
 def _nearest(matrix: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Index of the nearest centroid by Euclidean distance, the lowest on ties."""
     half = np.einsum("ij,ij->i", centroids, centroids) / 2
@@ -322,18 +335,19 @@ def _centroid_cosines(matrix: np.ndarray, centroids: np.ndarray, labels: np.ndar
 
 
 def _lloyd_in_task(
-    clusters: int | None, max_rounds: int, specialty: str, key: str, vector: str
+    clusters: int | None, max_rounds: int | None, specialty: str, key: str, vector: str
 ) -> Callable[[pa.Table], pa.Table]:
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_draw", "ascending"), (key, "ascending")])
         matrix = rows_of(table.column(vector)).astype(np.float64)
         centroids = matrix[:cluster_count(len(matrix), clusters)].copy()
-        labels = None
-        for _ in range(max_rounds):
-            nearest = _nearest(matrix, centroids)
-            if labels is not None and (nearest == labels).all():
+        seen = set()
+        for _ in _rounds(max_rounds):
+            labels = _nearest(matrix, centroids)
+            state = labels.tobytes()
+            if state in seen:  # unchanged, or back at an earlier state by rounding
                 break
-            labels = nearest
+            seen = {*seen, state} if len(seen) < 8 else {state}
             members = np.bincount(labels, minlength=len(centroids))
             sums = np.zeros_like(centroids)
             np.add.at(sums, labels, matrix)
@@ -352,7 +366,7 @@ def _lloyd_in_task(
 def _lloyd_over_rounds(
     rows: DataFrame,
     clusters: int | None,
-    max_rounds: int,
+    max_rounds: int | None,
     specialty: str,
     key: str,
     vector: str,
@@ -439,7 +453,7 @@ def _lloyd_over_rounds(
             T.StructField("total", T.ArrayType(T.DoubleType())),
         ]
     )
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         totals = (
             with_centroids()
             .mapInArrow(add_up, sum_schema)

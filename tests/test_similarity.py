@@ -344,3 +344,33 @@ def test_embed_each_text_once(spark):
 def test_top_cells_breaks_ties_by_column():
     scores = np.array([[5, 7, 7, 1], [0, 0, 0, 0]])
     assert blocks.top_cells(scores, 2).tolist() == [[1, 2], [0, 1]]
+
+
+@pytest.mark.parametrize("task_bytes", [64 << 20, 64])
+def test_rows_that_take_no_part_do_not_depend_on_the_path(spark, task_bytes):
+    rng = np.random.default_rng(5)
+    rows = [("a", f"q{i:02d}", rng.normal(size=4).tolist()) for i in range(12)]
+    odd = [("a", "q90", None), ("a", "q91", []), ("a", "q92", [1.0, None, 0.0, 0.0]), ("a", "q00", rows[0][2]), ("b", "q93", None)]
+    schema = "specialty string, query string, embedding array<double>"
+    plain, awkward = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + odd, schema)
+    for choose in (diversity.diverse_greedy, diversity.cluster_queries):
+        wanted = sorted(map(str, choose(plain, task_bytes=64 << 20).collect()))
+        assert sorted(map(str, choose(awkward, task_bytes=task_bytes).collect())) == wanted
+
+
+@pytest.mark.parametrize("limits", PATHS)
+def test_percentiles_keep_queries_without_candidates(spark, codes, limits):
+    rows = [("x", [1.0] * 8, []), ("y", None, []), ("z", [0.5, *[1.0] * 7], [f"c{i:03d}" for i in range(90)])]
+    frame = spark.createDataFrame(rows, "query string, embedding array<float>, positives array<string>")
+    got = {r.query: r for r in mining.similarity_percentiles(frame, codes, **limits).collect()}
+    assert {q: r.candidates for q, r in got.items()} == {"x": 90, "y": 0, "z": 0}
+    assert got["y"].p70 is None and got["z"].p70 is None and got["x"].p70 is not None
+
+
+def test_scarce_queries_get_all_candidates(spark, codes):
+    rows = [("few", [1.0] * 8, [f"c{i:03d}" for i in range(60)]), ("many", [1.0] * 8, ["c000"]), ("none", [1.0] * 8, [f"c{i:03d}" for i in range(90)])]
+    frame = spark.createDataFrame(rows, "query string, embedding array<float>, positives array<string>")
+    got = mining.mine_negatives_topk(frame, codes, 50).collect()
+    assert {r.code for r in got if r.query == "few"} == {f"c{i:03d}" for i in range(60, 90)}
+    assert len([r for r in got if r.query == "many"]) == 50 and not [r for r in got if r.query == "none"]
+    assert mining.mine_negatives_topk(frame, codes.limit(0), 50).count() == 0
