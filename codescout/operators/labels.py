@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from codescout.functions.text import (
     KEYWORD_CODES,
+    SPACE_CHARS,
     default_code,
     file_safe,
     fill_template,
     keyed_specialty,
     keyword_codes,
     parse_code_list,
+    strip_space,
 )
 from codescout.operators.running import row_numbers
 
@@ -254,3 +256,93 @@ def build_requests(
             },
         ).alias("request"),
     )
+
+
+# --- labels out of a vocabulary ----------------------------------------------------------------
+
+
+def _grams(text: Column) -> Column:
+    """All distinct parts of a text of up to three characters, the empty one included."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+
+    def of_length(n: int) -> Column:
+        return F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), of_length(1), of_length(2), of_length(3)))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, f"[{SPACE_CHARS}]+", -1), lambda word: word != ""))
+
+
+def closest_labels(
+    df: DataFrame, labels: DataFrame, predicted: str = "predicted", label: str = "label", order: str = "ord"
+) -> DataFrame:
+    """``df`` with ``closest``: the label nearest to the predicted one, null for null and without labels.
+
+    The first label (by ``order``, which is unique) that contains the prediction or is contained in it wins. Otherwise the highest
+    share of common words wins, the first on ties, and the first label of all when no word is shared. Distinct predictions meet
+    labels by equi-joins: the one contained in the other is looked up by its first three characters among the parts of the other,
+    and words by themselves.
+    """
+    names = labels.select(F.col(label).alias("_label"), F.col(order).alias("_ord"), F.lower(label).alias("_name"))
+    asked = df.select(F.col(predicted).alias("_asked")).filter("_asked IS NOT NULL").distinct().withColumn("_low", F.lower("_asked"))
+
+    def start(text: str) -> Column:
+        return F.substring(text, 1, 3).alias("_part")
+
+    holds = asked.select("_asked", "_low", start("_low")).join(
+        names.select("_ord", "_name", F.explode(_grams(F.col("_name"))).alias("_part")), "_part"
+    ).filter(F.contains("_name", "_low"))
+    held = asked.select("_asked", "_low", F.explode(_grams(F.col("_low"))).alias("_part")).join(
+        names.select("_ord", "_name", start("_name")), "_part"
+    ).filter(F.contains("_low", "_name"))
+    inside = holds.select("_asked", "_ord").unionByName(held.select("_asked", "_ord")).groupBy("_asked").agg(F.min("_ord").alias("_in"))
+
+    def by_word(rows: DataFrame, key: str, text: str, size: str) -> DataFrame:
+        words = _words(F.col(text))
+        return rows.select(key, F.size(words).alias(size), F.explode(words).alias("_word"))
+
+    common = by_word(asked, "_asked", "_low", "_own").join(by_word(names, "_ord", "_name", "_other"), "_word")
+    scored = common.groupBy("_asked", "_ord").agg((F.count("*") / F.max(F.greatest("_own", "_other"))).alias("_score"))
+    most = scored.groupBy("_asked").agg(F.max("_score").alias("_most"))
+    shared = scored.join(most, "_asked").filter("_score = _most").groupBy("_asked").agg(F.min("_ord").alias("_shared"))
+    lowest = labels.agg(F.min(order)).first()[0]
+    chosen = asked.join(inside, "_asked", "left").join(shared, "_asked", "left")
+    first = F.lit(lowest).cast(names.schema["_ord"].dataType)
+    chosen = chosen.select("_asked", F.coalesce("_in", "_shared", first).alias("_ord")).join(names.select("_ord", "_label"), "_ord", "left")
+    found = chosen.select(F.col("_asked").alias(predicted), F.col("_label").alias("closest"))
+    return df.join(found, predicted, "left")
+
+
+def validated_labels(
+    df: DataFrame,
+    labels: DataFrame,
+    predicted: str = "predicted",
+    label: str = "label",
+    order: str = "ord",
+    fallback: str = "general_practice",
+) -> DataFrame:
+    """``df`` with ``valid``: a listed label as it is, the closest one for others, the first for null, ``fallback`` without labels."""
+    first = labels.agg(F.min_by(label, order)).first()[0]
+    listed = labels.select(F.col(label).alias(predicted)).distinct().withColumn("_listed", F.lit(True))
+    others = df.join(listed, predicted, "left")
+    near = closest_labels(others.filter("_listed IS NULL").select(predicted).distinct(), labels, predicted, label, order)
+    joined = others.join(near, predicted, "left")
+    valid = F.when(F.col("_listed"), F.col(predicted)).otherwise(F.coalesce("closest", F.lit(first), F.lit(fallback)))
+    return joined.select(*df.columns, valid.alias("valid"))
+
+
+def top_labels(
+    df: DataFrame, labels: DataFrame, key: str, reply: str = "reply", label: str = "label", wanted: int = 3
+) -> DataFrame:
+    """(``key``, ``labels``, ``complete``): the known labels of a comma list in order, and whether there are as many as wanted.
+
+    ``key`` is unique. Items meet the labels in a join, so the vocabulary may be of any size.
+    """
+    items = F.transform(F.split(F.coalesce(reply, F.lit("")), ",", -1), strip_space)
+    placed = df.select(key, F.posexplode(items).alias("_pos", "_item"))
+    known = placed.join(labels.select(F.col(label).alias("_item")).distinct(), "_item", "left_semi")
+    lists = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_found"))
+    found = F.coalesce(F.col("_found._item"), F.array().cast("array<string>"))
+    return df.select(key).join(lists, key, "left").select(key, found.alias("labels"), (F.size(found) == wanted).alias("complete"))

@@ -90,12 +90,10 @@ def keyword_codes(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.md5("query").alias("query"), F.array_join("codes", ",").alias("codes"))
 
 
-def _label_names(spark: SparkSession, folder: str) -> list[str]:
-    """Known product names, a short fixed vocabulary; refused if it ever is not."""
-    names = catalog.table(spark, folder, "part").select("p_name").distinct().orderBy("p_name").limit(1001).collect()
-    if len(names) > 1000:
-        raise ValueError("too many labels for a label list")
-    return [row.p_name for row in names]
+def _label_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Known product names as labels in alphabetical order: (ord, label)."""
+    names = catalog.table(spark, folder, "part").select(F.col("p_name").alias("label")).distinct()
+    return names.select(F.col("label").alias("ord"), "label")
 
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,17 +107,13 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def closest_labels(spark: SparkSession, folder: str) -> DataFrame:
-    names = _label_names(spark, folder)
-    return _predictions(spark, folder).filter(F.col("predicted").isNotNull()).select(
-        "p_partkey", "predicted", text.closest_label(F.col("predicted"), names).alias("label")
-    )
+    found = labels.closest_labels(_predictions(spark, folder), _label_names(spark, folder))
+    return found.select("p_partkey", "predicted", F.col("closest").alias("label"))
 
 
 def validated_labels(spark: SparkSession, folder: str) -> DataFrame:
-    names = _label_names(spark, folder)
-    return _predictions(spark, folder).select(
-        "p_partkey", text.validate_label(F.col("predicted"), names).alias("label")
-    )
+    found = labels.validated_labels(_predictions(spark, folder), _label_names(spark, folder))
+    return found.select("p_partkey", F.col("valid").alias("label"))
 
 
 def relevance_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,19 +130,18 @@ def classifications(spark: SparkSession, folder: str) -> DataFrame:
     kind = (
         F.when(F.col("lang") == "en", "diagnostic").when(F.col("lang") == "fr", "procedural").otherwise(F.col("lang"))
     )
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
     replies = _documents(spark, folder).select(
-        "doc_id", F.concat(F.lit("classification: "), kind, F.lit("\nreason: "), first_line).alias("reply")
+        "doc_id", F.concat(F.lit("classification: "), kind, F.lit("\nreason: "), F.col("text")).alias("reply")
     )
     return replies.select("doc_id", text.parse_classification(F.col("reply")).alias("r")).select("doc_id", "r.*")
 
 
 def top_labels(spark: SparkSession, folder: str) -> DataFrame:
-    names = _label_names(spark, folder)
     reply = F.concat_ws(", ", F.col("p_name"), F.col("p_type"), F.reverse("p_name"), F.col("p_name"))
     more = F.when(F.col("p_size") % 2 == 0, F.concat_ws(",", reply, F.col("p_name"))).otherwise(reply)
-    parsed = catalog.table(spark, folder, "part").select("p_partkey", text.parse_top_labels(more, names).alias("r"))
-    return parsed.select("p_partkey", F.array_join("r.labels", "|").alias("labels"), F.col("r.complete").alias("complete"))
+    replies = catalog.table(spark, folder, "part").select("p_partkey", more.alias("reply"))
+    parsed = labels.top_labels(replies, _label_names(spark, folder), "p_partkey")
+    return parsed.select("p_partkey", F.array_join("labels", "|").alias("labels"), "complete")
 
 
 def query_list_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -581,7 +574,7 @@ SQL = {
         hits AS (SELECT text, unnest(codes) AS code FROM latest JOIN words ON contains(lower(text), word)),
         lists AS (SELECT text, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM hits GROUP BY text)
         SELECT md5(l.text) AS query, coalesce(codes, 'Z-' || lang) AS codes FROM latest l LEFT JOIN lists USING (text)""",
-    "closest_labels": f"WITH {_LABELS} SELECT p_partkey, g.predicted, label FROM guesses g JOIN nearest USING (predicted)",
+    "closest_labels": f"WITH {_LABELS} SELECT p_partkey, g.predicted, label FROM guesses g LEFT JOIN nearest USING (predicted)",
     "validated_labels": f"""WITH {_LABELS}
         SELECT p_partkey, CASE WHEN g.predicted IS NULL THEN (SELECT label FROM names WHERE ord = 1)
                WHEN g.predicted IN (SELECT label FROM names) THEN g.predicted ELSE n.label END AS label

@@ -261,3 +261,23 @@ def test_call_rate_is_strict_and_counts_ties(spark):
         r = got[(caller, t)]
         assert (r.calls, r.calls_in_period, r.over_capacity) == (rows.count((caller, t)), len(inside), len(inside) > 2)
         assert r.wait_us == (min(inside) + 10 - t if len(inside) > 2 else 0)
+
+
+def test_labels_out_of_a_vocabulary(spark):
+    from codescout.operators import labels
+    from test_text import closest_by_hand
+
+    names = ["general practice", "Sports Medicine physician", "medicine physician", "oral surgery", "surgery", "ab"]
+    rows = ["Sports", "physician of medicine", "ORAL SURGERY clinic", "nothing here", "physician", "practice general", "", "surgery", "b", "xabx", "surgery"]
+    vocabulary = spark.createDataFrame(list(enumerate(names)), "ord int, label string")
+    asked = spark.createDataFrame([(r,) for r in [*rows, None]], "predicted string")
+    got = {r.predicted: r.closest for r in labels.closest_labels(asked, vocabulary).collect()}
+    assert got == {**{r: closest_by_hand(r, names) for r in rows}, None: None}
+    valid = sorted(str((r.predicted, r.valid)) for r in labels.validated_labels(asked, vocabulary).collect())
+    wanted = [(r, r if r in names else closest_by_hand(r, names)) for r in rows] + [(None, names[0])]
+    assert valid == sorted(map(str, wanted))
+    none = vocabulary.limit(0)
+    assert {r.valid for r in labels.validated_labels(asked, none).collect()} == {"general_practice"}
+    replies = spark.createDataFrame([(1, "ab, surgery, x, ab"), (2, None), (3, "x"), (4, "surgery,ab")], "id int, reply string")
+    found = {r.id: (r.labels, r.complete) for r in labels.top_labels(replies, vocabulary, "id").collect()}
+    assert found == {1: (["ab", "surgery", "ab"], True), 2: ([], False), 3: ([], False), 4: (["surgery", "ab"], False)}
