@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -46,20 +48,22 @@ def embed_texts(
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
-    """A deterministic stand-in for a model: words hashed into ``dim`` signed counts."""
+    """A deterministic stand-in for a model: words hashed by md5 into ``dim`` signed counts, scaled to length one.
 
-    def make() -> Encoder:
-        import xxhash
+    Words are separated by spaces, tabs and line breaks and compared in lower case.
+    """
 
-        word = re.compile(r"\w+")
+    def make() -> Encoder:
+        word = re.compile(r"[^ \t\n\r]+")
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, text in enumerate(texts):
-                for token in word.findall(text.lower()):
-                    digest = xxhash.xxh64_intdigest(token)
-                    out[row, (digest >> 1) % dim] += 1.0 if digest & 1 else -1.0
-            lengths = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1))
+            counts = [Counter(word.findall(text.lower())) for text in texts]
+            hashes = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for c in counts for w in c}
+            out = np.zeros((len(texts), dim))
+            for row, found in enumerate(counts):
+                for token, n in found.items():
+                    out[row, (hashes[token] >> 1) % dim] += n if hashes[token] & 1 else -n
+            lengths = np.sqrt((out**2).sum(axis=1))
             return (out / np.where(lengths > 0, lengths, 1.0)[:, None]).astype(np.float32)
 
         return encode

@@ -66,7 +66,14 @@ def read_triplet_columns(spark: SparkSession, folder: str) -> DataFrame:
 def read_triplets_limited(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.read_triplets_limited(spark, _triplet_csv(spark, folder), 5000)
     complete = F.col("anchor").isNotNull() & F.col("positives").isNotNull() & F.col("negatives").isNotNull()
-    return rows.agg(F.count("*").alias("rows"), F.count_if(~complete).alias("incomplete"))
+    columns = ["anchor", "positives", "negatives"]
+    known = read_triplets(spark, folder).select(columns).distinct().withColumn("_known", F.lit(True))
+    return rows.join(known, columns, "left").agg(
+        F.count("*").alias("rows"),
+        F.count_if(~complete).alias("incomplete"),
+        F.count_distinct(*columns).alias("different"),
+        F.count_if(F.col("_known")).alias("known"),
+    )
 
 
 def read_keywords(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +206,8 @@ SQL = {
     "read_triplets": with_views("trip", "SELECT specialty, anchor, positives, negatives FROM trip"),
     "read_triplet_columns": with_views("trip", "SELECT specialty, negatives FROM trip"),
     "read_triplets_limited": with_views("trip", """
-        SELECT least(count(*), 5000) AS rows, 0::BIGINT AS incomplete FROM (
+        SELECT least(count(*), 5000) AS rows, 0::BIGINT AS incomplete, least(count(*), 5000) AS different,
+               least(count(*), 5000) AS known FROM (
             SELECT DISTINCT anchor, positives, negatives FROM trip
             WHERE anchor IS NOT NULL AND positives IS NOT NULL AND negatives IS NOT NULL)"""),
     "read_keywords": f"""

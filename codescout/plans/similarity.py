@@ -183,10 +183,15 @@ def cv_threshold(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mean_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.mean_threshold(cv_threshold(spark, folder))
+
+
 def code_embeddings_from_text(spark: SparkSession, folder: str) -> DataFrame:
     texts = catalog.table(spark, folder, "documents").select("doc_id", "text")
     embedded = embed_texts(texts, "text", hashing_encoder(64))
-    return embedded.select("doc_id", F.size("embedding").alias("dimension"), F.round(cosine("embedding", "embedding"), 6).alias("self_similarity"))
+    parts = embedded.select("doc_id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0")
+    return parts.select("doc_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def query_to_code_mapping(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +217,7 @@ QUERIES = {
         redundancy_profile, diverse_greedy, diverse_cluster, diversity_comparison, average_pairwise_similarity,
         embedding_coverage, silhouette, evaluate_methods, method_wins, similarity_percentiles, negative_candidates,
         negatives_topk, negatives_band, triplet_lists, triplet_rows, trimmed_positives, triplet_embeddings,
-        triplet_accuracy, optimal_threshold, cv_threshold, code_embeddings_from_text, query_to_code_mapping,
+        triplet_accuracy, optimal_threshold, cv_threshold, mean_threshold, code_embeddings_from_text, query_to_code_mapping,
         retrieval_evaluation,
     )
 }
@@ -378,3 +383,13 @@ SQL = {
                sum(hits)::BIGINT AS exact_matches, sum(hits)::BIGINT AS family_matches
         FROM lists JOIN sizes USING (query)"""),
 }
+
+SQL["mean_threshold"] = f"SELECT round(avg(threshold), 6) AS mean_threshold, count(*) AS folds FROM ({SQL['cv_threshold']})"
+SQL["code_embeddings_from_text"] = r"""
+    WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \t\n\r]+')) AS word FROM documents),
+    hashed AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM words),
+    counts AS (
+        SELECT doc_id, ((h >> 1) % 64)::INTEGER AS pos, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS n
+        FROM hashed GROUP BY ALL),
+    lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM counts GROUP BY doc_id)
+    SELECT doc_id, pos, round((n / length)::FLOAT::DOUBLE, 6) AS x FROM counts JOIN lengths USING (doc_id) WHERE n <> 0"""

@@ -16,12 +16,15 @@ def incremental_labelling_intake(spark: SparkSession, source: str, queue: str, c
     """Turn new input files into pending work items, each (specialty, query) once.
 
     Runs over what has arrived and stops; the next run goes on from the checkpoint. The
-    parquet sink commits files per batch, so a repeated batch adds nothing.
+    parquet sink commits files per batch, so a repeated batch adds nothing. The state holds a
+    hash of each item and not its texts.
     """
     arrivals = spark.readStream.schema(INTAKE_SCHEMA).json(source)
     items = (
         arrivals.withColumn("specialty", file_safe(F.col("specialty")))
-        .dropDuplicates(["specialty", "query"])
+        .withColumn("_item", F.md5(F.to_json(F.struct("specialty", "query"))))
+        .dropDuplicates(["_item"])
+        .drop("_item")
         .withColumn("status", F.lit("pending"))
         .withColumn("attempts", F.lit(0))
     )
