@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codescout.llm.common import ready, slices
+from codescout.session import materialise
 
 #: Lines under the rolling hash, one in how many places is a cut, and lines that a chunk has at least.
 WINDOW, ONE_IN, LEAST = 2, 4, 2
@@ -98,7 +99,8 @@ def repeated_places(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .filter("_n > 1 and _bodies = 1")
         .select("_hash", "_first")
     )
-    places = _places(docs, key, text, bodies=False).join(known, "_hash")
+    # Written out, both sides of the join are plain shuffles, so the rows of a passage that is everywhere can be split.
+    places = _places(docs, key, text, bodies=False).join(materialise(known), "_hash")
     gone = places.filter(F.col("_again") | ~F.col("_key").eqNullSafe(F.col("_first")))
     return gone.groupBy("_key", "_text_hash").agg(F.collect_set(F.struct("_start", "_end")).alias("_ranges"))
 
