@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import io
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ SMOOTHING = 0.1
 #: Bytes of a text that are worked on at a time.
 PIECE = 1 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters: A-Z become lower case, other ASCII but letters become a space, all bytes of longer characters stay.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
@@ -210,7 +208,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     fields.append(T.StructField("languages", shares))
 
     def one(known: Model, value: str | None) -> tuple[str, float, list]:
-        if value is None or not known.languages or not _LETTER.search(value):
+        if value is None or not known.languages or not any(map(str.isalpha, value)):
             return UNDETERMINED, 0.0, []
         found = known.mixture(value)
         best = int(np.argmax(found))

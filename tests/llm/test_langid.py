@@ -52,6 +52,8 @@ def test_awkward_rows(awkward, no_rows, monkeypatch):
     whole = langid.identify(awkward, model, rows=True)
     assert whole.select("row.*").columns == awkward.columns
     assert sorted(str((r.row.doc_id, r.lang_pred, r.score)) for r in whole.collect()) == sorted(str(tuple(r)[:3]) for r in got)
+    signs = awkward.sparkSession.createDataFrame([(1, "² ½ Ⅷ ٣ _"), (2, "² é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(signs, model).orderBy("doc_id").collect()] == [True, False]
     empty = langid.train(no_rows)
     assert {r.lang_pred for r in langid.identify(awkward, empty).collect()} == {"und"}
     assert langid.identify(no_rows, model).count() == 0
