@@ -152,6 +152,14 @@ def triplet_rows(spark: SparkSession, folder: str) -> DataFrame:
     return mining.explode_triplets(_triplets(spark, folder))
 
 
+def training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean triplets of the whole job."""
+    from codescout.plans.jobs import training_set as job
+
+    queries, codes = catalog.labelled_vectors(spark, folder), catalog.code_vectors(spark, folder)
+    return job(queries, codes, 3, NEGATIVES, SEED)[0]
+
+
 def trimmed_positives(spark: SparkSession, folder: str) -> DataFrame:
     trimmed = mining.trim_positives(
         catalog.label_set(spark, folder).select("specialty", "query", F.col("codes").alias("positives")), 2
@@ -216,7 +224,7 @@ QUERIES = {
         top_k_codes, top_k_by_specialty, batch_search, codes_per_query, limited_view, l2_normalized, pair_cosine,
         redundancy_profile, diverse_greedy, diverse_cluster, diversity_comparison, average_pairwise_similarity,
         embedding_coverage, silhouette, evaluate_methods, method_wins, similarity_percentiles, negative_candidates,
-        negatives_topk, negatives_band, triplet_lists, triplet_rows, trimmed_positives, triplet_embeddings,
+        negatives_topk, negatives_band, triplet_lists, triplet_rows, training_set, trimmed_positives, triplet_embeddings,
         triplet_accuracy, optimal_threshold, cv_threshold, mean_threshold, code_embeddings_from_text, query_to_code_mapping,
         retrieval_evaluation,
     )
@@ -350,6 +358,8 @@ SQL = {
         + _PICKS + "SELECT query, code, kind, s AS similarity FROM picks"),
     "triplet_lists": with_views("sim truth", "," + _DRAWS_TRIMMED + _TOPK_PICKS + _TRIPLETS),
     "triplet_rows": with_views("sim truth", "," + _DRAWS_TRIMMED + _TOPK_PICKS + _TRIPLET_ROWS + "SELECT * FROM rows"),
+    "training_set": with_views("sim truth", "," + _DRAWS_TRIMMED + _TOPK_PICKS + _TRIPLET_ROWS
+        + "SELECT DISTINCT anchor, positives, negatives FROM rows"),
     "trimmed_positives": with_views("labels_all", """
         SELECT specialty, query, array_to_string(codes[1:2], ',') AS positives FROM labels_all WHERE len(codes) > 0"""),
     "triplet_embeddings": with_views("sim truth", "," + _DRAWS_TRIMMED + _TOPK_PICKS + _TRIPLET_ROWS + """
