@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,30 +13,43 @@ from codescout.session import materialise
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(``node``, ``root``) for every key that occurs in a link; the root is one key of the component, the same for all of it.
 
-    In each round every key points to the smallest of itself and its neighbours, then to where that one points, and links are
-    redrawn between the keys pointed to. A key that has a smaller neighbour disappears from the links, so rounds grow with the
-    logarithm of the longest path. Minima are combined before the shuffle, so a key with most of the links is no hot spot there.
-    Null keys and links of a key to itself are ignored.
+    In each round every key points to the smallest of itself and its neighbours. These pointers form trees; each tree becomes its
+    root, and links are redrawn between the roots. Every key with links shares a tree with another one, so at least half of them
+    disappear in a round. Minima are combined before the shuffle, so a key with most of the links is no hot spot there. Null keys
+    and links of a key to itself are ignored.
     """
     edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b").distinct()
     edges = materialise(edges)
-    roots = None
+    steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("to"))
-        parent = materialise(parent)
-        above = parent.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        # What a key points to is itself a key of this round, so the inner join loses nothing.
-        step = materialise(parent.join(above, "to").select("node", F.col("top").alias("root")))
-        if roots is None:
-            roots = step
-        else:
-            moved = step.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            roots = roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-            roots = materialise(roots)
+        lowest = both.groupBy("a").agg(F.min("b").alias("low"))
+        step = _roots(materialise(lowest.select(F.col("a").alias("node"), F.least("a", "low").alias("to"))))
+        steps.append(step)
         edges = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
         edges = edges.join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         edges = materialise(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
-    if roots is None:
+    if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    return functools.reduce(_then, steps)
+
+
+def _roots(parent: DataFrame) -> DataFrame:
+    """(``node``, ``root``) of the trees given by (``node``, ``to``), where roots point to themselves.
+
+    Every pass goes four times as far up, so passes grow with the logarithm of the depth.
+    """
+    while True:
+        above = parent.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        twice = parent.join(above, "to").select("node", F.col("up").alias("to"))
+        further = twice.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        passed = materialise(twice.join(further, "to").select("node", "to", "up"))
+        if passed.filter("to <> up").isEmpty():
+            return passed.select("node", F.col("up").alias("root"))
+        parent = passed.select("node", F.col("up").alias("to"))
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Roots after a further round, which knows only the roots that still had links."""
+    moved = second.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return first.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
