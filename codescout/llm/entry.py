@@ -52,7 +52,7 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.remove_repeated(table(spark, folder, "documents"))
+    return line_dedup.remove_repeated(table(spark, folder, "documents"), finest=True)
 
 
 def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:

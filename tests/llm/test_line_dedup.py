@@ -63,3 +63,67 @@ def test_equal_hashes_of_different_bytes_remove_nothing(spark, monkeypatch):
     places = line_dedup._places(frame, "doc_id", "text", True)
     assert places.count() > 0
     assert line_dedup.repeated_places(frame).count() == 0
+
+
+def left(rows):
+    """Texts after every run of two or more non-blank lines that an earlier text has is taken out, found by comparing all pairs of texts."""
+    out = []
+    for n, (key, text) in enumerate(rows):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for _, earlier in rows[:n]:
+            other = [x for x in earlier.split("\n") if x.strip()]
+            for i in range(len(full)):
+                for j in range(len(other)):
+                    n_same = 0
+                    while i + n_same < len(full) and j + n_same < len(other) and lines[full[i + n_same]] == other[j + n_same]:
+                        n_same += 1
+                    if n_same >= 2:
+                        gone |= set(range(full[i], full[i + n_same - 1] + 1))
+        out.append((key, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_finest_level_takes_whole_passages_of_any_length(spark):
+    draw = random.Random(6)
+    rows, planted = [], []
+    for length in (2, 3, 4, 5, 6, 8, 10, 15):
+        for copy in range(5):
+            passage = [f"passage {length} {copy} line {i}" for i in range(length)]
+            planted.append(passage)
+            for where in range(3):
+                between = [x for line in passage for x in (line, *[""] * (where == 2))]
+                own = [[f"own {draw.random()}" for _ in range(draw.randint(1, 6))] for _ in range(2)]
+                rows.append((len(rows), "\n".join([*own[0], *between, *own[1]])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in line_dedup.remove_repeated(frame, finest=True).collect())
+    # Trailing blank lines of a passage may stay or go with a chunk.
+    assert [(k, [x for x in t.split("\n") if x]) for k, t, _ in got] == [(k, [x for x in t.split("\n") if x]) for k, t, _ in left(rows)]
+    for number, passage in enumerate(planted):
+        first, *others = (t.split("\n") for _, t, _ in got[3 * number : 3 * number + 3])
+        assert "\n".join(passage) in "\n".join(first)
+        assert not any(set(passage) & set(x) for x in others)
+    assert all(n == len(t.split("\n")) - len(new.split("\n")) for (_, t), (_, new, n) in zip(rows, got))
+
+
+def test_finest_level_keeps_first_places(spark, awkward, no_rows):
+    rows = [
+        (1, "a a\na a\na a"),  # overlaps itself only
+        (2, "x x\n" * 6),
+        (3, "p\nq\nr\np\nq\ns"),  # again in the same text
+        (4, "head\na a\na a\ntail"),
+        (None, "u\nv\nw"),
+        (None, "u\nv\nw"),
+        (5, None),
+        (6, ""),
+        (7, "single\n\n\nlines"),
+        (8, "single\nlines\nx x"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in line_dedup.remove_repeated(frame, finest=True).filter("doc_id <> 2 or doc_id is null").collect() if r.text is not None)
+    want = [("1", "a a\na a\na a"), ("3", "p\nq\nr\ns"), ("4", "head\ntail"), ("6", ""), ("7", "single\n\n\nlines"), ("8", "x x"), ("None", "u\nv\nw"), ("None", "u\nv\nw")]
+    assert got == want
+    kept = line_dedup.remove_repeated(awkward, finest=True)
+    assert kept.columns == [*awkward.columns, "lines_removed"] and kept.count() == awkward.count()
+    assert line_dedup.remove_repeated(no_rows, finest=True).count() == 0
