@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codescout.llm import urls
-from codescout.llm.common import ready, slices
+from codescout.llm.common import ready, slices, tidy
 from codescout.session import materialise
 
 #: Lines under the rolling hash, one in how many places is a cut, and lines that a chunk has at least.
@@ -106,7 +106,7 @@ def _places(docs: DataFrame, key: str, text: str, bodies: bool, finest: bool = F
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds[: len(fields) - 2])]
                 yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *columns], [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def _filter(places: DataFrame) -> Callable[[DataFrame], DataFrame]:

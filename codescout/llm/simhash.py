@@ -260,7 +260,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
 
     All columns stay as they are. Rows with the same key and the same text count as one document; one of them is kept.
     """
-    grouped = groups(docs, key, text, distance, blocks)
+    return keep(docs, groups(docs, key, text, distance, blocks), key, text)
+
+
+def keep(docs: DataFrame, grouped: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` chooses from the groups given."""
     # Groups without any key are told apart by their fingerprint classes only, so these rows keep one per fingerprint.
     unnamed = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     chosen = (
