@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import ann, bm25, bpe, chat, langid, line_dedup, mixing, simhash, token_counts, urls
+from codescout.llm import ann, bm25, bpe, chat, langid, line_dedup, merkle, mixing, simhash, token_counts, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -82,6 +82,13 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, pages.join(toxic, "page_id", "left_semi"), URL_RULES)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose id has an even CRC-32 are found without their line breaks."""
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    found = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, folder, "documents"), found={"text": found})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
@@ -93,8 +100,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_bm25_top_k": op9_bm25_top_k,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
+def _value(column: str) -> str:
+    text = f"{column}::VARCHAR"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+#: The leaf of a row by DuckDB, with the text given.
+_LEAF = "sha256(" + " || ".join(_value(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+#: CRC-32 of the decimal id, byte by byte and bit by bit.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1),
+    lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
 _COUNTED = " + ".join(
     f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROL)
 )
@@ -175,6 +197,53 @@ SQL: dict[str, str] = {
                 WHEN listed THEN 'block' ELSE 'allow' END AS verdict
         FROM judged
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE given AS (
+            SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf,
+                CASE WHEN xor({_CRC}, 4294967295) & 1 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")}
+                    ELSE {_LEAF.format(text="text")} END AS found
+            FROM documents
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                count(*) OVER (PARTITION BY source) AS n
+            FROM given
+        ), tree AS (
+            SELECT source, 0 AS level, place, leaf AS hash, n FROM numbered
+            UNION ALL
+            SELECT source, level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (n + 2) // 3
+            FROM tree WHERE n > 1 GROUP BY source, level, place // 3, n
+        ), subroots AS (
+            SELECT source, level AS height, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+            FROM tree WHERE n = 1
+        ), top AS (
+            SELECT 0 AS level, place, hash, n FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (n + 2) // 3
+            FROM top WHERE n > 1 GROUP BY level, place // 3, n
+        ), nodes AS (
+            SELECT source, false AS upper, level, place, hash, n FROM tree
+            UNION ALL SELECT NULL, true, level, place, hash, n FROM top
+        ), parents AS (
+            SELECT source, upper, level, place // 3 AS parent, list(hash ORDER BY place) AS kids
+            FROM nodes WHERE n > 1 GROUP BY source, upper, level, place // 3
+        ), folded AS (
+            SELECT l.doc_id, l.source, l.leaf, l.place AS first, s.hash AS subroot, s.height, s.place AS number,
+                0 AS step, l.place, l.found AS folded, '' AS proof
+            FROM numbered l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+            UNION ALL
+            SELECT f.doc_id, f.source, f.leaf, f.first, f.subroot, f.height, f.number, f.step + 1, f.at // 3,
+                sha256(array_to_string(p.kids[1:f.at % 3], '') || f.folded || array_to_string(p.kids[f.at % 3 + 2:], '')),
+                f.proof || array_to_string(p.kids[1:f.at % 3], '') || array_to_string(p.kids[f.at % 3 + 2:], '')
+            FROM (SELECT *, CASE WHEN step = height THEN number ELSE place END AS at FROM folded) f
+                JOIN parents p ON p.upper = (f.step >= f.height) AND p.parent = f.at // 3
+                    AND p.level = CASE WHEN f.step >= f.height THEN f.step - f.height ELSE f.step END
+                    AND p.source IS NOT DISTINCT FROM CASE WHEN f.step < f.height THEN f.source END
+        ), ended AS (
+            SELECT *, row_number() OVER (PARTITION BY source, first ORDER BY step DESC) AS last FROM folded
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM ended, (SELECT hash AS root FROM top WHERE n = 1) WHERE last = 1
+    """,
     "op6_source_mix": """
         WITH sizes AS (
             SELECT source AS s, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY source
