@@ -127,6 +127,27 @@ def row_numbers(
     return running_sums(df, group, order, {name: F.lit(1).cast("long")}, partitions)
 
 
+def first_per_group(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, name: str, part_rows: int = 1 << 17
+) -> DataFrame:
+    """The first ``n`` rows of each group in the given order, numbered from 1 in the column ``name``, for any ``n``.
+
+    Up to a thousand, Spark's group limit cuts groups inside the map tasks. A group of more rows than ``part_rows`` is first dealt into
+    parts of about that size, whatever the rows hold; the first ``n`` of each part go on, in as many rounds as it takes until what is
+    left of a group fits a task. How many that are follows from the largest group, the only number that reaches the driver.
+    """
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    part_rows = max(part_rows, 4 * n)
+    left = df
+    while largest > part_rows:
+        parts = -(-largest // part_rows)
+        dealt = left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+        place = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+        left = dealt.withColumn(name, place).filter(F.col(name) <= n).drop(name, "_part")
+        largest = parts * n
+    return left.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= n)
+
+
 def exact_percentiles(
     df: DataFrame, group: Sequence[str], value: str, fractions: Sequence[float]
 ) -> DataFrame:
