@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescout.llm import ann, bm25, bpe, chat, langid, line_dedup, merkle, mixing, simhash, token_counts, urls
+from codescout.llm import ann, bm25, bpe, chat, collocations, decontaminate, langid, line_dedup, merkle, mixing, simhash, token_counts, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,6 +89,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"), found={"text": found})
 
 
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    return decontaminate.digests(decontaminate.find(docs, items))
+
+
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
@@ -101,8 +110,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bm25_top_k": op9_bm25_top_k,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_decontamination": op12_decontamination,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
+#: The words of a text by DuckDB: A-Z in lower case, runs of digits, letters and all that isn't ASCII.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+
 def _value(column: str) -> str:
     text = f"{column}::VARCHAR"
     return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
@@ -244,6 +260,67 @@ SQL: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
         FROM ended, (SELECT hash AS root FROM top WHERE n = 1) WHERE last = 1
     """,
+    "op12_decontamination": rf"""
+        WITH read AS (
+            SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents
+        ), items AS (
+            SELECT item_id, {_WORDS} AS words FROM benchmark
+        ), windows AS (
+            SELECT item_id, least(len(words), {decontaminate.LENGTH}) AS size, unnest(list_transform(
+                range(1, len(words) - least(len(words), {decontaminate.LENGTH}) + 2),
+                lambda i: array_to_string(words[i:i + least(len(words), {decontaminate.LENGTH}) - 1], ' '))) AS said
+            FROM items WHERE len(words) > 0
+        ), runs AS (
+            SELECT row, size, unnest(range(1, len(words) - size + 2)) AS place,
+                unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS said
+            FROM read, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+        ), met AS (
+            SELECT row, place, runs.size, item_id FROM runs JOIN windows ON runs.said = windows.said AND runs.size = windows.size
+        ), hits AS (
+            SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(place, place + size)) AS word FROM met) GROUP BY row
+        ), listed AS (
+            SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM met WHERE item_id IS NOT NULL) GROUP BY row
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM read LEFT JOIN hits USING (row) LEFT JOIN listed USING (row)
+    """,
+    "op13_phrase_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS said FROM pieces
+        ), runs AS (
+            SELECT lang, size, unnest(list_transform(range(1, len(said) - size + 2), lambda i: array_to_string(said[i:i + size - 1], ' '))) AS phrase
+            FROM words, range(1, {collocations.WORDS + 1}) AS sizes(size) WHERE len(said) >= size
+        ), counts AS (
+            SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY lang, size, phrase
+        ), candidates AS (
+            SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS said FROM counts WHERE size > 1 AND f >= {collocations.LEAST}
+        ), cuts AS (
+            SELECT c.lang, c.size, c.phrase, c.a, k, l.f AS l, r.f AS r,
+                1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+                JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(said[1:k], ' ')
+                JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(said[k + 1:], ' ')
+        ), lowest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts
+        ), replaced AS (
+            SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN (
+                SELECT lang, a, size, unnest(list_transform(range(0, size - 1), lambda i: array_to_string(said[i + 1:i + 2], ' '))) AS phrase
+                FROM candidates WHERE size = 3) w ON w.lang = s.lang AND w.phrase = s.phrase
+            WHERE 100 * w.a >= {collocations.SHARE} * s.a
+        ), ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+            FROM lowest ANTI JOIN replaced USING (lang, phrase) WHERE place = 1
+        )
+        SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang) USING (lang)
+        WHERE rank <= {collocations.TOP}
+    """,
     "op6_source_mix": """
         WITH sizes AS (
             SELECT source AS s, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY source
