@@ -18,15 +18,19 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codescout.functions.vectors import unit_rows
+from codescout.session import materialise
 
 BLOCK_BYTES = 8 << 20
 BROADCAST_BYTES = 512 << 20
 GRID_BYTES = 256 << 20
+CELL_BYTES = 32 << 20
+#: Rows of a table of large groups (about 24 bytes each) up to which it is broadcast.
+MOST_SIZES = 1 << 20
 CHUNK_ROWS = 1024
 MICRO = 1_000_000
 _PRODUCT_CELLS = 4_000_000
@@ -205,6 +209,24 @@ def meet(
     return result, buckets
 
 
+def grids(left: DataFrame, right: DataFrame, group: str, width: int, cell_bytes: int) -> DataFrame:
+    """(``group``, ``_parts``, ``_bands``) of the groups that don't fit one cell: how finely their left and right rows are cut.
+
+    Such a group has more than ``cell_bytes`` of vectors, so there are at most as many as the data has cells.
+    """
+    per_cell = max(1, cell_bytes // max(1, width))
+    sizes = left.select(group, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(group, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+    counted = sizes.groupBy(group).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    cut = counted.select(
+        group,
+        F.ceil(F.col("_l") / F.lit(per_cell)).cast("int").alias("_parts"),
+        F.ceil(F.col("_r") / F.lit(per_cell)).cast("int").alias("_bands"),
+    )
+    return cut.filter("_parts > 1 or _bands > 1")
+
+
 def meet_in_group(
     left: DataFrame,
     right: DataFrame,
@@ -216,50 +238,39 @@ def meet_in_group(
     schema: T.StructType,
     sort_right: Sequence[str] = (),
     block_rows: int = 4096,
+    cell_bytes: int = CELL_BYTES,
+    bucket: str | None = None,
 ) -> DataFrame:
     """Like :func:`meet`, but blocks meet only inside the same group.
 
-    Each group is cut into buckets of about ``block_rows`` right rows. Left blocks
-    of the group visit every bucket, so a group that holds a third of all rows is
-    spread over as many tasks as it has buckets. Partial results are to be merged
-    by the caller.
+    A group larger than ``cell_bytes`` on either side is a grid: its left rows are cut into parts and its right rows into bands, parts
+    are copied to every band and bands to every part, and each cell of the grid is a join key of its own. So neither side of a cell is
+    larger than that, whatever the group's share of the rows. The number of parts and bands comes from a table of these large groups
+    only. Partial results are to be merged by the caller.
+
+    ``bucket`` names a right column; right rows with the same value of it are in one block, if they fit, and not with others.
     """
     valid = F.col(vector).isNotNull() & (F.size(vector) > 0)
-    sizes = (
-        right.filter(valid)
-        .groupBy(group)
-        .agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_buckets"))
-    )
-    stored = (
-        right.filter(valid)
-        .join(sizes, group)
-        .withColumn("_bucket", F.pmod(F.xxhash64(right_keep[0]), F.col("_buckets")).cast("int"))
-        .drop("_buckets")
-        .repartition(group, "_bucket")
-        .sortWithinPartitions(group, "_bucket", *(sort_right or [right_keep[0]]))
-    )
-    packed_right = _prefix(
-        pack(stored, right_keep, vector, 2 * block_rows, same=[group, "_bucket"]),
-        "r_",
-        skip=[group, "_bucket"],
-    )
-    shares = (
-        left.filter(valid)
-        .groupBy(group)
-        .agg(F.ceil(F.count("*") / F.lit(8 * CHUNK_ROWS)).cast("int").alias("_shares"))
-    )
-    spread = (
-        left.filter(valid)
-        .join(shares, group)
-        .withColumn("_share", F.pmod(F.xxhash64(left_keep[0]), F.col("_shares")).cast("int"))
-        .repartition(group, "_share")
-        .sortWithinPartitions(group, "_share")
-    )
-    packed_left = _prefix(pack(spread, left_keep, vector, CHUNK_ROWS, same=[group]), "l_", skip=[group])
-    visits = packed_left.join(sizes, group).withColumn(
-        "_bucket", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1))
-    )
-    pairs = visits.join(packed_right, [group, "_bucket"])
+    left, right = left.filter(valid), right.filter(valid)
+    _, width = vector_stats(right, vector)
+    large = materialise(grids(left, right, group, width, cell_bytes))
+    # Sizes meet the rows where they are, without a shuffle; beyond the limit by a join that AQE splits.
+    large = F.broadcast(large) if large.count() <= MOST_SIZES else large
+
+    def cut(side: DataFrame, mine: str, other: str, spread: Column) -> DataFrame:
+        sized = side.join(large, group, "left").withColumn("_other", F.coalesce(other, F.lit(1)))
+        return sized.withColumn("_own", F.pmod(F.xxhash64(spread), F.coalesce(mine, F.lit(1))).cast("int")).drop("_parts", "_bands")
+
+    def copied(packed: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
+        copies = packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)))
+        return _prefix(copies.withColumnRenamed("_own", own).drop("_other", "_bucket"), prefix, skip=[group, "_part", "_band"])
+
+    placed = cut(right, "_bands", "_parts", F.col(bucket or right_keep[0])).withColumn("_bucket", F.col(bucket) if bucket else F.lit(0))
+    stored = placed.repartition(group, "_own").sortWithinPartitions(group, "_own", "_bucket", *(sort_right or [right_keep[0]]))
+    packed_right = pack(stored, right_keep, vector, 2 * block_rows if bucket else block_rows, same=[group, "_own", "_other", "_bucket"])
+    spread = cut(left, "_parts", "_bands", F.col(left_keep[0])).repartition(group, "_own").sortWithinPartitions(group, "_own")
+    packed_left = pack(spread, left_keep, vector, CHUNK_ROWS, same=[group, "_own", "_other"])
+    pairs = copied(packed_left, "_part", "_band", "l_").join(copied(packed_right, "_band", "_part", "r_"), [group, "_part", "_band"])
     return run_kernel(
         pairs, left_keep, right_keep, _width(left, vector), _width(right, vector), kernel, schema, same=[group]
     )

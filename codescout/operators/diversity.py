@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codescout.functions.draws import draw
-from codescout.functions.vectors import cosine, rows_of, unit_rows
+from codescout.functions.vectors import cosine, l2_normalize, rows_of, unit_rows
 from codescout.operators import blocks
-from codescout.operators.running import row_numbers
+from codescout.operators.running import first_per_group, row_numbers, running_sums
 from codescout.session import materialise
 
 # Names of the two selection methods in reports.
@@ -33,6 +33,8 @@ CLUSTERED = "Cluster-based"
 TASK_BYTES = 64 << 20
 CUT_EVERY = 8
 ROUND_PICKS = 4096
+#: Coarse cells of a large specialty, and bins of a histogram of its sums.
+CELLS, BINS = 64, 4096
 
 
 def split_by_size(
@@ -138,11 +140,12 @@ def _greedy_over_rounds(
 ) -> DataFrame:
     """The same choice for specialties too large for a task, all of them at once.
 
-    Every round takes the queries of lowest similarity to the chosen ones, as many as
+    Every round takes the queries of lowest similarity to the chosen ones, about as many as
     fit a task, and goes on choosing among them for as long as no query outside can
-    have become better: an outsider's sum falls by at most one per choice. The new
-    choices are then applied to all remaining queries in blocks. The state is one
-    number per query; reliable checkpoints cut its lineage.
+    have become better. What the outsiders' sums can have fallen to is bounded by coarse cells: an outsider lies within a known angle
+    of the centroid of its cell, and its similarity to all choices of the round together is its product with the sum of their unit
+    vectors. The choices of a round are then applied to all
+    remaining queries in blocks. The state is a number and a cell per query; reliable checkpoints cut its lineage.
     """
     limit = round(threshold * blocks.MICRO)
     _, width = blocks.vector_stats(rows, vector)
@@ -159,38 +162,32 @@ def _greedy_over_rounds(
     picks = start.groupBy(specialty).agg(first).select(specialty, "_pick.*", F.lit(1).alias("place"))
     picks = materialise(picks)
     chosen = [picks.drop(vector)]
+    if max_queries is not None and max_queries <= 1:
+        return chosen[0]
 
-    shares = rows.groupBy(specialty).agg(
-        F.ceil(F.count("*") / F.lit(8 * blocks.CHUNK_ROWS)).cast("int").alias("_shares")
-    )
-    state = (
-        rows.join(shares, specialty)
-        .withColumn("_share", F.pmod(F.xxhash64(key), F.col("_shares")).cast("int"))
-        .repartition(specialty, "_share")
-        .sortWithinPartitions(specialty, "_share")
-        .select(specialty, key, vector, F.lit(0).cast("long").alias("_sum"))
-    )
+    state, cells = _with_cells(rows, specialty, key, vector, kind, width)
     state_schema = T.StructType([*state.schema.fields, T.StructField("_chosen", T.IntegerType())])
     pick_schema = T.StructType([_type(rows, specialty), _type(rows, key), _type(rows, vector), T.StructField("place", T.IntegerType())])
-    choose = _greedy_in_pool(limit, max_queries, pool, specialty, key, vector)
+    choose = _greedy_in_pool(limit, max_queries, specialty, key, vector)
     held: DataFrame | None = None
-    rounds = 0
-    while max_queries is None or max_queries > 1:
-        rounds += 1
+    for rounds in itertools.count(1):
         packed_picks = picks.groupBy(specialty).agg(
             F.flatten(F.collect_list(vector)).alias("_picked"),
             F.collect_list(key).alias("_names"),
             F.max("place").alias("_chosen"),
         )
         small = picks.count() * width <= blocks.BROADCAST_BYTES
-        packed = blocks.pack(state, [key, "_sum"], vector, blocks.CHUNK_ROWS, same=[specialty])
+        packed = blocks.pack(state, [key, "_sum", "_cell"], vector, blocks.CHUNK_ROWS, same=[specialty])
         state = packed.join(F.broadcast(packed_picks) if small else packed_picks, specialty).mapInArrow(
             _apply_picks(limit, max_queries, specialty, key, vector, kind), state_schema
         )
         state = materialise(state) if rounds % CUT_EVERY == 0 else state.persist()
-        lowest = Window.partitionBy(specialty).orderBy("_sum", key)
-        ranked = state.withColumn("_rank", F.row_number().over(lowest)).filter(F.col("_rank") <= pool + 1)
-        picks = materialise(ranked.groupBy(specialty).applyInArrow(choose, pick_schema))
+        inside, outside = _pool(state, specialty, key, pool)
+        own = [F.col(specialty).alias("_of"), F.col("_cell").alias("_in")]
+        lowest = outside.select(*own, "_sum").groupBy("_of", "_in").agg(F.min("_sum").alias("_lowest"))
+        bounds = lowest.join(cells.select(*own, "_centroid", "_radius"), ["_of", "_in"])
+        near = inside.groupBy(specialty).cogroup(bounds.groupBy("_of"))
+        picks = materialise(near.applyInArrow(choose, pick_schema))
         if held is not None:
             held.unpersist()
         held = state
@@ -199,11 +196,124 @@ def _greedy_over_rounds(
         chosen.append(picks.drop(vector))
         if len(chosen) % 50 == 0:
             chosen = [materialise(functools.reduce(DataFrame.unionByName, chosen))]
-    if held is not None:
-        held.unpersist()
+    held.unpersist()
     return functools.reduce(DataFrame.unionByName, chosen)
 
 
+def _with_cells(
+    rows: DataFrame, specialty: str, key: str, vector: str, kind: type, width: int
+) -> tuple[DataFrame, DataFrame]:
+    """The state before the first choice, and (specialty, ``_cell``, ``_centroid``, ``_radius``): each row is in the cell of the nearest of a
+    few drawn rows, and no row is further from it than the radius of the cell, an angle."""
+    drawn = Window.partitionBy(specialty).orderBy(draw(0, F.col(key)), key)
+    unit = l2_normalize(F.col(vector))
+    centroids = materialise(
+        rows.select(specialty, unit.alias("_centroid"), F.row_number().over(drawn).alias("_cell")).filter(F.col("_cell") <= CELLS)
+    )
+    listed = centroids.groupBy(specialty).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_cell", "_centroid"))), lambda c: c["_centroid"])).alias("_centroids"),
+        F.count("*").cast("int").alias("_k"),
+    )
+    shares = rows.groupBy(specialty).agg(
+        F.ceil(F.count("*") / F.lit(8 * blocks.CHUNK_ROWS)).cast("int").alias("_shares")
+    )
+    spread = (
+        rows.join(shares, specialty)
+        .withColumn("_share", F.pmod(F.xxhash64(key), F.col("_shares")).cast("int"))
+        .repartition(specialty, "_share")
+        .sortWithinPartitions(specialty, "_share")
+    )
+    packed = blocks.pack(spread, [key], vector, blocks.CHUNK_ROWS, same=[specialty])
+    small = centroids.count() * 8 * max(1, width // 4) <= blocks.BROADCAST_BYTES
+    fields = [_type(rows, specialty), _type(rows, key), _type(rows, vector), T.StructField("_sum", T.LongType()), T.StructField("_cell", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("_angle", T.DoubleType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = {name: batch.column(name)[row] for name in batch.schema.names}
+                size = cell["_rows"].as_py()
+                matrix = np.frombuffer(cell["_matrix"].as_buffer(), dtype=kind).reshape(size, -1)
+                middle = cell["_centroids"].values.to_numpy(zero_copy_only=False).reshape(cell["_k"].as_py(), -1)
+                cosines = unit_rows(matrix) @ middle.T
+                nearest = cosines.argmax(axis=1)
+                angle = np.arccos(np.clip(cosines[np.arange(size), nearest], -1.0, 1.0))
+                # Without a direction on either side, half a turn holds whatever is said.
+                angle[~matrix.any(axis=1) | ~middle.any(axis=1)[nearest]] = np.pi
+                offsets = pa.array(np.arange(size + 1) * matrix.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(specialty).slice(row, 1).take(pa.array(np.zeros(size, dtype=np.int64))),
+                        cell[key].values,
+                        pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1))),
+                        pa.array(np.zeros(size, dtype=np.int64)),
+                        pa.array((nearest + 1).astype(np.int32)),
+                        pa.array(angle),
+                    ],
+                    schema.fieldNames(),
+                )
+
+    placed = materialise(packed.join(F.broadcast(listed) if small else listed, specialty).mapInArrow(assign, schema))
+    radii = placed.groupBy(specialty, "_cell").agg(F.max("_angle").alias("_radius"))
+    return placed.drop("_angle"), materialise(radii.join(centroids, [specialty, "_cell"]))
+
+
+def _pool(state: DataFrame, specialty: str, key: str, pool: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``state`` with the lowest sums, up to ``pool`` per specialty, and all others.
+
+    The cut is found from histograms of the sums: each pass splits the range that holds it into ``BINS`` bins, until at least half of the
+    pool is below the cut or a bin is a single number. If more than ``pool`` rows share the lowest sum, those with the lowest keys
+    are taken.
+    """
+    ranges = state.groupBy(specialty).agg(
+        F.min("_sum").alias("_low"), (F.max("_sum") + 1).alias("_high"), F.lit(0).cast("long").alias("_below")
+    )
+    schema = T.StructType(
+        [_type(state, specialty)]
+        + [T.StructField(n, T.LongType()) for n in ("_low", "_high", "_below")]
+        + [T.StructField("_done", T.BooleanType())]
+    )
+    ranges = materialise(ranges.withColumn("_done", F.lit(False)))
+
+    def narrow(table: pa.Table) -> pa.Table:
+        """The range in which the cut lies, from the counts of its bins; the cut itself, as ``_low``, if it is found."""
+        table = table.sort_by("_bin")
+        low, step, below = (table.column(c)[0].as_py() for c in ("_low", "_step", "_below"))
+        upto = below + np.cumsum(table.column("_rows").to_numpy())
+        if upto[-1] <= pool:
+            return _row(table, [table.column("_high")[0].as_py()] * 2 + [int(upto[-1]), True])
+        first = int(np.argmax(upto > pool))
+        below = int(upto[first - 1]) if first else below
+        low += table.column("_bin")[first].as_py() * step
+        return _row(table, [low, low + step, below, below >= max(1, pool // 2) or step == 1])
+
+    def _row(table: pa.Table, values: list) -> pa.Table:
+        head = table.slice(0, 1).select([specialty])
+        for field, value in zip(schema.fields[1:], values):
+            head = head.append_column(field.name, pa.array([value], pa.bool_() if field.name == "_done" else pa.int64()))
+        return head
+
+    while not (going := ranges.filter("not _done")).isEmpty():
+        step = F.ceil((F.col("_high") - F.col("_low")) / F.lit(BINS)).alias("_step")
+        # One row per large specialty.
+        within = state.join(F.broadcast(going.select(specialty, "_low", "_high", "_below", step)), specialty)
+        within = within.filter("_sum >= _low and _sum < _high").withColumn("_bin", F.floor((F.col("_sum") - F.col("_low")) / F.col("_step")))
+        counted = within.groupBy(specialty, "_low", "_high", "_below", "_step", "_bin").agg(F.count("*").alias("_rows"))
+        ranges = materialise(ranges.filter("_done").unionByName(counted.groupBy(specialty).applyInArrow(narrow, schema)))
+    cuts = ranges.select(specialty, F.col("_low").alias("_cut"), (F.col("_below") == 0).alias("_tied"))
+    marked = state.join(F.broadcast(cuts), specialty)
+    inside = marked.filter("_sum < _cut").select(state.columns)
+    outside = marked.filter("_sum >= _cut").select(state.columns)
+    if not ranges.filter("_below = 0").isEmpty():
+        tied = first_per_group(marked.filter("_tied and _sum = _cut"), [specialty], [F.col(key).asc()], pool, "_place")
+        tied = materialise(tied.select(state.columns))
+        inside = inside.unionByName(tied)
+        last = tied.groupBy(specialty).agg(F.max(key).alias("_last"))
+        beyond = marked.filter("_sum >= _cut").join(F.broadcast(last), specialty, "left")
+        outside = beyond.filter(F.col("_last").isNull() | (F.col("_sum") > F.col("_cut")) | (F.col(key) > F.col("_last"))).select(state.columns)
+    return inside, outside
+
+
 def _apply_picks(
     limit: int, max_queries: int | None, specialty: str, key: str, vector: str, kind: type
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -231,35 +341,49 @@ def _apply_picks(
                         names.take(pa.array(keep)),
                         pa.ListArray.from_arrays(offsets, pa.array(matrix[keep].reshape(-1))),
                         pa.array((sums + similar.sum(axis=1))[keep]),
+                        cell["_cell"].values.take(pa.array(keep)),
                         pa.array(np.full(len(keep), placed, dtype=np.int32)),
                     ],
-                    [specialty, key, vector, "_sum", "_chosen"],
+                    [specialty, key, vector, "_sum", "_cell", "_chosen"],
                 )
 
     return apply
 
 
 def _greedy_in_pool(
-    limit: int, max_queries: int | None, pool: int, specialty: str, key: str, vector: str
-) -> Callable[[pa.Table], pa.Table]:
-    """Choices among the lowest ``pool`` queries of a specialty that no other can beat."""
+    limit: int, max_queries: int | None, specialty: str, key: str, vector: str
+) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Choices among the queries of a specialty's pool that no query outside can beat.
 
-    def choose(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_sum", "ascending"), (key, "ascending")])
+    The second table has the lowest sum of the outsiders of each cell.
+    """
+
+    def choose(table: pa.Table, outside: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
         sums = table.column("_sum").to_numpy().astype(np.int64)
-        # The row after the pool bounds all queries outside of it.
-        outside = int(sums[pool]) if len(sums) > pool else None
-        table, sums = table.slice(0, pool), sums[:pool]
-        by_key = np.asarray(pa.compute.sort_indices(table.column(key)))
-        table, sums = table.take(pa.array(by_key)), sums[by_key]
         unit = unit_rows(rows_of(table.column(vector)))
-        placed = table.column("_chosen")[0].as_py()
+        placed = table.column("_chosen")[0].as_py() if len(table) else 0
         alive, picks = np.arange(len(unit)), []
+        total = np.zeros(unit.shape[1])
+        if len(outside):
+            lowest = outside.column("_lowest").to_numpy().astype(np.float64)
+            centroids, radius = rows_of(outside.column("_centroid")), outside.column("_radius").to_numpy()
         while len(alive) and (max_queries is None or placed + len(picks) < max_queries) and len(picks) < ROUND_PICKS:
             best = int(np.argmin(sums))
-            if picks and outside is not None and sums[best] >= outside - len(picks) * blocks.MICRO:
-                break
+            # The first choice is sure: nobody outside has a lower sum, or the same and a lower key.
+            if picks and len(outside) and not total.any():
+                # Only zero vectors so far, which change no sum; keys decide, and those outside are higher.
+                if sums[best] > lowest.min():
+                    break
+            elif picks and len(outside):
+                length = np.linalg.norm(total)
+                angle = np.arccos(np.clip(centroids @ total / max(length, 1e-300), -1.0, 1.0))
+                fallen = length * np.cos(np.minimum(np.pi, angle + radius + 1e-7))
+                # Every similarity was rounded by half a millionth at most.
+                if sums[best] >= (lowest + fallen * blocks.MICRO).min() - len(picks) - 1:
+                    break
             picks.append(int(alive[best]))
+            total += unit[picks[-1]]
             similar = np.rint(unit[alive] @ unit[picks[-1]] * blocks.MICRO).astype(np.int64)
             keep = (similar <= limit) & (alive != picks[-1])
             alive, sums = alive[keep], (sums + similar)[keep]
@@ -701,6 +825,26 @@ def code_coverage(selected: DataFrame, everything: DataFrame, mapping: DataFrame
     )
 
 
+def _cluster_layout(labelled: DataFrame, specialty: str, key: str, cluster: str, block_rows: int) -> DataFrame:
+    """``labelled`` with ``_bucket`` and ``_whole``: clusters of up to ``block_rows`` rows lie whole in a bucket, several in one as long as
+    they begin in the same ``block_rows`` rows; a larger cluster has buckets of its own."""
+    sizes = labelled.groupBy(specialty, cluster).agg(F.count("*").alias("_n"))
+    small = running_sums(sizes.filter(F.col("_n") <= block_rows), [specialty], [F.col(cluster).asc()], {"_upto": F.col("_n")})
+    large = sizes.filter(F.col("_n") > block_rows)
+    layout = small.select(
+        specialty, cluster, F.lit(1).alias("_shares"), F.floor((F.col("_upto") - F.col("_n")) / F.lit(block_rows)).alias("_start")
+    ).unionByName(
+        large.select(specialty, cluster, F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_shares"), F.lit(-1).cast("long").alias("_start"))
+    )
+    layout = materialise(layout)
+    layout = F.broadcast(layout) if layout.count() <= blocks.MOST_SIZES else layout
+    share = F.pmod(F.xxhash64(key), F.col("_shares")).cast("string")
+    own = F.concat(F.lit("cluster "), F.col(cluster).cast("string"), F.lit(" share "), share)
+    whole = F.col("_start") >= 0
+    placed = labelled.join(layout, [specialty, cluster])
+    return placed.withColumn("_bucket", F.when(whole, F.col("_start").cast("string")).otherwise(own)).withColumn("_whole", whole)
+
+
 def silhouette(
     labelled: DataFrame,
     specialty: str = "specialty",
@@ -709,19 +853,25 @@ def silhouette(
     vector: str = "embedding",
     min_queries: int = 4,
     block_rows: int = 4096,
+    cell_bytes: int = blocks.CELL_BYTES,
 ) -> DataFrame:
     """Mean silhouette of each specialty by Euclidean distance.
 
     Fewer than ``min_queries`` queries, a lone cluster member and a specialty with a
-    single cluster count 0. Blocks of one specialty meet and emit distance sums per
-    query and cluster only.
+    single cluster count 0. Rows without a cluster or a vector take no part. The other side of the comparison is laid out by cluster:
+    where clusters lie whole in a block, their mean distances are finished there and only the least one leaves, so a query has one row
+    for each block it met, however many clusters there are. Blocks of a cluster that is too large for one give one sum each.
     """
+    labelled = labelled.filter(F.col(cluster).isNotNull())
+    kind = labelled.schema[cluster].dataType
     schema = T.StructType(
         [
             _type(labelled, specialty),
             _type(labelled, key),
-            T.StructField("_own", labelled.schema[cluster].dataType),
-            T.StructField("_other", labelled.schema[cluster].dataType),
+            T.StructField("_least", T.DoubleType()),
+            T.StructField("_own_sum", T.DoubleType()),
+            T.StructField("_own_n", T.LongType()),
+            T.StructField("_other", kind),
             T.StructField("_sum", T.DoubleType()),
             T.StructField("_n", T.LongType()),
         ]
@@ -734,38 +884,65 @@ def silhouette(
         distances[blocks.same_keys(left, right, key)] = 0.0
         names = right.columns[cluster].dictionary_encode()
         codes = names.indices.to_numpy(zero_copy_only=False)
-        member = np.zeros((len(codes), len(names.dictionary)))
-        member[np.arange(len(codes)), codes] = 1.0
-        sums = distances @ member
-        counts = member.sum(axis=0).astype(np.int64)
-        rows = np.repeat(np.arange(len(left)), len(counts))
-        which = np.tile(np.arange(len(counts)), len(left))
+        # Rows are sorted by cluster.
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        sums = np.add.reduceat(distances, starts, axis=1)
+        counts = np.diff(np.append(starts, len(codes)))
+        order = names.dictionary.take(pa.array(codes[starts]))
+        own = pa.compute.index_in(left.columns[cluster], value_set=order)
+        here = np.asarray(own.is_valid())
+        column = own.fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.arange(len(left))
+        own_sum, own_n = sums[rows, column], counts[column]
+        empty = np.ones(len(left), dtype=bool)
+        if not right.columns["_whole"][0].as_py():
+            # One cluster in parts: its mean is not known yet.
+            apart = ~here
+            least, other = pa.nulls(len(left), pa.float64()), order.take(pa.array(np.zeros(len(left), dtype=np.int64)))
+            part = pa.array(sums[:, 0], mask=here), pa.array(np.full(len(left), counts[0], dtype=np.int64), mask=here)
+            other = pa.compute.if_else(pa.array(apart), other, pa.scalar(None, other.type))
+        else:
+            means = sums / counts
+            means[rows[here], column[here]] = np.inf
+            lowest = means.min(axis=1)
+            least = pa.array(lowest, mask=np.isinf(lowest))
+            part = pa.array(sums[:, 0], mask=empty), pa.array(np.zeros(len(left), dtype=np.int64), mask=empty)
+            other = pa.nulls(len(left), order.type)
         return {
-            key: left.columns[key].take(pa.array(rows)),
-            "_own": left.columns[cluster].take(pa.array(rows)),
-            "_other": names.dictionary.take(pa.array(which)),
-            "_sum": pa.array(sums.reshape(-1)),
-            "_n": pa.array(counts[which]),
+            key: left.columns[key],
+            "_least": least,
+            "_own_sum": pa.array(own_sum, mask=~here),
+            "_own_n": pa.array(own_n.astype(np.int64), mask=~here),
+            "_other": other,
+            "_sum": part[0],
+            "_n": part[1],
         }
 
     parts = blocks.meet_in_group(
         labelled,
-        labelled,
+        _cluster_layout(labelled, specialty, key, cluster, block_rows),
         specialty,
         [key, cluster],
-        [key, cluster],
+        [key, cluster, "_whole"],
         vector,
         kernel,
         schema,
         sort_right=[cluster, key],
         block_rows=block_rows,
+        cell_bytes=cell_bytes,
+        bucket="_bucket",
+    )
+    # A query has a row for each cluster in parts here, and one for all others.
+    merged = parts.groupBy(specialty, key, "_other").agg(
+        F.min("_least").alias("_least"),
+        F.sum("_own_sum").alias("_own_sum"),
+        F.sum("_own_n").alias("_own_n"),
+        (F.sum("_sum") / F.sum("_n")).alias("_mean"),
     )
-    sums = parts.groupBy(specialty, key, "_own", "_other").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
-    own = F.col("_own") == F.col("_other")
-    points = sums.groupBy(specialty, key).agg(
-        F.max(F.when(own, F.col("_n"))).alias("_members"),
-        F.max(F.when(own & (F.col("_n") > 1), F.try_divide("_sum", F.col("_n") - 1))).alias("_a"),
-        F.min(F.when(~own, F.col("_sum") / F.col("_n"))).alias("_b"),
+    points = merged.groupBy(specialty, key).agg(
+        F.sum("_own_n").alias("_members"),
+        F.try_divide(F.sum("_own_sum"), F.sum("_own_n") - 1).alias("_a"),
+        F.least(F.min("_least"), F.min("_mean")).alias("_b"),
     )
     widest = F.greatest("_a", "_b")
     value = F.when(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescout.functions.text import (
@@ -24,6 +24,7 @@ from codescout.functions.text import (
     strip_space,
 )
 from codescout.operators.running import row_numbers
+from codescout.session import materialise
 
 
 def group_queries_by_specialty(records: DataFrame, order: str) -> DataFrame:
@@ -261,20 +262,113 @@ def build_requests(
 # --- labels out of a vocabulary ----------------------------------------------------------------
 
 
-def _grams(text: Column) -> Column:
-    """All distinct parts of a text of up to three characters, the empty one included."""
+def _parts(text: Column) -> Column:
+    """All distinct parts of a text of three characters, or the whole text if it is shorter."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(3))))
+
+
+def _short_parts(text: Column) -> Column:
+    """All distinct parts of a text of up to two characters, the empty one included."""
     at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
 
     def of_length(n: int) -> Column:
         return F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), of_length(1), of_length(2), of_length(3)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), of_length(1), of_length(2)))
 
 
 def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, f"[{SPACE_CHARS}]+", -1), lambda word: word != ""))
 
 
+def rarest_part(texts: DataFrame, key: str, text: str, others: DataFrame, other_text: str) -> DataFrame:
+    """``texts`` with ``_part``: of all parts of three characters the one that the fewest of ``others`` have.
+
+    Whatever contains a text has that part. Texts with a part that none of the others has are left out, as are those below three
+    characters.
+    """
+    long = texts.filter(F.length(text) >= 3)
+    counted = others.select(F.explode(_parts(F.col(other_text))).alias("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
+    parts = long.select(key, F.explode(_parts(F.col(text))).alias("_part")).join(counted, "_part", "left")
+    rarest = parts.groupBy(key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_part")).alias("_r"))
+    return long.join(rarest.filter("_r.n > 0").select(key, F.col("_r._part").alias("_part")), key)
+
+
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(``_inner``, ``_outer``) of candidates: texts of three characters or more meet by the rarest part of the contained one."""
+    by_part = rarest_part(inner, "_inner", "_small", outer, "_large")
+    met = by_part.join(outer.select("_outer", "_large", F.explode(_parts(F.col("_large"))).alias("_part")), "_part")
+    return met.select("_inner", "_outer", "_small", "_large")
+
+
+def _inside(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(``_asked``, ``_in``): the first label that contains a prediction or is contained in it.
+
+    Of texts below three characters only the first label for each is looked up, so they list no pairs.
+    """
+    one = asked.select(F.col("_asked").alias("_inner"), F.col("_low").alias("_small"))
+    held = containing(one, names.select(F.col("_ord").alias("_outer"), F.col("_name").alias("_large")))
+    held = held.filter(F.contains("_large", "_small")).select(F.col("_inner").alias("_asked"), F.col("_outer").alias("_ord"))
+    other = names.select(F.col("_ord").alias("_inner"), F.col("_name").alias("_small"))
+    holding = containing(other, asked.select(F.col("_asked").alias("_outer"), F.col("_low").alias("_large")))
+    holding = holding.filter(F.contains("_large", "_small")).select(F.col("_outer").alias("_asked"), F.col("_inner").alias("_ord"))
+    # The first label with each part of up to two characters, and the first label that is one.
+    first_with = names.select("_ord", F.explode(_short_parts(F.col("_name"))).alias("_low")).groupBy("_low").agg(F.min("_ord").alias("_ord"))
+    short_asked = asked.filter(F.length("_low") < 3).join(first_with, "_low").select("_asked", "_ord")
+    first_is = names.filter(F.length("_name") < 3).groupBy(F.col("_name").alias("_part")).agg(F.min("_ord").alias("_ord"))
+    short_name = asked.select("_asked", F.explode(_short_parts(F.col("_low"))).alias("_part")).join(first_is, "_part").select("_asked", "_ord")
+    found = held.unionByName(holding).unionByName(short_asked).unionByName(short_name)
+    return found.groupBy("_asked").agg(F.min("_ord").alias("_in"))
+
+
+def _single_word(known: DataFrame, postings: DataFrame) -> DataFrame:
+    """(``_asked``, ``_ord``, ``_score``): the best label by one common word, from the first label of each size with the word."""
+    sizes = postings.groupBy("_word", "_other").agg(F.min("_ord").alias("_ord"))
+    listed = sizes.groupBy("_word").agg(F.array_sort(F.collect_list(F.struct("_other", "_ord"))).alias("_sizes"))
+    best = F.struct((-F.try_divide(F.lit(1), F.greatest("_own", "_size._other"))).alias("s"), F.col("_size._ord").alias("o"))
+    each = known.join(listed, "_word").select("_asked", "_own", F.explode("_sizes").alias("_size"))
+    first = each.groupBy("_asked").agg(F.min(best).alias("_b"))
+    return first.select("_asked", F.col("_b.o").alias("_ord"), (-F.col("_b.s")).alias("_score"))
+
+
+def word_candidates(known: DataFrame, postings: DataFrame, at_least: DataFrame, start: int) -> DataFrame:
+    """(``_asked``, ``_ord``, ``_score``) of labels that share two words or more and may score what ``at_least`` has.
+
+    ``known`` numbers the words of a prediction from the rarest on (``_place`` from 1 to ``_known``). A label with a score of s has
+    c >= s times ``_own`` of them, so it has one of the rarest ``_known`` - c + 1: only these are looked up, from ``start`` on, and
+    never the most frequent one.
+    """
+    needed = F.greatest(F.lit(2), F.ceil(F.col("_least") * F.col("_own") - 1e-9))
+    used = known.join(at_least.select("_asked", F.col("_score").alias("_least")), "_asked")
+    used = used.filter((F.col("_place") >= start) & (F.col("_place") <= F.col("_known") - needed + 1))
+    met = used.join(postings, "_word").select("_asked", "_ord", "_own", "_other", "_said", "_says")
+    common = F.size(F.array_intersect("_said", "_says"))
+    return met.select("_asked", "_ord", (common / F.greatest("_own", "_other")).alias("_score")).distinct()
+
+
+def _shared(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(``_asked``, ``_shared``): the first of the labels with the highest share of common words."""
+    said = asked.select("_asked", _words(F.col("_low")).alias("_said")).withColumn("_own", F.size("_said"))
+    says = names.select("_ord", _words(F.col("_name")).alias("_says")).withColumn("_other", F.size("_says"))
+    postings = materialise(says.select("_ord", "_says", "_other", F.explode("_says").alias("_word")))
+    counted = postings.groupBy("_word").agg(F.count("*").alias("_n"))
+    words = said.select("*", F.explode("_said").alias("_word")).join(counted, "_word")
+    place = Window.partitionBy("_asked").orderBy("_n", "_word")
+    numbered = words.withColumn("_place", F.row_number().over(place)).withColumn("_known", F.count("*").over(Window.partitionBy("_asked")))
+    known = materialise(numbered.drop("_n"))
+
+    def best(found: DataFrame) -> DataFrame:
+        top = found.groupBy("_asked").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_ord").alias("o"))).alias("_b"))
+        return top.select("_asked", F.col("_b.o").alias("_ord"), (-F.col("_b.s")).alias("_score"))
+
+    one = _single_word(known, postings)
+    # The rarest word first: what it finds leaves fewer of the others to look up.
+    first = materialise(best(one.unionByName(word_candidates(known.filter("_place = 1"), postings, one, 1))))
+    rest = word_candidates(known, postings, first, 2)
+    return best(first.unionByName(rest)).select("_asked", F.col("_ord").alias("_shared"))
+
+
 def closest_labels(
     df: DataFrame, labels: DataFrame, predicted: str = "predicted", label: str = "label", order: str = "ord"
 ) -> DataFrame:
@@ -282,35 +376,18 @@ def closest_labels(
 
     The first label (by ``order``, which is unique) that contains the prediction or is contained in it wins. Otherwise the highest
     share of common words wins, the first on ties, and the first label of all when no word is shared. Distinct predictions meet
-    labels by equi-joins: the one contained in the other is looked up by its first three characters among the parts of the other,
-    and words by themselves.
+    labels by equi-joins on what is rare in them: the rarest three characters of the contained text, and words from the rarest on for
+    as long as a label that wasn't met yet can still win. So a word that all labels have lists no pairs.
     """
-    names = labels.select(F.col(label).alias("_label"), F.col(order).alias("_ord"), F.lower(label).alias("_name"))
+    names = labels.select(F.col(label).alias("_label"), F.col(order).alias("_ord"), F.lower(label).alias("_name")).filter("_name IS NOT NULL")
     asked = df.select(F.col(predicted).alias("_asked")).filter("_asked IS NOT NULL").distinct().withColumn("_low", F.lower("_asked"))
-
-    def start(text: str) -> Column:
-        return F.substring(text, 1, 3).alias("_part")
-
-    holds = asked.select("_asked", "_low", start("_low")).join(
-        names.select("_ord", "_name", F.explode(_grams(F.col("_name"))).alias("_part")), "_part"
-    ).filter(F.contains("_name", "_low"))
-    held = asked.select("_asked", "_low", F.explode(_grams(F.col("_low"))).alias("_part")).join(
-        names.select("_ord", "_name", start("_name")), "_part"
-    ).filter(F.contains("_low", "_name"))
-    inside = holds.select("_asked", "_ord").unionByName(held.select("_asked", "_ord")).groupBy("_asked").agg(F.min("_ord").alias("_in"))
-
-    def by_word(rows: DataFrame, key: str, text: str, size: str) -> DataFrame:
-        words = _words(F.col(text))
-        return rows.select(key, F.size(words).alias(size), F.explode(words).alias("_word"))
-
-    common = by_word(asked, "_asked", "_low", "_own").join(by_word(names, "_ord", "_name", "_other"), "_word")
-    scored = common.groupBy("_asked", "_ord").agg((F.count("*") / F.max(F.greatest("_own", "_other"))).alias("_score"))
-    most = scored.groupBy("_asked").agg(F.max("_score").alias("_most"))
-    shared = scored.join(most, "_asked").filter("_score = _most").groupBy("_asked").agg(F.min("_ord").alias("_shared"))
+    equal = asked.join(names.groupBy(F.col("_name").alias("_low")).agg(F.min("_ord").alias("_equal")), "_low", "left")
+    inside, shared = _inside(asked, names), _shared(asked, names)
     lowest = labels.agg(F.min(order)).first()[0]
-    chosen = asked.join(inside, "_asked", "left").join(shared, "_asked", "left")
+    chosen = equal.join(inside, "_asked", "left").join(shared, "_asked", "left")
     first = F.lit(lowest).cast(names.schema["_ord"].dataType)
-    chosen = chosen.select("_asked", F.coalesce("_in", "_shared", first).alias("_ord")).join(names.select("_ord", "_label"), "_ord", "left")
+    chosen = chosen.select("_asked", F.coalesce(F.least("_in", "_equal"), "_shared", first).alias("_ord"))
+    chosen = chosen.join(labels.select(F.col(order).alias("_ord"), F.col(label).alias("_label")), "_ord", "left")
     found = chosen.select(F.col("_asked").alias(predicted), F.col("_label").alias("closest"))
     return df.join(found, predicted, "left")
 

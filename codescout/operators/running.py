@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from codescout.session import materialise
 
+#: Rows per group up to which Spark limits the groups of a window inside the map tasks.
+GROUP_LIMIT = 1000
+
 
 def running_sums(
     df: DataFrame,
@@ -136,9 +139,8 @@ def first_per_group(
     parts of about that size, whatever the rows hold; the first ``n`` of each part go on, in as many rounds as it takes until what is
     left of a group fits a task. How many that are follows from the largest group, the only number that reaches the driver.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    part_rows = max(part_rows, 4 * n)
-    left = df
+    left, part_rows = df, max(part_rows, 4 * n)
+    largest = 0 if n <= GROUP_LIMIT else df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     while largest > part_rows:
         parts = -(-largest // part_rows)
         dealt = left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))

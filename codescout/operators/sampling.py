@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codescout.functions.draws import draw
 from codescout.functions.text import instruction_anchor, triplet_word_length
-from codescout.operators.running import row_numbers
+from codescout.operators.running import GROUP_LIMIT, first_per_group, row_numbers, running_sums
 
 TRIPLET = ("anchor", "positives", "negatives")
 
@@ -155,21 +156,35 @@ def sample_per_group(
 ) -> DataFrame:
     """Up to n rows per group in a seeded random order.
 
-    Spark limits each group inside the map tasks first, so a hot group shuffles at most
-    n rows per task.
+    Up to a thousand, Spark limits each group inside the map tasks first, so a hot group shuffles at most n rows per task. For more, a
+    cut-off draw is found for every group from counts of the draws' first digits, and only rows up to it are ordered.
     """
-    chance = draw(seed, *[F.col(k) for k in keys])
-    order = Window.partitionBy(*group).orderBy(F.col("_draw").asc(), *[F.col(k).asc() for k in keys])
     name = place or "_place"
-    kept = (
-        rows.withColumn("_draw", chance)
-        .withColumn(name, F.row_number().over(order))
-        .filter(F.col(name) <= n)
-        .drop("_draw")
-    )
+    drawn = rows.withColumn("_draw", draw(seed, *[F.col(k) for k in keys]))
+    if n > GROUP_LIMIT:
+        drawn = _below_cut(drawn, list(group), n)
+    kept = first_per_group(drawn, list(group), [F.col("_draw").asc(), *[F.col(k).asc() for k in keys]], n, name).drop("_draw")
     return kept if place else kept.drop("_place")
 
 
+def _below_cut(drawn: DataFrame, group: list[str], n: int) -> DataFrame:
+    """The rows of ``drawn`` that can be among the first ``n`` draws of their group: n and a few more, unless draws are equal.
+
+    Draws are hexadecimal digits in random order, so groups are counted by as many leading digits as make about a hundred rows in
+    each bin of the largest group.
+    """
+    sizes = drawn.groupBy(*group).count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    digits = max(1, min(8, math.ceil(math.log(max(1.0, largest / 100), 16))))
+    bins = drawn.groupBy(*group, F.substring("_draw", 1, digits).alias("_bin")).agg(F.count("*").alias("_rows"))
+    # Rows before each bin; the bins of a group are spread over tasks, too.
+    summed = running_sums(bins, group, [F.col("_bin").asc()], {"_upto": F.col("_rows")})
+    cuts = summed.filter(F.col("_upto") - F.col("_rows") < n).groupBy(*group).agg(F.max("_bin").alias("_cut"))
+    same = functools.reduce(Column.__and__, [drawn[g].eqNullSafe(cuts[g]) for g in group])
+    cut = drawn.join(cuts, same).filter(F.substring("_draw", 1, digits) <= F.col("_cut"))
+    return cut.select(*[drawn[c] for c in drawn.columns])
+
+
 def first_rows(rows: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """The first n rows in a given order."""
     return rows.orderBy(*order).limit(n)

@@ -312,3 +312,8 @@ def with_views(names: str, body: str) -> str:
     for name in names.split():
         add(name)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered) + "\n" + body
+
+
+def stacked(parts: dict[str, str]) -> str:
+    """The SQL of :func:`codescout.plans.jobs.one_table`: queries below each other, named in ``part``, missing columns null."""
+    return " UNION ALL BY NAME ".join(f"SELECT '{name}' AS part, * FROM ({query})" for name, query in parts.items())

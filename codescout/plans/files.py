@@ -139,6 +139,18 @@ def json_safe(spark: SparkSession, folder: str) -> DataFrame:
     return safe.select("o_orderkey", "o_orderdate", F.get("detail.days", F.lit(0)).alias("day"), F.col("detail.o_totalprice").alias("price"))
 
 
+def json_unsafe_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of ``orders`` and ``events`` that JSON has no type for, with the number of rows that have a value there."""
+    tables = {name: catalog.table(spark, folder, name) for name in ("orders", "events")}
+    parts = []
+    for name, df in tables.items():
+        listed = files.json_unsafe_columns(df)
+        filled = [F.struct(F.lit(c).alias("column"), F.count(F.col(c)).alias("filled")) for c in df.columns]
+        counts = df.agg(F.array(*filled).alias("_c")).select(F.inline("_c"))
+        parts.append(listed.join(counts, "column").withColumn("source", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def incremental_labelling_intake(spark: SparkSession, folder: str) -> DataFrame:
     """Two runs: conversations arrive first, then the documents and the conversations again."""
     source, queue, checkpoint = (scratch_path(spark, name) for name in ("intake", "queue", "intake-state"))
@@ -147,7 +159,7 @@ def incremental_labelling_intake(spark: SparkSession, folder: str) -> DataFrame:
     for arrivals in (conversations, documents.unionByName(conversations)):
         arrivals.write.mode("append").json(source)
         streams.incremental_labelling_intake(spark, source, queue, checkpoint).awaitTermination()
-    return spark.read.parquet(queue)
+    return streams.read_queue(spark, queue)
 
 
 def streaming_progress(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,20 +178,17 @@ def streaming_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def streaming_call_rate(spark: SparkSession, folder: str) -> DataFrame:
-    target, checkpoint = scratch_path(spark, "rates"), scratch_path(spark, "rates-state")
-    events = catalog.table(spark, folder, "events")
-    arrivals = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    calls = arrivals.select(F.col("user_id").alias("caller"), F.col("ts").cast("timestamp").alias("ts"))
-    rates = streams.streaming_call_rate(calls, "6 hours", "1 hour", "1 hour")
-    query = (
-        rates.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(target).select(
+    """Two runs: all calls arrive first, then those of the first days once more, which is too late to count."""
+    source, target, checkpoint = (scratch_path(spark, name) for name in ("calls", "rates", "rates-state"))
+    calls = catalog.calls(spark, folder).select("caller", F.col("ts").cast("timestamp").alias("ts"))
+    last = calls.agg(F.max("ts").alias("_last"))
+    late = calls.join(F.broadcast(last), F.col("ts") < F.col("_last") - F.expr("INTERVAL 1 DAY")).select("caller", "ts")
+    for arrivals in (calls, late):
+        arrivals.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(calls.schema).parquet(source)
+        rates = streams.streaming_call_rate(stream, "6 hours", "1 hour", "1 hour")
+        streams.write_call_rates(rates, target, checkpoint).awaitTermination()
+    return spark.read.schema(rates.schema).parquet(target).select(
         "caller", F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"), "calls"
     )
 
@@ -189,7 +198,7 @@ QUERIES = {
     for f in (
         read_specialty_queries, read_query_map, read_code_reference, read_triplets, read_triplet_columns,
         read_triplets_limited, read_keywords, merge_specialty_maps, read_lines, saved_embeddings, combined_results,
-        sampling_outputs, json_safe, incremental_labelling_intake, streaming_progress, streaming_call_rate,
+        sampling_outputs, json_safe, json_unsafe_columns, incremental_labelling_intake, streaming_progress, streaming_call_rate,
     )
 }
 
@@ -232,6 +241,9 @@ SQL = {
     "json_safe": """
         SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
                strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS price FROM orders""",
+    "json_unsafe_columns": """
+        SELECT 'o_orderdate' AS "column", 'timestamp_ntz' AS type, count(o_orderdate) AS filled, 'orders' AS source FROM orders
+        UNION ALL SELECT 'ts', 'timestamp_ntz', count(ts), 'events' FROM events""",
     "incremental_labelling_intake": """
         SELECT DISTINCT specialty, query, 'pending' AS status, 0::INTEGER AS attempts FROM (
             SELECT role AS specialty, text AS query FROM conversations
@@ -245,5 +257,6 @@ SQL = {
     "streaming_call_rate": f"""
         WITH w AS (
             SELECT user_id AS caller, (epoch_us(ts) // {_HOUR} - unnest(range(0, 6))) * {_HOUR} AS window_start FROM events)
-        SELECT caller, window_start, window_start + {6 * _HOUR} AS window_end, count(*) AS calls FROM w GROUP BY ALL""",
+        SELECT caller, window_start, window_start + {6 * _HOUR} AS window_end, count(*) AS calls FROM w
+        WHERE window_start + {6 * _HOUR} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - {_HOUR} FROM events) GROUP BY ALL""",
 }

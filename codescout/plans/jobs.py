@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codescout.operators import diversity, evaluation, labels, latency, mining, retrieval, sampling
 from codescout.operators.embed import Encoder, embed_texts
 from codescout.session import materialise
 
 
+def one_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """The tables of a job below each other: ``part`` names the table, columns that it lacks are null, lists are texts."""
+    named = []
+    for name, table in tables.items():
+        lists = {f.name: F.array_join(f.name, "|") for f in table.schema if isinstance(f.dataType, T.ArrayType)}
+        named.append(table.withColumns(lists | {"part": F.lit(name)}))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def query_to_code_mapping(
     queries: DataFrame, reference: DataFrame, make_encoder: Callable[[], Encoder], k: int = 10
 ) -> DataFrame:
@@ -28,7 +39,8 @@ def query_to_code_mapping(
 def label_ingest(items: DataFrame, replies: DataFrame, reference: DataFrame, order: str = "ord") -> dict[str, DataFrame]:
     """Validated codes of the replies, their descriptions, open items and progress."""
     asked = replies.join(items.select("specialty", "query"), ["specialty", "query"], "left_semi")
-    codes = labels.validate_codes(asked, reference)
+    # All tables start here, so it is stored once.
+    codes = materialise(labels.validate_codes(asked, reference))
     descriptions = labels.codes_to_descriptions(codes, labels.last_descriptions(reference, order))
     done = codes.select("specialty", "query", F.lit(True).alias("_done"))
     updated = items.join(done, ["specialty", "query"], "left").withColumn(
@@ -44,10 +56,12 @@ def label_ingest(items: DataFrame, replies: DataFrame, reference: DataFrame, ord
 
 def diversity_evaluation(
     vectors: DataFrame, mapping: DataFrame, threshold: float = 0.8, clusters: int | None = None
-) -> DataFrame:
-    """Both selection methods, their measures, and which one wins."""
-    choices = diversity.run_comparison(vectors, threshold, clusters)
-    return diversity.method_wins(diversity.method_summary(diversity.evaluate_methods(vectors, choices, mapping)))
+) -> dict[str, DataFrame]:
+    """The choices of both selection methods, their measures, means per method, and which one wins."""
+    choices = materialise(diversity.run_comparison(vectors, threshold, clusters))
+    measures = materialise(diversity.evaluate_methods(vectors, choices, mapping))
+    summary = diversity.method_summary(measures)
+    return {"choices": choices, "measures": measures, "summary": summary, "wins": diversity.method_wins(summary)}
 
 
 def training_set(
@@ -90,7 +104,7 @@ def retrieval_evaluation(queries: DataFrame, codes: DataFrame, truth: DataFrame,
 def latency_report(runs: DataFrame) -> dict[str, DataFrame]:
     """All tables of a benchmark report."""
     order = ["batch_size", "optimization", "params"]
-    stats = latency.latency_stats(runs).persist()
+    stats = materialise(latency.latency_stats(runs))
     comparison = latency.compare_runs(
         stats.filter(F.col("implementation") == "baseline"),
         stats.filter(F.col("implementation") == "optimized"),

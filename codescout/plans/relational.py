@@ -9,7 +9,7 @@ from codescout.functions import text
 from codescout.operators import diversity, evaluation, labels, latency, retrieval, sampling
 from codescout.operators.embed import split_tokenizer, token_lengths
 from codescout.plans import catalog
-from codescout.plans.catalog import with_views
+from codescout.plans.catalog import stacked, with_views
 
 SEED = 42
 KEYWORDS = {"eau": ["E10", "E11.9"], "and": ["A00"], "der": ["D22", "D23.1"], "tion": ["T14"], "heron": ["H10", "A00"]}
@@ -288,9 +288,11 @@ def specialty_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables of the job."""
     from codescout.plans.jobs import label_ingest as job
+    from codescout.plans.jobs import one_table
 
-    return job(catalog.work_items(spark, folder), catalog.replies(spark, folder), catalog.codes(spark, folder))["progress"]
+    return one_table(job(catalog.work_items(spark, folder), catalog.replies(spark, folder), catalog.codes(spark, folder)))
 
 
 # --- samples -------------------------------------------------------------------------------------
@@ -330,6 +332,12 @@ def sample_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.sample_per_group(rows, 10, SEED, keys=["doc_id"])
 
 
+def large_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of more rows than Spark limits inside the map tasks."""
+    rows = catalog.table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("specialty"), "l_orderkey", "l_linenumber")
+    return sampling.sample_per_group(rows, 1500, SEED, keys=["l_orderkey", "l_linenumber"])
+
+
 def first_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = catalog.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     return sampling.first_rows(rows, 100, [F.desc("o_totalprice"), F.asc("o_orderkey")])
@@ -434,6 +442,14 @@ def average_improvement(spark: SparkSession, folder: str) -> DataFrame:
     return latency.average_improvement(_comparison(spark, folder))
 
 
+def latency_report(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables of the job."""
+    from codescout.plans.jobs import latency_report as job
+    from codescout.plans.jobs import one_table
+
+    return one_table(job(catalog.latencies(spark, folder)))
+
+
 def latency_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return latency.latency_histogram(catalog.latencies(spark, folder))
 
@@ -453,10 +469,10 @@ QUERIES = {
         queries_by_specialty, merged_label_list, consolidated_labels, consolidation_summary, empty_queries,
         precision_recall, code_coverage, labelling_progress, overall_progress, specialty_chunks, label_ingest,
         query_stats, source_overlap, sampling_plan, sampling_plan_500, sampling_summary, drawn_samples,
-        sample_per_group, first_rows, code_set_algebra, complete_triplets, distinct_triplets,
+        sample_per_group, large_samples, first_rows, code_set_algebra, complete_triplets, distinct_triplets,
         prepared_training_split, prepared_evaluation_split, prepared_test_split, split_report, length_batches,
         latency_stats, latency_throughput, best_by_implementation, overall_recommendation,
-        optimization_comparison, compare_runs, average_improvement, latency_histogram, call_rate_audit,
+        optimization_comparison, compare_runs, average_improvement, latency_histogram, latency_report, call_rate_audit,
     )
 }
 
@@ -689,15 +705,6 @@ SQL = {
         WITH q AS (SELECT n_name AS specialty, c_custkey AS query FROM customer JOIN nation ON c_nationkey = n_nationkey)
         SELECT specialty, query, ((dense_rank() OVER (ORDER BY specialty) - 1)
                // ceil((SELECT count(DISTINCT specialty) FROM q) / 4.0)::INTEGER)::INTEGER AS chunk FROM q""",
-    "label_ingest": with_views("items replies", """,
-        done AS (SELECT DISTINCT specialty, query FROM replies),
-        updated AS (
-            SELECT i.specialty, CASE WHEN d.query IS NOT NULL THEN 'completed' ELSE status END AS status
-            FROM items i LEFT JOIN done d ON i.specialty = d.specialty AND i.query = d.query)
-        SELECT specialty, count(*) AS total, count_if(status = 'pending')::BIGINT AS pending, 0::BIGINT AS processing,
-               count_if(status = 'completed')::BIGINT AS completed, count_if(status = 'failed')::BIGINT AS failed,
-               CASE WHEN count_if(status = 'pending') = 0 THEN 'completed' ELSE 'in_progress' END AS status
-        FROM updated GROUP BY specialty"""),
     "query_stats": with_views("stats", "SELECT specialty, p::BIGINT AS paraphrased, s::BIGINT AS synthetic, t AS total FROM stats"),
     "source_overlap": with_views("sources", """,
         marks AS (SELECT specialty, bool_or(paraphrased) AS p, bool_or(NOT paraphrased) AS s FROM sources GROUP BY specialty)
@@ -719,6 +726,9 @@ SQL = {
     "sample_per_group": f"""
         SELECT source AS specialty, doc_id, lang FROM documents
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}|' || doc_id::VARCHAR), doc_id) <= 10""",
+    "large_samples": f"""
+        SELECT l_returnflag AS specialty, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag
+            ORDER BY md5('{SEED}|' || l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR), l_orderkey, l_linenumber) <= 1500""",
     "first_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "code_set_algebra": with_views("labels1 labels2", """
         SELECT a.specialty, a.query, array_to_string(list_sort(list_distinct(a.codes || b.codes)), '|') AS all_codes,
@@ -801,3 +811,34 @@ SQL = {
         SELECT caller, t AS ts, calls, total::BIGINT AS calls_in_period, total > 3 AS over_capacity,
                CASE WHEN total > 3 THEN oldest + {6 * HOURS_US} - t ELSE 0 END AS wait_us FROM seen""",
 }
+
+_INGESTED = """,
+    done AS (SELECT DISTINCT specialty, query FROM replies),
+    updated AS (
+        SELECT i.* REPLACE (CASE WHEN d.query IS NOT NULL THEN 'completed' ELSE status END AS status)
+        FROM items i LEFT JOIN done d ON i.specialty = d.specialty AND i.query = d.query)"""
+SQL["label_ingest"] = stacked({
+    "codes": SQL["valid_codes"],
+    # Codes of a reply are the query's codes, so descriptions are those of its labels; bracketed replies have lost their ends.
+    "descriptions": with_views("replies", f""", {_LAST_DESCRIPTION},
+        listed AS (
+            SELECT specialty, query, generate_subscripts(string_split(reply, ', '), 1) AS pos, unnest(string_split(reply, ', ')) AS code FROM replies)
+        SELECT specialty, query, string_agg(description, '|' ORDER BY pos) AS descriptions
+        FROM listed JOIN last_text USING (code) GROUP BY specialty, query"""),
+    "open": with_views("items replies", _INGESTED + "SELECT * FROM updated WHERE status NOT IN ('completed', 'failed')"),
+    "progress": with_views("items replies", _INGESTED + """
+        SELECT specialty, count(*) AS total, count_if(status = 'pending')::BIGINT AS pending, 0::BIGINT AS processing,
+               count_if(status = 'completed')::BIGINT AS completed, count_if(status = 'failed')::BIGINT AS failed,
+               CASE WHEN count_if(status = 'pending') = 0 THEN 'completed' ELSE 'in_progress' END AS status
+        FROM updated GROUP BY specialty"""),
+})
+SQL["latency_report"] = stacked({
+    "stats": with_views("run_rates", "SELECT * FROM run_rates"),
+    "best": SQL["best_by_implementation"],
+    "recommendation": SQL["overall_recommendation"],
+    "techniques": with_views("run_stats", """
+        SELECT * FROM run_stats QUALIFY row_number() OVER (PARTITION BY batch_size, optimization ORDER BY params) = 1"""),
+    "comparison": SQL["compare_runs"],
+    "improvement": SQL["average_improvement"],
+    "histogram": SQL["latency_histogram"],
+})

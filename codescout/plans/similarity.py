@@ -11,6 +11,7 @@ from codescout.operators import diversity, evaluation, mining, retrieval
 from codescout.operators.embed import embed_texts, hashing_encoder
 from codescout.plans import catalog
 from codescout.plans.catalog import with_views
+from codescout.plans.selection import selection_sql
 from codescout.session import materialise
 
 THRESHOLD = 0.25
@@ -109,6 +110,19 @@ def evaluate_methods(spark: SparkSession, folder: str) -> DataFrame:
     return _evaluation(spark, folder)
 
 
+def method_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return diversity.method_summary(_evaluation(spark, folder))
+
+
+def diversity_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables of the job."""
+    from codescout.plans.jobs import diversity_evaluation as job
+    from codescout.plans.jobs import one_table
+
+    mapping = catalog.truth(spark, folder).select("query", "code")
+    return one_table(job(catalog.vectors(spark, folder), mapping, THRESHOLD))
+
+
 def method_wins(spark: SparkSession, folder: str) -> DataFrame:
     return diversity.method_wins(diversity.method_summary(_evaluation(spark, folder)))
 
@@ -170,8 +184,12 @@ def trimmed_positives(spark: SparkSession, folder: str) -> DataFrame:
 def triplet_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     vectors = catalog.vectors(spark, folder).select(F.col("query").alias("key"), "embedding")
     attached = mining.triplet_embeddings(triplet_rows(spark, folder), vectors)
-    first = [F.round(F.get(f"{role}_embedding", F.lit(0)).cast("double"), 6).alias(f"{role}_x") for role in ("anchor", "positives", "negatives")]
-    return attached.select("specialty", "anchor", "positives", "negatives", *first)
+    # Whole vectors as text, in millionths, so that both engines write them alike.
+    whole = [
+        F.array_join(F.transform(f"{role}_embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",").alias(role + "_x")
+        for role in ("anchor", "positives", "negatives")
+    ]
+    return attached.select("specialty", "anchor", "positives", "negatives", *whole)
 
 
 def triplet_accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,7 +241,7 @@ QUERIES = {
     for f in (
         top_k_codes, top_k_by_specialty, batch_search, codes_per_query, limited_view, l2_normalized, pair_cosine,
         redundancy_profile, diverse_greedy, diverse_cluster, diversity_comparison, average_pairwise_similarity,
-        embedding_coverage, silhouette, evaluate_methods, method_wins, similarity_percentiles, negative_candidates,
+        embedding_coverage, silhouette, evaluate_methods, method_summary, method_wins, diversity_evaluation, similarity_percentiles, negative_candidates,
         negatives_topk, negatives_band, triplet_lists, triplet_rows, training_set, trimmed_positives, triplet_embeddings,
         triplet_accuracy, optimal_threshold, cv_threshold, mean_threshold, code_embeddings_from_text, query_to_code_mapping,
         retrieval_evaluation,
@@ -363,9 +381,9 @@ SQL = {
     "trimmed_positives": with_views("labels_all", """
         SELECT specialty, query, array_to_string(codes[1:2], ',') AS positives FROM labels_all WHERE len(codes) > 0"""),
     "triplet_embeddings": with_views("sim truth", "," + _DRAWS_TRIMMED + _TOPK_PICKS + _TRIPLET_ROWS + """
-        SELECT r.specialty, anchor, positives, negatives, round(a.e[1], 6) AS anchor_x,
-               round(p.e[1], 6) AS positives_x, round(n.e[1], 6) AS negatives_x
-        FROM rows r JOIN vec a ON anchor = a.query JOIN vec p ON positives = p.query JOIN vec n ON negatives = n.query"""),
+        , texts AS (SELECT query, array_to_string(list_transform(e, lambda x: round(x * 1000000)::BIGINT), ',') AS x FROM vec)
+        SELECT r.specialty, anchor, positives, negatives, a.x AS anchor_x, p.x AS positives_x, n.x AS negatives_x
+        FROM rows r JOIN texts a ON anchor = a.query JOIN texts p ON positives = p.query JOIN texts n ON negatives = n.query"""),
     "triplet_accuracy": with_views("sim truth", "," + _DRAWS_TRIMMED + _TOPK_PICKS + _TRIPLET_ROWS + """
         SELECT count(*) AS triplets, round(avg((p.s > n.s)::INTEGER), 6) AS accuracy
         FROM rows r JOIN sim p ON r.anchor = p.query AND r.positives = p.code
@@ -403,3 +421,25 @@ SQL["code_embeddings_from_text"] = r"""
         FROM hashed GROUP BY ALL),
     lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM counts GROUP BY doc_id)
     SELECT doc_id, pos, round((n / length)::FLOAT::DOUBLE, 6) AS x FROM counts JOIN lengths USING (doc_id) WHERE n <> 0"""
+SQL["query_to_code_mapping"] = r"""
+    WITH sides AS (
+        SELECT DISTINCT 'query' AS side, text AS key, text FROM conversations WHERE text IS NOT NULL
+        UNION ALL SELECT 'code', item_id::VARCHAR, text FROM benchmark WHERE text IS NOT NULL),
+    hashed AS (
+        SELECT side, key, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h
+        FROM (SELECT side, key, unnest(regexp_extract_all(lower(text), '[^ \t\n\r]+')) AS word FROM sides)),
+    counts AS (
+        SELECT side, key, ((h >> 1) % 64)::INTEGER AS pos, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS n FROM hashed GROUP BY ALL),
+    scaled AS (SELECT side, key, pos, (n / sqrt(sum(n * n) OVER (PARTITION BY side, key)))::FLOAT::DOUBLE AS x FROM counts),
+    lengths AS (SELECT side, key, sqrt(sum(x * x)) AS length FROM scaled GROUP BY side, key),
+    dots AS (
+        SELECT q.key AS query, c.key AS code, sum(q.x * c.x) AS dot FROM scaled q JOIN scaled c ON q.pos = c.pos AND q.side = 'query' AND c.side = 'code'
+        GROUP BY ALL),
+    ranked AS (
+        SELECT q.key AS query, c.key AS code, row_number() OVER (PARTITION BY q.key ORDER BY
+            round(coalesce(CASE WHEN a.length * b.length > 0 THEN dot / (a.length * b.length) END, 0), 6) DESC, c.key) AS rank
+        FROM sides q JOIN sides c ON q.side = 'query' AND c.side = 'code'
+            LEFT JOIN dots ON dots.query = q.key AND dots.code = c.key
+            LEFT JOIN lengths a ON a.side = 'query' AND a.key = q.key LEFT JOIN lengths b ON b.side = 'code' AND b.key = c.key)
+    SELECT query, string_agg(code, ',' ORDER BY rank) AS codes FROM ranked WHERE rank <= 3 GROUP BY query"""
+SQL |= selection_sql(THRESHOLD, SEED)

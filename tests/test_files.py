@@ -1,6 +1,7 @@
 """Readers, writers and streams on small files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,10 +117,48 @@ def test_intake_takes_each_query_once(spark, tmp_path):
     spark.createDataFrame([("c", "2"), ("c", "3")], schema).write.mode("append").json(source)
     for _ in range(2):
         streams.incremental_labelling_intake(spark, source, queue, state).awaitTermination()
-    got = spark.read.parquet(queue)
+    got = streams.read_queue(spark, queue)
     assert pairs(got, "specialty", "query", "status", "attempts") == [("a_b", "1", "pending", 0), ("c", "2", "pending", 0), ("c", "3", "pending", 0)]
 
 
+def test_intake_keeps_no_state_and_repeats_a_batch(spark, tmp_path):
+    source, queue, state = (str(tmp_path / n) for n in ("in", "queue", "state"))
+    schema = "specialty string, query string"
+    for number in range(3):
+        spark.createDataFrame([("a", None), ("a", str(number)), ("b", str(number % 2))], schema).write.mode("append").json(source)
+        query = streams.incremental_labelling_intake(spark, source, queue, state)
+        query.awaitTermination()
+        assert not query.lastProgress.stateOperators
+    before = sorted(str((r.specialty, r["query"])) for r in streams.read_queue(spark, queue).collect())
+    assert before == sorted(map(str, [("a", None), ("a", "0"), ("a", "1"), ("a", "2"), ("b", "0"), ("b", "1")]))
+    # A batch whose commit was lost is run again.
+    (Path(state) / "commits" / "2").unlink()
+    (Path(state) / "commits" / ".2.crc").unlink(missing_ok=True)
+    streams.incremental_labelling_intake(spark, source, queue, state).awaitTermination()
+    assert sorted(str((r.specialty, r["query"])) for r in streams.read_queue(spark, queue).collect()) == before
+
+
+def test_closed_windows_leave_the_state(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "caller string, s long"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).select("caller", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("caller string, ts timestamp").parquet(source)
+        query = streams.write_call_rates(streams.streaming_call_rate(stream, "60 seconds", "60 seconds", "60 seconds"), target, state)
+        query.awaitTermination()
+        got = spark.read.schema("caller string, window_start timestamp, calls long").parquet(target)
+        written = sorted((r.caller, r.start, r.calls) for r in got.select("caller", F.unix_seconds("window_start").alias("start"), "calls").collect())
+        return written, [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1]
+
+    written, open_windows = arrive([("a", i) for i in range(0, 600, 10)])
+    assert written == [("a", start, 6) for start in range(0, 480, 60)] and open_windows == 2
+    # Late calls for closed windows are dropped; one for an open window counts.
+    written, open_windows = arrive([("a", 5), ("b", 100), ("a", 545), ("a", 1000)])
+    assert ("a", 0, 6) in written and not [r for r in written if r[0] == "b"]
+    assert ("a", 540, 7) in written and open_windows == 1
+
+
 def test_progress_follows_new_items(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "report", "state"))
     schema = "specialty string, query string, status string"

@@ -1,5 +1,6 @@
 """Labels, samples, latencies and running sums against plain Python."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -281,3 +282,49 @@ def test_labels_out_of_a_vocabulary(spark):
     replies = spark.createDataFrame([(1, "ab, surgery, x, ab"), (2, None), (3, "x"), (4, "surgery,ab")], "id int, reply string")
     found = {r.id: (r.labels, r.complete) for r in labels.top_labels(replies, vocabulary, "id").collect()}
     assert found == {1: (["ab", "surgery", "ab"], True), 2: ([], False), 3: ([], False), 4: (["surgery", "ab"], False)}
+
+
+def test_a_word_that_all_labels_have_lists_no_pairs(spark, monkeypatch):
+    from codescout.operators import labels
+    from test_text import closest_by_hand
+
+    names = [f"common of label{i} kind{i % 40}" for i in range(400)] + ["common", "of common"]
+    rows = [f"common zz{i}" for i in range(50)] + [f"kind{i} of common w{i}" for i in range(50)] + [f"common kind{i} label{i}" for i in range(50)]
+    vocabulary = spark.createDataFrame(list(enumerate(names, 5)), "ord int, label string")
+    asked = spark.createDataFrame([(r,) for r in rows], "predicted string")
+    sizes = []
+    for name in ("word_candidates", "containing"):
+        whole = getattr(labels, name)
+
+        def counted(*a, whole=whole):
+            found = whole(*a)
+            sizes.append(found.count())
+            return found
+
+        monkeypatch.setattr(labels, name, counted)
+    got = {r.predicted: r.closest for r in labels.closest_labels(asked, vocabulary).collect()}
+    assert got == {r: closest_by_hand(r, names) for r in rows}
+    # 150 predictions and 402 labels have 60,300 pairs, all with a word in common.
+    assert len(sizes) == 4 and sum(sizes) < 60 * len(rows)
+
+
+@pytest.mark.parametrize("part_rows", [1 << 17, 8000])
+def test_first_rows_of_large_groups(spark, part_rows):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.lit(None)).alias("g"), (F.col("id") * 7919 % 60_000).alias("x"))
+    got = running.first_per_group(rows, ["g"], [F.col("x").asc()], 1500, "place", part_rows).collect()
+    hot = sorted(i * 7919 % 60_000 for i in range(60_000) if i % 10)[:1500]
+    other = sorted(i * 7919 % 60_000 for i in range(0, 60_000, 10))[:1500]
+    assert sorted((r.x, r.place) for r in got if r.g) == list(zip(hot, range(1, 1501)))
+    assert sorted((r.x, r.place) for r in got if not r.g) == list(zip(other, range(1, 1501)))
+
+
+def test_large_samples_order_little_more_than_they_keep(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 20 > 0, "hot").otherwise("small").alias("specialty"), F.col("id").alias("query"))
+    drawn = rows.withColumn("_draw", F.md5(F.concat(F.lit("42|"), F.col("query").cast("string"))))
+    left = sampling._below_cut(drawn, ["specialty"], 5000).groupBy("specialty").count().collect()
+    assert {r.specialty for r in left} == {"hot", "small"} and all(r["count"] <= 5000 + 400 for r in left)
+    got = sampling.sample_per_group(rows, 5000).collect()
+    for name, size in (("hot", 5000), ("small", 2000)):
+        members = [i for i in range(40_000) if (i % 20 > 0) == (name == "hot")]
+        members.sort(key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+        assert {r["query"] for r in got if r.specialty == name} == set(members[:size])

@@ -1,8 +1,11 @@
 """Vector operators against brute force, on every physical path, with one hot group."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codescout.functions.vectors import cosine, l2_normalize
 from codescout.operators import blocks, diversity, evaluation, mining, retrieval
@@ -168,7 +171,9 @@ def greedy_by_hand(vectors, threshold, limit):
     return chosen
 
 
-@pytest.mark.parametrize("task_bytes, limit", [(1 << 20, None), (1 << 20, 0), (1 << 20, 4), (64 * 30, None), (0, None), (0, 0), (0, 4), (1000, 9)])
+@pytest.mark.parametrize(
+    "task_bytes, limit", [(1 << 20, None), (1 << 20, 0), (1 << 20, 4), (64 * 30, None), (0, 0), (0, 4), (1000, 9)]
+)
 def test_greedy(data, queries, task_bytes, limit):
     names, specialties, vectors, _, _ = data
     expected = set()
@@ -180,6 +185,82 @@ def test_greedy(data, queries, task_bytes, limit):
     assert {(r.specialty, r.query, r.place) for r in got} == expected and len(got) == len(expected)
 
 
+def test_a_round_makes_many_choices(spark, monkeypatch):
+    """Vectors with a common direction, as texts have: far fewer rounds than choices, and no window that sorts a specialty."""
+    rng = np.random.default_rng(1)
+    rows = [("hot", f"q{i:05d}", v.tolist()) for i, v in enumerate(0.5 * rng.normal(size=(1500, 16)) + 1)]
+    frame = spark.createDataFrame(rows, "specialty string, query string, embedding array<double>").repartition(5).cache()
+    plans, pool = [], diversity._pool
+
+    def watched(state, *others):
+        plans.append(state._jdf.queryExecution().executedPlan().toString())
+        return pool(state, *others)
+
+    monkeypatch.setattr(diversity, "_pool", watched)
+    want = {(r.query, r.place) for r in diversity.diverse_greedy(frame, 0.95, 400).collect()}
+    assert not plans
+    got = {(r.query, r.place) for r in diversity.diverse_greedy(frame, 0.95, 400, task_bytes=2 * 128 * 400).collect()}
+    assert got == want and len(want) == 400 and len(plans) < 40
+    assert not any("Window" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("pool", [1, 7, 40, 500])
+def test_pool_of_the_lowest_sums(spark, pool):
+    rng = np.random.default_rng(pool)
+    rows = [("a", f"k{i:03d}", int(x), 1) for i, x in enumerate(rng.integers(-(10**12), 10**12, 300))]
+    rows += [("b", f"k{i:03d}", int(x), 1) for i, x in enumerate(rng.integers(0, 3, 90))]
+    state = spark.createDataFrame(rows, "specialty string, query string, _sum long, _cell int").repartition(3)
+    inside, outside = (x.collect() for x in diversity._pool(state, "specialty", "query", pool))
+    assert sorted(map(tuple, inside + outside)) == sorted(rows)
+    for s in "ab":
+        mine = [(r._sum, r.query) for r in inside if r.specialty == s]
+        others = [(r._sum, r.query) for r in outside if r.specialty == s]
+        assert min(pool, 1) <= len(mine) <= pool and (not others or max(mine) < min(others))
+
+
+@pytest.fixture
+def many_tasks(spark):
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_no_task_streams_a_hot_group(spark, many_tasks):
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 10 else "cold", f"q{i:05d}", v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 8)).astype(np.float32))]
+    frame = spark.createDataFrame(rows, "specialty string, query string, embedding array<float>")
+    schema = T.StructType([T.StructField("specialty", T.StringType()), T.StructField("query", T.StringType()), T.StructField("task", T.IntegerType()), T.StructField("met", T.LongType())])
+
+    def kernel(left, right):
+        task = TaskContext.get().partitionId()
+        return {"query": left.columns["query"], "task": pa.array([task] * len(left), pa.int32()), "met": pa.array([len(right)] * len(left), pa.int64())}
+
+    cell = 32 * 400  # 400 vectors
+    met = blocks.meet_in_group(frame, frame, "specialty", ["query"], ["query"], "embedding", kernel, schema, block_rows=100, cell_bytes=cell).cache()
+    sums = {r.query: (r.specialty, r.n) for r in met.groupBy("specialty", "query").agg(F.sum("met").alias("n")).collect()}
+    assert len(sums) == 4000 and all(n == (3600 if s == "hot" else 400) for s, n in sums.values())
+    hot = met.filter("specialty = 'hot'").groupBy("task").agg(F.sum("met").alias("m")).collect()
+    assert len(hot) > 20 and max(r.m for r in hot) < 3600 * 3600 / 5
+    large = {r.specialty: (r._parts, r._bands) for r in blocks.grids(frame, frame, "specialty", 32, cell).collect()}
+    assert large == {"hot": (9, 9)}
+
+
+def test_silhouette_rows_do_not_grow_with_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("s", f"q{i:04d}", i % 300, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 4)))]
+    frame = spark.createDataFrame(rows, "specialty string, query string, cluster int, embedding array<double>")
+    seen = []
+    meet = blocks.meet_in_group
+    monkeypatch.setattr(blocks, "meet_in_group", lambda *a, **k: seen.append(meet(*a, **k)) or seen[-1])
+    value = diversity.silhouette(frame).first()
+    assert value.num_queries == 1200 and seen[0].count() == 1200
+    assert diversity.silhouette(frame, block_rows=100).first().silhouette == pytest.approx(value.silhouette, abs=1e-6)
+    assert seen[1].count() <= 1200 * 13
+
+
 def test_a_lone_query_is_kept(spark):
     one = spark.createDataFrame([("s", "q", [1.0, 0.0])], "specialty string, query string, embedding array<float>")
     for task_bytes in (1 << 20, 0):
@@ -328,7 +409,7 @@ def test_evaluation_of_methods(queries, spark):
     choices = diversity.run_comparison(queries, 0.3)
     rows = diversity.evaluate_methods(queries, choices, mapping).collect()
     assert len(rows) == 8 and all(0 < r.coverage <= 1 and 0 < r.code_coverage <= 1 and r.num_queries > 0 for r in rows)
-    wins = jobs.diversity_evaluation(queries, mapping, 0.3).first()
+    wins = jobs.diversity_evaluation(queries, mapping, 0.3)["wins"].first()
     assert wins.challenger_wins + wins.incumbent_wins == 4
 
 
