@@ -523,10 +523,11 @@ def _lloyd_over_rounds(
     spread = (
         rows.join(shares, specialty)
         .withColumn("_share", F.pmod(F.xxhash64(key), F.col("_shares")).cast("int"))
+        .withColumn("_mark", F.xxhash64(key))
         .repartition(specialty, "_share")
         .sortWithinPartitions(specialty, "_share")
     )
-    points = blocks.pack(spread, [key], vector, blocks.CHUNK_ROWS, same=[specialty]).persist()
+    points = blocks.pack(spread, [key, "_mark"], vector, blocks.CHUNK_ROWS, same=[specialty]).persist()
     kind = np.float32 if isinstance(rows.schema[vector].dataType.elementType, T.FloatType) else np.float64
 
     def with_centroids() -> DataFrame:
@@ -557,6 +558,9 @@ def _lloyd_over_rounds(
                 present, inverse = np.unique(labels, return_inverse=True)
                 sums = np.zeros((len(present), matrix.shape[1]))
                 np.add.at(sums, inverse, matrix)
+                marks = np.zeros(len(present), dtype=np.int64)
+                held = batch.column(batch.schema.get_field_index("_mark"))[row].values
+                np.bitwise_xor.at(marks, inverse, held.to_numpy(zero_copy_only=False))
                 group = batch.column(batch.schema.get_field_index(specialty)).slice(row, 1)
                 offsets = pa.array(np.arange(len(present) + 1) * matrix.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -565,8 +569,9 @@ def _lloyd_over_rounds(
                         pa.array(present.astype(np.int32)),
                         pa.array(np.bincount(inverse).astype(np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1))),
+                        pa.array(marks),
                     ],
-                    [specialty, "cluster", "members", "total"],
+                    [specialty, "cluster", "members", "total", "mark"],
                 )
 
     sum_schema = T.StructType(
@@ -575,8 +580,10 @@ def _lloyd_over_rounds(
             T.StructField("cluster", T.IntegerType()),
             T.StructField("members", T.LongType()),
             T.StructField("total", T.ArrayType(T.DoubleType())),
+            T.StructField("mark", T.LongType()),
         ]
     )
+    seen: list[int] = []
     for _ in _rounds(max_rounds):
         totals = (
             with_centroids()
@@ -584,6 +591,7 @@ def _lloyd_over_rounds(
             .groupBy(specialty, "cluster")
             .agg(
                 F.sum("members").alias("_members"),
+                F.bit_xor("mark").alias("_mark"),
                 vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("_total"),
             )
         )
@@ -592,16 +600,15 @@ def _lloyd_over_rounds(
             specialty,
             "cluster",
             F.coalesce(moved, F.col("centroid")).alias("centroid"),
-            F.col("centroid").alias("_old"),
+            "_mark",
         )
         updated = materialise(updated)
-        shift = F.aggregate(
-            F.zip_with("centroid", "_old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x
-        )
-        largest = updated.agg(F.max(shift).alias("shift")).first().shift
-        centroids = updated.drop("_old")
-        if largest is None or largest < 1e-18:
+        # One number for who is in which cluster: unchanged, or back at an earlier state by rounding.
+        state = updated.agg(F.bit_xor(F.xxhash64(specialty, "cluster", "_mark")).alias("state")).first().state
+        centroids = updated.drop("_mark")
+        if state in seen:
             break
+        seen = [*seen[-7:], state]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -257,17 +257,15 @@ def split_report(raw: dict[str, DataFrame], subset: Sequence[str] | None = TRIPL
     )
 
 
-def length_batches(rows: DataFrame, size: int, order: Sequence[Column]) -> DataFrame:
-    """Batches of ``size`` rows in the given order, each ordered inside by word length.
+def length_batches(rows: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """Batches of ``size`` rows in the order of ``keys``, each ordered inside by word length.
 
-    Adds the batch number, the length and the place inside the batch.
+    Adds the batch number, the length and the place inside the batch. ``keys`` together are unique and not null. Rows are numbered by
+    keys and lengths alone; texts meet their numbers in a join on the keys.
     """
-    numbered = row_numbers(rows, list(order), "_row")
-    measured = numbered.select(
-        *rows.columns,
-        "_row",
-        F.floor((F.col("_row") - 1) / size).alias("batch"),
-        triplet_word_length(*[F.col(c) for c in TRIPLET]).alias("length"),
-    )
+    measured = rows.select(*keys, triplet_word_length(*[F.col(c) for c in TRIPLET]).alias("length"))
+    numbered = row_numbers(measured, [F.col(k).asc() for k in keys], "_row")
+    batched = numbered.withColumn("batch", F.floor((F.col("_row") - 1) / size))
     inside = Window.partitionBy("batch").orderBy("length", "_row")
-    return measured.withColumn("place", F.row_number().over(inside)).drop("_row")
+    placed = batched.withColumn("place", F.row_number().over(inside)).drop("_row")
+    return rows.join(placed, list(keys)).select(*rows.columns, "batch", "length", "place")

@@ -393,7 +393,7 @@ def split_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def length_batches(spark: SparkSession, folder: str) -> DataFrame:
-    batches = sampling.length_batches(catalog.triplets(spark, folder), 64, [F.asc("doc_id")])
+    batches = sampling.length_batches(catalog.triplets(spark, folder), 64, ["doc_id"])
     return batches.select("doc_id", "batch", "length", "place")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Give a job a folder of its own for checkpoints and scratch data, and delete it when the job is done or has failed.
+
+    The folder lies in the shared one. Results must be written or collected inside the scope; frames made in it can't be read after it.
+    """
+    sc = spark.sparkContext
+    outer = shared_dir(spark)
+    inner = f"{outer}/scope-{uuid.uuid4().hex}"
+    sc.setCheckpointDir(inner)
+    try:
+        yield inner
+    finally:
+        # Spark makes a new folder below the one it is given, so the parent is named again.
+        sc.setCheckpointDir(outer.rsplit("/", 1)[0])
+        path = sc._jvm.org.apache.hadoop.fs.Path(inner)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
     shared_dir(df.sparkSession)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codescout import session
 from codescout.operators import labels, latency, running, sampling
 from codescout.plans import jobs
 
@@ -178,11 +179,14 @@ def test_instruction_takes_the_query_column(spark):
     assert sampling.prepare_split(df, instruction=True).first().anchor.endswith("field of s, retrieve the relevant ICD description\nQuery: q")
 
 
-def test_length_batches(spark):
+def test_length_batches(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(0, 9), "w", None) for i in range(103)]
     df = spark.createDataFrame(rows, "id int, anchor string, positives string, negatives string").repartition(5)
-    got = sorted(sampling.length_batches(df, 10, [F.asc("id")]).collect(), key=lambda r: (r.batch, r.place))
+    seen = []
+    monkeypatch.setattr(running, "materialise", lambda frame: seen.append(frame.columns) or session.materialise(frame))
+    got = sorted(sampling.length_batches(df, 10, ["id"]).collect(), key=lambda r: (r.batch, r.place))
+    assert seen and not any("anchor" in columns for columns in seen)
     assert [r.batch for r in got] == [i // 10 for i in range(103)]
     assert all(r.batch == r.id // 10 for r in got)
     assert all(a.length <= b.length for a, b in zip(got, got[1:]) if a.batch == b.batch)
@@ -328,3 +332,24 @@ def test_large_samples_order_little_more_than_they_keep(spark):
         members = [i for i in range(40_000) if (i % 20 > 0) == (name == "hot")]
         members.sort(key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
         assert {r["query"] for r in got if r.specialty == name} == set(members[:size])
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    rows = spark.range(100).select(F.col("id").alias("query"), F.lit("s").alias("specialty"))
+    with session.scratch_scope(spark) as folder:
+        numbered = running.row_numbers(rows, [F.desc("query")], "place")
+        path = session.scratch_path(spark, "numbers")
+        numbered.write.parquet(path)
+        assert spark.read.parquet(path).count() == 100
+        place = Path(urlparse(folder).path)
+        assert len([p for p in place.rglob("*") if p.is_file()]) > 2
+    assert not place.exists()
+    with pytest.raises(ValueError, match="broken"):
+        with session.scratch_scope(spark) as folder:
+            session.materialise(rows)
+            raise ValueError("broken")
+    assert not Path(urlparse(folder).path).exists()
+    assert running.row_numbers(rows, [F.asc("query")], "place").count() == 100

@@ -19,6 +19,15 @@ PATHS = [
 ]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """The data is small, and most of the time goes into starting tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def unit(matrix):
     matrix = np.asarray(matrix, dtype=np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -189,7 +198,7 @@ def test_a_round_makes_many_choices(spark, monkeypatch):
     """Vectors with a common direction, as texts have: far fewer rounds than choices, and no window that sorts a specialty."""
     rng = np.random.default_rng(1)
     rows = [("hot", f"q{i:05d}", v.tolist()) for i, v in enumerate(0.5 * rng.normal(size=(1500, 16)) + 1)]
-    frame = spark.createDataFrame(rows, "specialty string, query string, embedding array<double>").repartition(5).cache()
+    frame = spark.createDataFrame(rows, "specialty string, query string, embedding array<double>").repartition(3).cache()
     plans, pool = [], diversity._pool
 
     def watched(state, *others):
@@ -281,6 +290,14 @@ def test_clusters_agree_on_both_paths(queries):
     assert small == large and len(small) == 120
 
 
+def test_clusters_of_large_values_come_to_an_end(spark):
+    rng = np.random.default_rng(4)
+    rows = [("s", f"q{i:03d}", (1e9 * rng.normal(size=3)).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "specialty string, query string, embedding array<double>").repartition(4)
+    small, large = ({r.query: r.cluster for r in diversity.cluster_queries(frame, task_bytes=b).collect()} for b in (1 << 20, 0))
+    assert small == large
+
+
 def test_cluster_choice(data, queries):
     labelled = diversity.cluster_queries(queries).collect()
     chosen = diversity.diverse_cluster(queries, per_cluster=2).collect()
