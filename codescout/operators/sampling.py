@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from codescout.functions.draws import draw
 from codescout.functions.text import instruction_anchor, triplet_word_length
 from codescout.operators.running import GROUP_LIMIT, first_per_group, row_numbers, running_sums
+from codescout.session import materialise
 
+#: Groups (about 50 bytes each) whose cut-off draws are broadcast.
+MOST_CUTS = 1 << 18
 TRIPLET = ("anchor", "positives", "negatives")
 
 # Names of the sampling rules as they appear in the plan.
@@ -180,6 +183,9 @@ def _below_cut(drawn: DataFrame, group: list[str], n: int) -> DataFrame:
     # Rows before each bin; the bins of a group are spread over tasks, too.
     summed = running_sums(bins, group, [F.col("_bin").asc()], {"_upto": F.col("_rows")})
     cuts = summed.filter(F.col("_upto") - F.col("_rows") < n).groupBy(*group).agg(F.max("_bin").alias("_cut"))
+    # One row per group: sent to the rows where they are, or large groups would go to a task each.
+    cuts = materialise(cuts)
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_CUTS else cuts
     same = functools.reduce(Column.__and__, [drawn[g].eqNullSafe(cuts[g]) for g in group])
     cut = drawn.join(cuts, same).filter(F.substring("_draw", 1, digits) <= F.col("_cut"))
     return cut.select(*[drawn[c] for c in drawn.columns])

@@ -353,3 +353,11 @@ def test_a_scope_leaves_nothing_behind(spark):
             raise ValueError("broken")
     assert not Path(urlparse(folder).path).exists()
     assert running.row_numbers(rows, [F.asc("query")], "place").count() == 100
+
+
+def test_large_groups_stay_where_they_are_when_sampled(spark):
+    rows = spark.range(40000).selectExpr("if(id % 10 < 8, 'hot', if(id % 10 = 8, 'b', null)) AS specialty", "id AS query").repartition(4)
+    kept = sampling.sample_per_group(rows, 1500)
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert {r.specialty: r["count"] for r in kept.groupBy("specialty").count().collect()} == {"hot": 1500, "b": 1500, None: 1500}
