@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codescout.functions.text import (
     KEYWORD_CODES,
@@ -33,6 +34,9 @@ def group_queries_by_specialty(records: DataFrame, order: str) -> DataFrame:
     ``records`` is (query, nucc_spec, nucc_class, related_icd10cm, order). Long form:
     one row per specialty, kind (``query`` or ``code``) and item. Empty queries are
     left out, their codes are not.
+
+    Order and position are one number while they are compared: the smallest of numbers is kept in a hash table with a row per item,
+    the smallest of structs by sorting all rows first.
     """
     keyed = records.select(
         keyed_specialty(F.col("nucc_class"), F.col("nucc_spec")).alias("keyed_specialty"),
@@ -46,18 +50,19 @@ def group_queries_by_specialty(records: DataFrame, order: str) -> DataFrame:
     codes = keyed.select(
         "keyed_specialty", F.lit("code").alias("kind"), "_order", F.posexplode("related_icd10cm").alias("_pos", "item")
     )
-    seen = (
-        queries.unionByName(codes)
-        .groupBy("keyed_specialty", "kind", "item")
-        .agg(F.min(F.struct("_order", "_pos")).alias("_seen"))
-    )
-    return seen.select(
-        "keyed_specialty",
-        "kind",
-        "item",
-        F.col("_seen")["_order"].alias("first_seen"),
-        F.col("_seen")["_pos"].alias("first_position"),
-    )
+    rows, kind = queries.unionByName(codes), keyed.schema["_order"].dataType
+    of_item = rows.groupBy("keyed_specialty", "kind", "item")
+    if isinstance(kind, T.IntegralType):
+        least = F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")  # stands for null, which comes first
+        one = F.coalesce(F.col("_order").cast("decimal(20,0)"), least) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_pos")
+        seen = of_item.agg(F.min(one).alias("_one"))
+        pos = F.pmod(F.col("_one"), F.lit(1 << 31).cast("decimal(10,0)")).cast("int")
+        first = ((F.col("_one") - pos) / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(20,0)")
+        first = F.when(first > least, first.cast(kind))
+    else:
+        seen = of_item.agg(F.min(F.struct("_order", "_pos")).alias("_seen"))
+        first, pos = F.col("_seen")["_order"], F.col("_seen")["_pos"]
+    return seen.select("keyed_specialty", "kind", "item", first.alias("first_seen"), pos.alias("first_position"))
 
 
 def merge_label_list(labels: DataFrame) -> DataFrame:

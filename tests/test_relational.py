@@ -361,3 +361,22 @@ def test_large_groups_stay_where_they_are_when_sampled(spark):
     text = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     assert {r.specialty: r["count"] for r in kept.groupBy("specialty").count().collect()} == {"hot": 1500, "b": 1500, None: 1500}
+
+
+def test_first_sight_is_found_without_a_sort(spark):
+    rows = [
+        ("q", "S", "C", ["a", "b"], 5), ("q", "S", "C", ["b", "a"], 5), ("r", "S", "C", ["b"], -(1 << 63)), ("r", "S", "C", ["b"], (1 << 63) - 1),
+        ("n", "T", "C", ["x", "y"], None), ("n", "T", "C", ["y"], -3), ("", "T", "C", ["z"], -3), ("m", "T", "C", ["w"], (1 << 63) - 1),
+    ]
+    schema = "query string, nucc_spec string, nucc_class string, related_icd10cm array<string>, ord {}"
+    frame = spark.createDataFrame(rows, schema.format("long"))
+    found = labels.group_queries_by_specialty(frame, "ord")
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.schema["first_seen"].dataType.simpleString() == "bigint" and found.schema["first_position"].dataType.simpleString() == "int"
+    got = {(r.keyed_specialty, r.kind, r.item): (r.first_seen, r.first_position) for r in found.collect()}
+    c, d = "c_s", "c_t"
+    assert got == {
+        (c, "query", "q"): (5, 0), (c, "query", "r"): (-(1 << 63), 0), (c, "code", "a"): (5, 0), (c, "code", "b"): (-(1 << 63), 0),
+        (d, "query", "n"): (None, 0), (d, "query", "m"): ((1 << 63) - 1, 0), (d, "code", "x"): (None, 0), (d, "code", "y"): (None, 1),
+        (d, "code", "z"): (-3, 0), (d, "code", "w"): ((1 << 63) - 1, 0),
+    }
