@@ -4,14 +4,16 @@ Vectors are packed into rows that hold a whole block (keys and one matrix). Bloc
 meet in an equi-join, and each meeting is one matrix product in an Arrow task that
 emits only an aggregate of it (the top k, a histogram, a maximum), never the pairs.
 
-The right side is broadcast only if its measured size is below a limit; left rows
-then stay where they are. Beyond it both sides are cut into parts of bounded size
-that meet in a grid: left parts are copied to every band of right blocks and right
-blocks to every left part, so the work of one task is bounded on both sides.
+The right side is broadcast only if its measured size is below a small limit; left rows
+then stay where they are. Beyond it both sides meet in a grid: left parts are copied to
+every right block and right blocks to every left part. A task sorts the rows of its cells,
+holds one side of a cell (a block of bounded size) and streams the other past it, row by
+row, so its memory doesn't grow with the tables and no block is sent twice.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,18 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codescout.functions.vectors import unit_rows
+from codescout.functions.vectors import rows_of, unit_rows
 from codescout.session import materialise
 
 BLOCK_BYTES = 8 << 20
 BROADCAST_BYTES = 512 << 20
-GRID_BYTES = 256 << 20
+#: Bytes of right vectors that are sent along with every left block; more of them meet the left rows in a grid.
+SENT_BYTES = 1 << 20
 CELL_BYTES = 32 << 20
+#: Pairs that are worth a cell of their own.
+CELL_PAIRS = 1 << 24
 #: Rows of a table of large groups (about 24 bytes each) up to which it is broadcast.
 MOST_SIZES = 1 << 20
 CHUNK_ROWS = 1024
 MICRO = 1_000_000
-_PRODUCT_CELLS = 4_000_000
+_PRODUCT_CELLS = 1_000_000
 
 
 class Block:
@@ -163,7 +168,7 @@ def meet(
     kernel: Kernel | type[Total],
     schema: T.StructType,
     block_bytes: int = BLOCK_BYTES,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = SENT_BYTES,
 ) -> tuple[DataFrame, int]:
     """Run ``kernel`` on every (left block, right block); returns rows and right blocks.
 
@@ -172,41 +177,172 @@ def meet(
     in one call and the kernel's result is final; otherwise the caller merges the parts.
     Right blocks are sorted by the first of ``right_keep``.
     """
-    spark = left.sparkSession
     count, width = vector_stats(right, vector)
     total = count * width
     buckets = max(1, math.ceil(total / block_bytes))
-    small = total <= broadcast_bytes
-    parts = bands = 1
-    if not small:
-        left_count, left_width = vector_stats(left, vector)
-        parts = max(1, math.ceil(left_count * left_width / GRID_BYTES))
-        tasks = 4 * spark.sparkContext.defaultParallelism
-        bands = min(buckets, max(math.ceil(total / GRID_BYTES), math.ceil(tasks / parts)))
-
-    stored = right.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
-    stored = stored.withColumn("_bucket", F.pmod(F.xxhash64(right_keep[0]), F.lit(buckets)).cast("int"))
-    stored = stored.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", right_keep[0])
     block_rows = max(1, block_bytes // max(1, width)) * 2
-    packed_right = pack(stored, right_keep, vector, block_rows, same=["_bucket"])
-    packed_left = pack(left, left_keep, vector, CHUNK_ROWS)
+    kinds = _width(left, vector), _width(right, vector)
+    bucket = F.pmod(F.xxhash64(right_keep[0]), F.lit(buckets)).cast("int")
+
+    if total > broadcast_bytes:
+        left_count, _ = vector_stats(left, vector)
+        parts = math.ceil(_tasks(left, left_count * count) / buckets)
+        part = F.pmod(F.xxhash64(left_keep[0], vector), F.lit(parts)).cast("int")
+        placed = right.withColumn("_bucket", bucket).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        copied = left.withColumn("_part", part).withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        dealt = _dealt(placed, copied, right_keep, left_keep, vector, parts * buckets)
+        out_names = [field.name for field in schema]
+        totals = isinstance(kernel, type)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = kernel() if totals else None
+            for pieces, streamed in _cells(batches):
+                rights = _blocks(pieces, "a_", right_keep, kinds[1], block_rows)
+                for piece in streamed:
+                    for whole in _blocks([piece], "b_", left_keep, kinds[0], CHUNK_ROWS):
+                        for other in rights:
+                            _same_width(whole, other)
+                            for some in _slices(whole, len(other)):
+                                if totals:
+                                    total.add(some, other)
+                                    continue
+                                columns = kernel(some, other)
+                                if len(columns[out_names[0]]):
+                                    yield pa.RecordBatch.from_arrays([columns[name] for name in out_names], out_names)
+            if totals:
+                columns = total.result()
+                yield pa.RecordBatch.from_arrays([columns[name] for name in out_names], out_names)
+
+        return dealt.mapInArrow(run, schema), buckets
+
+    stored = right.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).withColumn("_bucket", bucket)
+    stored = stored.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", right_keep[0])
+    packed_right = _prefix(pack(stored, right_keep, vector, block_rows, same=["_bucket"]), "r_", skip=["_bucket"])
+    packed_left = _prefix(pack(left, left_keep, vector, CHUNK_ROWS), "l_")
+    one = F.lit(0)
+    pairs = packed_left.withColumn("_band", one).join(F.broadcast(packed_right.withColumn("_band", one)), "_band")
+    return run_kernel(pairs, left_keep, right_keep, *kinds, kernel, schema), buckets
+
+
+class Held:
+    """What a task keeps for a block of held rows while all others pass by; it emits once per block."""
+
+    def __init__(self, held: Block) -> None:
+        raise NotImplementedError
+
+    def add(self, start: int, held: Block, other: Block) -> None:
+        """Take in a part of the held block, which begins at row ``start``, and a block of others."""
+        raise NotImplementedError
+
+    def result(self) -> dict[str, pa.Array]:
+        raise NotImplementedError
+
+
+def pass_by(
+    held: DataFrame,
+    others: DataFrame,
+    held_keep: Sequence[str],
+    other_keep: Sequence[str],
+    vector: str,
+    kernel: type[Held],
+    schema: T.StructType,
+    rows: int,
+) -> DataFrame:
+    """Like :func:`meet`, but about ``rows`` held rows see all others in one task, so what is known of them needs no merging.
+
+    Every block of held rows has a copy of the others pass by; keys of the held rows should be distinct.
+    """
+    held_count, _ = vector_stats(held, vector)
+    count, _ = vector_stats(others, vector)
+    parts = max(math.ceil(held_count / rows), _tasks(held, held_count * count))
+    kinds = _width(held, vector), _width(others, vector)
+    placed = held.withColumn("_part", F.pmod(F.xxhash64(held_keep[0]), F.lit(parts)).cast("int")).withColumn("_bucket", F.lit(0))
+    copied = others.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_bucket", F.lit(0))
+    names = [field.name for field in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces, streamed in _cells(batches):
+            blocks = _blocks(pieces, "a_", held_keep, kinds[0], 2 * rows)
+            kept = [kernel(block) for block in blocks]
+            for piece in streamed:
+                for other in _blocks([piece], "b_", other_keep, kinds[1], 4 * CHUNK_ROWS):
+                    for block, state in zip(blocks, kept):
+                        _same_width(block, other)
+                        start = 0
+                        for some in _slices(block, len(other)):
+                            state.add(start, some, other)
+                            start += len(some)
+            for state in kept:
+                columns = state.result()
+                yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
+
+    return _dealt(placed, copied, held_keep, other_keep, vector, parts).mapInArrow(run, schema)
 
-    packed_left = _prefix(packed_left, "l_").withColumn(
-        "_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    )
-    packed_right = _prefix(packed_right, "r_", skip=["_bucket"]).withColumn(
-        "_band", F.pmod("_bucket", F.lit(bands))
-    )
-    on = ["_band"]
-    if not small:
-        packed_left = packed_left.withColumn("_part", F.pmod(F.xxhash64("l__matrix"), F.lit(parts)).cast("int"))
-        packed_right = packed_right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        on.append("_part")
-    pairs = packed_left.join(F.broadcast(packed_right) if small else packed_right, on)
-    result = run_kernel(
-        pairs, left_keep, right_keep, _width(left, vector), _width(right, vector), kernel, schema
-    )
-    return result, buckets
+
+def _tasks(df: DataFrame, pairs: int) -> int:
+    """Cells that keep all cores busy to the end, if there are pairs enough."""
+    return max(1, min(8 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / CELL_PAIRS)))
+
+
+def _dealt(a: DataFrame, b: DataFrame, a_keep: Sequence[str], b_keep: Sequence[str], vector: str, cells: int) -> DataFrame:
+    """Both sides below each other, cell by cell, the rows of ``a`` first and in the order of their first column."""
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        columns = [F.col("_part"), F.col("_bucket"), F.lit(number).alias("_side")]
+        for prefix, keep, source in (("a_", a_keep, a), ("b_", b_keep, b)):
+            for name in [*keep, vector]:
+                missing = F.lit(None).cast(source.schema[name].dataType)
+                columns.append((F.col(name) if source is df else missing).alias(prefix + ("_vector" if name == vector else name)))
+        return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*columns)
+
+    # Some cells share a partition by chance; with more partitions than cells fewer do.
+    both = side(a, 0).unionByName(side(b, 1)).repartition(1 if cells == 1 else 2 * cells, "_part", "_bucket")
+    return both.sortWithinPartitions("_part", "_bucket", "_side", f"a_{a_keep[0]}")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
+    """For each cell the batches of its first side, and an iterator over those of its second side."""
+
+    def runs() -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            change = np.zeros(batch.num_rows - 1, dtype=bool)
+            for mark in marks:
+                change |= mark[1:] != mark[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                yield (int(marks[0][low]), int(marks[1][low])), int(marks[2][low]), batch.slice(low, high - low)
+
+    for _, cell in itertools.groupby(runs(), key=lambda run: run[0]):
+        first: list[pa.RecordBatch] = []
+        rest: list[pa.RecordBatch] = []
+        for _, number, piece in cell:
+            if number:
+                rest.append(piece)
+                break
+            first.append(piece)
+        yield first, itertools.chain(rest, (piece for _, _, piece in cell))
+
+
+def _blocks(pieces: list[pa.RecordBatch], prefix: str, keep: Sequence[str], kind: type, rows: int) -> list[Block]:
+    """Blocks of up to ``rows`` rows of all pieces."""
+    if not pieces:
+        return []
+
+    def whole(name: str) -> pa.Array:
+        return pa.concat_arrays([piece.column(prefix + name) for piece in pieces])
+
+    matrix = rows_of(whole("_vector")).astype(kind, copy=False)
+    columns = {name: whole(name) for name in keep}
+    starts = range(0, len(matrix), rows)
+    return [Block({name: column.slice(at, rows) for name, column in columns.items()}, matrix[at:at + rows]) for at in starts]
+
+
+def _same_width(left: Block, right: Block) -> None:
+    if left.matrix.shape[1] != right.matrix.shape[1]:
+        raise ValueError("vectors differ in dimension")
 
 
 def grids(left: DataFrame, right: DataFrame, group: str, width: int, cell_bytes: int) -> DataFrame:
@@ -309,8 +445,7 @@ def run_kernel(
             for row in range(batch.num_rows):
                 left = decode(batch, row, "l_", left_keep, left_kind)
                 right = decode(batch, row, "r_", right_keep, right_kind)
-                if left.matrix.shape[1] != right.matrix.shape[1]:
-                    raise ValueError("vectors differ in dimension")
+                _same_width(left, right)
                 scalars = {
                     name: batch.column(batch.schema.get_field_index(name)).slice(row, 1) for name in same
                 }
@@ -368,6 +503,25 @@ def top_cells(scores: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(chosen, order, axis=1)
 
 
+def top_products(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, columns, scores) of the k highest six-place scores per row, as :func:`top_cells` orders them.
+
+    Cells of minus infinity are left out. The k-th highest of every 16th column is a bound that few cells reach; only those are ordered.
+    """
+    sample = products[:, ::16]
+    bound = np.full(len(products), -np.inf)
+    if sample.shape[1] > 2 * k:
+        at = sample.shape[1] - k
+        bound = (np.rint(np.partition(sample, at, axis=1)[:, at] * MICRO) - 0.75) / MICRO
+    rows, columns = np.nonzero((products >= bound[:, None]) & (products > -np.inf))
+    scores = np.rint(products[rows, columns] * MICRO).astype(np.int64)
+    order = np.lexsort((columns, -scores, rows))
+    rows, columns, scores = rows[order], columns[order], scores[order]
+    places = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = places < k
+    return rows[kept], places[kept], columns[kept], scores[kept]
+
+
 def same_keys(left: Block, right: Block, key: str) -> tuple[np.ndarray, np.ndarray]:
     """Cells in which both sides are the same row; keys must be unique."""
     places = pa.compute.index_in(left.columns[key], value_set=right.columns[key])

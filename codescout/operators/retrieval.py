@@ -66,17 +66,14 @@ def nearest(
     )
 
     def kernel(left_block: blocks.Block, right_block: blocks.Block) -> dict[str, pa.Array]:
-        scores = blocks.micro_cosines(left_block, right_block)
+        products = left_block.unit @ right_block.unit.T
         barred = exclusion_mask(left_block, right_block, exclude, code_key) if exclude else None
-        if barred is not None:
-            scores = np.where(barred, np.int64(-2 * blocks.MICRO), scores)
-        best = blocks.top_cells(scores, k)
-        kept = np.take_along_axis(scores, best, axis=1)
-        rows, places = np.nonzero(kept > -2 * blocks.MICRO)
-        columns = best[rows, places]
+        # A product that is not a number has no place among the best.
+        products[np.isnan(products) if barred is None else barred | np.isnan(products)] = -np.inf
+        rows, places, columns, scores = blocks.top_products(products, k)
         out = {name: left_block.columns[name].take(pa.array(rows)) for name in keys}
         out[code_key] = right_block.columns[code_key].take(pa.array(columns))
-        out["similarity"] = pa.array(kept[rows, places] / blocks.MICRO)
+        out["similarity"] = pa.array(scores / blocks.MICRO)
         out["rank"] = pa.array((places + 1).astype(np.int32))
         if chance:
             mine, other = (b.columns[chance].to_numpy(zero_copy_only=False) for b in (left_block, right_block))

@@ -472,3 +472,34 @@ def test_scarce_queries_get_all_candidates(spark, codes):
     assert {r.code for r in got if r.query == "few"} == {f"c{i:03d}" for i in range(60, 90)}
     assert len([r for r in got if r.query == "many"]) == 50 and not [r for r in got if r.query == "none"]
     assert mining.mine_negatives_topk(frame, codes.limit(0), 50).count() == 0
+
+
+def test_cells_hold_what_they_need(spark):
+    """Each vector goes to a task as a row of its own, so no batch holds a block for each other block."""
+    rng = np.random.default_rng(3)
+    made = rng.normal(size=(700, 4)).astype(np.float32)
+    frame = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(made)], "query string, embedding array<float>")
+    codes = frame.withColumnRenamed("query", "code")
+
+    schema = T.StructType([T.StructField("query", T.StringType()), T.StructField("held", T.LongType())])
+
+    def kernel(left, right):
+        return {"query": left.columns["query"], "held": pa.array(np.full(len(left), len(right)))}
+
+    met, n = blocks.meet(frame, codes, ["query"], ["code"], "embedding", kernel, schema, block_bytes=1600, broadcast_bytes=0)
+    text = met._jdf.queryExecution().executedPlan().toString()
+    assert n == 7 and "Join" not in text
+    got = met.groupBy("query").agg(F.sum("held").alias("n")).collect()
+    assert len(got) == 700 and {r.n for r in got} == {700}
+
+
+def test_high_products_alone_are_ordered():
+    rng = np.random.default_rng(5)
+    products = np.round(rng.normal(size=(20, 900)) / 4, 2)  # many ties
+    products[3, :890] = -np.inf
+    products[4] = -np.inf
+    rows, places, columns, scores = blocks.top_products(products, 7)
+    for i in range(20):
+        want = [c for c in np.lexsort((np.arange(900), -products[i]))[:7] if np.isfinite(products[i, c])]
+        assert columns[rows == i].tolist() == want and places[rows == i].tolist() == list(range(len(want)))
+    assert (scores == np.rint(products[rows, columns] * 1e6)).all()
