@@ -21,5 +21,12 @@ def draw_number(seed: int, key: Column) -> Column:
 
 
 def pair_draws(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Random order of pairs from the draw numbers of both sides, cheap for many pairs."""
-    return (a ^ b) % MODULUS * MULTIPLIER % MODULUS
+    """Random order of pairs from the draw numbers (60 bits) of both sides, cheap for many pairs."""
+    return _remainder(_remainder(a ^ b) * MULTIPLIER)
+
+
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """Of a division by the modulus, which is 2^31 - 1, without one: 2^31 leaves 1, so the upper bits are added to the lower ones."""
+    for _ in range(2):
+        x = (x & MODULUS) + (x >> 31)
+    return np.where(x == MODULUS, 0, x)

@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codescout.functions.draws import draw_number, pair_draws
+from codescout.functions.draws import MODULUS, draw_number, pair_draws
 from codescout.functions.vectors import cosine
 from codescout.operators import blocks
 from codescout.operators.retrieval import exclusion_mask, nearest
 from codescout.operators.running import row_numbers
+from codescout.session import materialise
 
 _LOWEST = -2 * blocks.MICRO
-# A pool up to this size is one block, so that percentiles need a single pass.
-WHOLE_POOL_BYTES = 64 << 20
+#: Queries that a task holds while the pool passes by: 32 MB of counts for the first digits, as much again for each percentile.
+HELD_ROWS = 4096
+#: How many times the negatives asked for are looked at, in the order of the draws.
+LOOKED_AT = 12
 
 
 def trim_positives(df: DataFrame, k: int = 5, column: str = "positives") -> DataFrame:
@@ -48,12 +51,11 @@ def similarity_percentiles(
 ) -> DataFrame:
     """Linear percentiles of the cosines of each query to all its candidates.
 
-    A pool of one block is sorted per query in the task. A larger pool is counted
-    twice by digits of the six-place cosine, so the exact value is found from a few
-    thousand counts per query, whatever the size of the pool. Columns ``p70`` ... and
-    ``candidates``.
+    A pool of one block is sorted per query in the task. A larger pool passes twice by
+    the queries that a task holds and is counted by digits of the six-place cosine, so
+    the exact value is found from a few thousand counts per query, whatever the size of
+    the pool, and no count leaves the task. Columns ``p70`` ... and ``candidates``.
     """
-    limits = {"block_bytes": WHOLE_POOL_BYTES, **limits}
     queries = one_row_each(queries, key)
     keep = [key] + ([exclude] if exclude else [])
     names = [f"p{p}" for p in percents]
@@ -94,96 +96,89 @@ def similarity_percentiles(
             .select(key, F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), *names)
         )
 
-    # Cosines as integers 0 .. 2 000 000, split into a high and a low digit of base 2048.
-    base = 2048
+    # Cosines as integers 0 .. 2 000 000, split into a high and a low digit of base 1024.
+    base, shift = 1024, 10
+    width = (2 * blocks.MICRO >> shift) + 1
 
-    def count_high(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
+    def shifted(left: blocks.Block, right: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
         scores, barred = scored(left, right)
-        digits = (scores + blocks.MICRO) // base
-        width = 2 * blocks.MICRO // base + 1
-        flat = digits + np.arange(len(digits))[:, None] * width
-        counts = np.bincount(flat[~barred], minlength=len(digits) * width).reshape(len(digits), width)
-        rows, columns = np.nonzero(counts)
-        return {
-            key: left.columns[key].take(pa.array(rows)),
-            "digit": pa.array(columns.astype(np.int32)),
-            "n": pa.array(counts[rows, columns]),
-        }
-
-    high_schema = T.StructType(
-        [query_field, T.StructField("digit", T.IntegerType()), T.StructField("n", T.LongType())]
-    )
-    parts, _ = blocks.meet(queries, pool, keep, [code_key], vector, count_high, high_schema, **limits)
-    by_digit = parts.groupBy(key, "digit").agg(F.sum("n").alias("n"))
-    running = Window.partitionBy(key).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    totals = by_digit.groupBy(key).agg(F.sum("n").alias("candidates"))
-    reached = by_digit.withColumn("upto", F.sum("n").over(running))
-    wanted = totals.select(
-        key,
-        "candidates",
-        F.posexplode(F.array(*[F.lit(p) / 100 * (F.col("candidates") - 1) for p in percents])).alias("which", "place"),
-    ).select(
-        key,
-        "which",
-        "place",
-        F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("index"),
-    )
-    located = (
-        wanted.join(reached, key)
-        .filter((F.col("index") < F.col("upto")) & (F.col("index") >= F.col("upto") - F.col("n")))
-        .select(key, "which", "place", "index", "digit", (F.col("upto") - F.col("n")).alias("before"))
-    )
-    needed = located.groupBy(key).agg(F.collect_set("digit").alias("_digits"))
-
-    def count_low(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
-        scores, barred = scored(left, right)
-        shifted = scores + blocks.MICRO
-        digits = shifted // base
-        lists = left.columns["_digits"].to_pylist()
-        wanted = np.full((len(lists), max(map(len, lists))), -1)
-        for row, values in enumerate(lists):
-            wanted[row, :len(values)] = values
-        hit = np.zeros(scores.shape, dtype=bool)
-        for column in wanted.T:
-            hit |= digits == column[:, None]
-        rows, places = np.nonzero(hit & ~barred)
-        span = 2 * blocks.MICRO + 1
-        found, n = np.unique(rows * span + shifted[rows, places], return_counts=True)
-        return {
-            key: left.columns[key].take(pa.array(found // span)),
-            "value": pa.array(found % span),
-            "n": pa.array(n.astype(np.int64)),
-        }
-
-    low_schema = T.StructType(
-        [query_field, T.StructField("value", T.LongType()), T.StructField("n", T.LongType())]
-    )
-    marked = queries.join(needed, key)
-    parts, _ = blocks.meet(marked, pool, keep + ["_digits"], [code_key], vector, count_low, low_schema, **limits)
-    by_value = parts.groupBy(key, "value").agg(F.sum("n").alias("n"))
-    within = (
-        Window.partitionBy(key, "digit").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    fine = by_value.withColumn("digit", F.floor(F.col("value") / base).cast("int")).withColumn(
-        "upto", F.sum("n").over(within)
-    )
-    at = F.col("index") - F.col("before")
-    exact = (
-        located.join(fine, [key, "digit"])
-        .filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("n")))
-        .select(key, "which", "place", "index", ((F.col("value") - blocks.MICRO) / blocks.MICRO).alias("x"))
-        .groupBy(key, "which", "place")
-        .agg(F.min_by("x", "index").alias("a"), F.max_by("x", "index").alias("b"))
-    )
-    value = F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")), 9)
-    wide = exact.groupBy(key).agg(
-        *[F.max(F.when(F.col("which") == i, value)).alias(name) for i, name in enumerate(names)]
-    )
+        return scores + blocks.MICRO, barred
+
+    def places(counts: np.ndarray) -> np.ndarray:
+        return np.array(percents)[None, :] / 100 * np.maximum(counts - 1, 0)[:, None]
+
+    class HighDigits(blocks.Held):
+        """Counts of the high digit; the result says in which one each of the wanted ranks is, and how many scores are below it."""
+
+        def __init__(self, held: blocks.Block) -> None:
+            self.held, self.counts = held, np.zeros((len(held), width), np.int32)
+
+        def add(self, start: int, held: blocks.Block, other: blocks.Block) -> None:
+            scores, barred = shifted(held, other)
+            flat = (scores >> shift) + np.arange(len(held))[:, None] * width
+            found = np.bincount(flat[~barred] if barred.any() else flat.ravel(), minlength=len(held) * width)
+            self.counts[start:start + len(held)] += found.reshape(len(held), width).astype(np.int32)
+
+        def result(self) -> dict[str, pa.Array]:
+            total = self.counts.sum(axis=1, dtype=np.int64)
+            place = places(total)
+            ranks = np.concatenate([np.floor(place), np.ceil(place)], axis=1).astype(np.int64)
+            digits, before = np.zeros(ranks.shape, np.int64), np.zeros(ranks.shape, np.int64)
+            for row, counts in enumerate(self.counts):
+                upto = np.cumsum(counts, dtype=np.int64)
+                digits[row] = np.minimum(np.searchsorted(upto, ranks[row], side="right"), width - 1)
+                before[row] = upto[digits[row]] - counts[digits[row]]
+            listed = [pa.ListArray.from_arrays(pa.array(np.arange(len(ranks) + 1) * ranks.shape[1], pa.int32()), x.ravel()) for x in (digits, ranks - before)]
+            return {key: self.held.columns[key], "candidates": pa.array(total), "_digits": listed[0], "_ranks": listed[1]}
+
+    long_list = T.ArrayType(T.LongType())
+    fields = [query_field, T.StructField("candidates", T.LongType())]
+    high_schema = T.StructType([*fields, T.StructField("_digits", long_list), T.StructField("_ranks", long_list)])
+    high = materialise(blocks.pass_by(queries, pool, keep, [code_key], vector, HighDigits, high_schema, HELD_ROWS))
+
+    class LowDigits(blocks.Held):
+        """Counts of the low digit of scores with a wanted high one, and the percentiles that follow."""
+
+        def __init__(self, held: blocks.Block) -> None:
+            self.held = held
+            self.digits, self.ranks = (held.columns[c].flatten().to_numpy().reshape(len(held), -1) for c in ("_digits", "_ranks"))
+            # Ranks with the same high digit share a slot; slots without use have a digit that no score has.
+            ordered = np.sort(self.digits, axis=1)
+            new = np.concatenate([np.ones((len(held), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+            slot = np.cumsum(new, axis=1) - 1
+            self.wanted = np.full((len(held), slot.max() + 1), -1)
+            np.put_along_axis(self.wanted, slot, ordered, axis=1)
+            self.counts = np.zeros((*self.wanted.shape, base), np.int32)
+
+        def add(self, start: int, held: blocks.Block, other: blocks.Block) -> None:
+            scores, barred = shifted(held, other)
+            digits = scores >> shift
+            if barred.any():
+                digits[barred] = -2
+            stop = start + len(held)
+            for slot, wanted in enumerate(self.wanted[start:stop].T):
+                rows, columns = np.nonzero(digits == wanted[:, None])
+                flat = rows * base + (scores[rows, columns] & base - 1)
+                self.counts[start:stop, slot] += np.bincount(flat, minlength=len(held) * base).reshape(-1, base).astype(np.int32)
+
+        def result(self) -> dict[str, pa.Array]:
+            counts = self.held.columns["candidates"].to_numpy()
+            values = np.zeros(self.digits.shape, np.int64)
+            for row, (digits, ranks) in enumerate(zip(self.digits, self.ranks)):
+                upto = np.cumsum(self.counts[row], axis=1, dtype=np.int64)
+                for i, slot in enumerate(np.searchsorted(self.wanted[row][self.wanted[row] >= 0], digits)):
+                    values[row, i] = digits[i] * base + np.searchsorted(upto[slot], ranks[i], side="right") - blocks.MICRO
+            place, (a, b) = places(counts), np.split(values / blocks.MICRO, 2, axis=1)
+            exact = np.round(a + (b - a) * (place - np.floor(place)), 9)
+            out = {key: self.held.columns[key], "candidates": self.held.columns["candidates"]}
+            return out | {name: pa.array(exact[:, i], mask=counts == 0) for i, name in enumerate(names)}
+
+    marked = queries.join(high, key)
+    exact = blocks.pass_by(marked, pool, [*keep, "candidates", "_digits", "_ranks"], [code_key], vector, LowDigits, schema, HELD_ROWS)
     return (
         queries.select(key)
         .distinct()
-        .join(totals, key, "left")
-        .join(wide, key, "left")
+        .join(exact, key, "left")
         .select(key, F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), *names)
     )
 
@@ -263,11 +258,13 @@ def mine_negatives_band(
 
     Hard ones lie in [low, high), easy ones below low, none above. With fewer than
     ``num`` candidates all are returned. First the exact percentiles, then a second
-    pass in which every block keeps only the best draws.
+    pass in which every block keeps only the best draws. That pass looks at pairs
+    with low draws alone, as many as hold the wanted ones as a rule, and only their
+    cosines are taken; queries for which they were too few have all draws looked at.
     """
     cuts = similarity_percentiles(queries, pool, (low, high), **limits)
-    marked = one_row_each(queries, "query").join(cuts, "query").withColumn(
-        "draw", draw_number(seed, F.col("query"))
+    marked = materialise(
+        one_row_each(queries, "query").join(cuts, "query").withColumn("draw", draw_number(seed, F.col("query")))
     )
     drawn_pool = pool.withColumn("draw", draw_number(seed, F.col("code")))
     keep = ["query", "positives", "draw", "candidates", f"p{low}", f"p{high}"]
@@ -316,8 +313,42 @@ def mine_negatives_band(
             "similarity": pa.array(similarity[rows, columns]),
         }
 
-    parts, _ = blocks.meet(marked, drawn_pool, keep, ["code", "draw"], "embedding", kernel, schema, **limits)
-    return _with_quotas(parts, num)
+    def all_draws(asked: DataFrame) -> DataFrame:
+        return blocks.meet(asked, drawn_pool, keep, ["code", "draw"], "embedding", kernel, schema, **limits)[0]
+
+    size, _ = blocks.vector_stats(drawn_pool, "embedding")
+    if size <= 16 * LOOKED_AT * num:
+        return _with_quotas(all_draws(marked), num)
+    upto = MODULUS * LOOKED_AT * num // size
+
+    def low_draws(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
+        mine, other = (b.columns["draw"].to_numpy(zero_copy_only=False) for b in (left, right))
+        draws = pair_draws(mine[:, None], other[None, :])
+        rows, columns = np.nonzero(draws <= upto)
+        draws = draws[rows, columns]
+        barred = exclusion_mask(left, right, "positives", "code")
+        cosines = np.einsum("ij,ij->i", left.unit[rows], right.unit[columns])
+        similarity = np.rint(cosines * blocks.MICRO) / blocks.MICRO
+        bottom, top = (left.columns[f"p{p}"].fill_null(0.0).to_numpy(zero_copy_only=False)[rows] for p in (low, high))
+        member = (similarity < top) & (np.ones(len(rows), bool) if barred is None else ~barred[rows, columns])
+        rows, columns, draws, similarity, bottom = (x[member] for x in (rows, columns, draws, similarity, bottom))
+        return {
+            "query": left.columns["query"].take(pa.array(rows)),
+            "code": right.columns["code"].take(pa.array(columns)),
+            "kind": pa.array(np.where(similarity >= bottom, "hard", "easy"), pa.string()),
+            "draw": pa.array(draws),
+            "similarity": pa.array(similarity),
+        }
+
+    plenty = marked.filter(F.col("candidates") >= num)
+    parts, _ = blocks.meet(plenty, drawn_pool, keep, ["code", "draw"], "embedding", low_draws, schema, **limits)
+    picked = materialise(_with_quotas(parts, num))
+    # All hard ones and the rest easy ones: then nothing with a higher draw is among the first.
+    hard, easy = F.count_if(F.col("kind") == "hard"), F.count_if(F.col("kind") == "easy")
+    done = picked.groupBy("query").agg(hard.alias("_hard"), easy.alias("_easy")).filter(f"_hard = {num // 2} and _easy = {num - num // 2}")
+    open_ends = materialise(marked.join(done, "query", "left_anti"))
+    picked = picked.join(done, "query", "left_semi")
+    return picked if open_ends.isEmpty() else picked.unionByName(_with_quotas(all_draws(open_ends), num))
 
 
 def negative_candidates(queries: DataFrame, pool: DataFrame) -> DataFrame:

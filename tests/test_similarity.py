@@ -503,3 +503,17 @@ def test_high_products_alone_are_ordered():
         want = [c for c in np.lexsort((np.arange(900), -products[i]))[:7] if np.isfinite(products[i, c])]
         assert columns[rows == i].tolist() == want and places[rows == i].tolist() == list(range(len(want)))
     assert (scores == np.rint(products[rows, columns] * 1e6)).all()
+
+
+def test_low_draws_are_the_first_ones(spark, monkeypatch):
+    """Picks from pairs with low draws are those from all pairs, also when too few are looked at for some queries."""
+    rng = np.random.default_rng(6)
+    made = rng.normal(size=(600, 6)).astype(np.float32)
+    pool = spark.createDataFrame([(f"c{i}", x.tolist()) for i, x in enumerate(made)], "code string, embedding array<float>")
+    asked = pool.limit(40).select(F.col("code").alias("query"), F.array(F.col("code"), F.lit("c7")).alias("positives"), "embedding")
+    got = {}
+    for looked_at in (1000, 3, 1):
+        monkeypatch.setattr(mining, "LOOKED_AT", looked_at)
+        rows = mining.mine_negatives_band(asked, pool, 10, block_bytes=2400, broadcast_bytes=0).collect()
+        got[looked_at] = sorted(map(tuple, rows))
+    assert len(got[1000]) == 400 and got[1000] == got[3] == got[1]
