@@ -18,6 +18,8 @@ from codescout.operators.running import row_numbers
 from codescout.session import materialise
 
 _LOWEST = -2 * blocks.MICRO
+# A pool up to this size is one block, so that percentiles need a single pass.
+WHOLE_POOL_BYTES = 64 << 20
 #: Queries that a task holds while the pool passes by: 32 MB of counts for the first digits, as much again for each percentile.
 HELD_ROWS = 4096
 #: How many times the negatives asked for are looked at, in the order of the draws.
@@ -56,6 +58,7 @@ def similarity_percentiles(
     the exact value is found from a few thousand counts per query, whatever the size of
     the pool, and no count leaves the task. Columns ``p70`` ... and ``candidates``.
     """
+    limits = {"block_bytes": WHOLE_POOL_BYTES, **limits}
     queries = one_row_each(queries, key)
     keep = [key] + ([exclude] if exclude else [])
     names = [f"p{p}" for p in percents]
@@ -157,6 +160,8 @@ def similarity_percentiles(
                 digits[barred] = -2
             stop = start + len(held)
             for slot, wanted in enumerate(self.wanted[start:stop].T):
+                if wanted.max() < 0:
+                    continue
                 rows, columns = np.nonzero(digits == wanted[:, None])
                 flat = rows * base + (scores[rows, columns] & base - 1)
                 self.counts[start:stop, slot] += np.bincount(flat, minlength=len(held) * base).reshape(-1, base).astype(np.int32)
