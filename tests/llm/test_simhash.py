@@ -91,6 +91,37 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(frame.filter("a = b")).count() == 0
 
 
+def test_components_of_few_links_start_few_tasks(spark):
+    """The driver keeps a record of every task, so a small graph must not start one per shuffle partition in each round."""
+    draw = random.Random(12)
+    links = [(draw.randrange(60), draw.randrange(60)) for _ in range(50)] + [(1000 + i, 1001 + i) for i in range(12)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for a, b in links:
+        if a != b and root[a] != root[b]:
+            gone, left = root[a], root[b]
+            root = {x: left if r == gone else r for x, r in root.items()}
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    for limits in ({}, {"rows": 20}):
+        group = f"components-{limits}"
+        sc.setJobGroup(group, "")
+        try:
+            for n, v in names.items():
+                spark.conf.set(n, v)
+            got = {r.node: r.root for r in components(frame, **limits).collect()}
+        finally:
+            for n, v in before.items():
+                spark.conf.set(n, v)
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert {(x, y) for x in got for y in got if got[x] == got[y]} == {(x, y) for x in root for y in root if root[x] == root[y]}
+        stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+        # Only the first distinct takes a task for each partition; one round in all of them has several hundred.
+        assert tasks > 0 and (limits or tasks < 200)
+
+
 def test_documents(spark, awkward, no_rows):
     base = awkward.filter("doc_id = 5").first().text.split()
     draw = random.Random(9)
