@@ -31,6 +31,10 @@ BLOCK_BYTES = 8 << 20
 BROADCAST_BYTES = 512 << 20
 #: Bytes of right vectors that are sent along with every left block; more of them meet the left rows in a grid.
 SENT_BYTES = 1 << 20
+#: Bytes of right vectors up to which a task holds all of them.
+TASK_BYTES = 384 << 20
+#: Left and right rows that meet at a time where a task holds all right ones; left rows of one product, which then stays in the cache.
+TILE_ROWS, TILE_COLUMNS, PRODUCT_ROWS = 1024, 1024, 256
 CELL_BYTES = 32 << 20
 #: Pairs that are worth a cell of their own.
 CELL_PAIRS = 1 << 24
@@ -219,11 +223,71 @@ def meet(
     stored = stored.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", right_keep[0])
     packed_right = _prefix(pack(stored, right_keep, vector, block_rows, same=["_bucket"]), "r_", skip=["_bucket"])
     packed_left = _prefix(pack(left, left_keep, vector, CHUNK_ROWS), "l_")
-    one = F.lit(0)
-    pairs = packed_left.withColumn("_band", one).join(F.broadcast(packed_right.withColumn("_band", one)), "_band")
+    # A key that is no literal, so that Spark plans a hash join and no nested loops.
+    band = lambda rows: (F.col(rows) * 0).alias("_band")
+    sent = F.broadcast(packed_right.select("*", band("r__rows")))
+    pairs = packed_left.select("*", band("l__rows")).join(sent, "_band")
     return run_kernel(pairs, left_keep, right_keep, *kinds, kernel, schema), buckets
 
 
+def fits_task(right: DataFrame, vector: str, block_bytes: int | None = None, broadcast_bytes: int = SENT_BYTES, task_bytes: int | None = None) -> bool:
+    """Whether the right side is more than is sent along with every left block, but a task can hold it; limits on blocks say no."""
+    most = task_bytes if task_bytes is not None else TASK_BYTES if block_bytes is None else 0
+    if not most:
+        return False
+    count, width = vector_stats(right, vector)
+    return broadcast_bytes < count * width <= most
+
+
+def beside(
+    left: DataFrame,
+    right: DataFrame,
+    left_keep: Sequence[str],
+    right_keep: Sequence[str],
+    vector: str,
+    kernel: Callable[[Block, list[Block]], dict[str, pa.Array]] | type[Total],
+    schema: T.StructType,
+) -> DataFrame:
+    """Like :func:`meet`, for right sides that a task can hold: a left block sees all right rows at once, so the result is final.
+
+    The kernel gets some left rows and all right ones, in blocks of bounded size and in the order of the first of ``right_keep``; a
+    :class:`Total` gets the blocks one by one. Only a few tasks per core are made: each has its own left rows and a copy of the right side, which is all that is shuffled.
+    """
+    left_count, _ = vector_stats(left, vector)
+    count, _ = vector_stats(right, vector)
+    parts = _tasks(left, left_count * count, 3)
+    kinds = _width(left, vector), _width(right, vector)
+    part = F.pmod(F.xxhash64(left_keep[0], vector), F.lit(parts)).cast("int")
+    one = F.lit(0)
+    placed = right.withColumn("_bucket", one).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    copied = left.withColumn("_part", part).withColumn("_bucket", one)
+    names = [field.name for field in schema]
+
+    totals = isinstance(kernel, type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = kernel() if totals else None
+        for pieces, streamed in _cells(batches):
+            rights = [block for piece in pieces for block in _blocks([piece], "a_", right_keep, kinds[1], TILE_COLUMNS)]
+            for piece in streamed:
+                for some in _blocks([piece], "b_", left_keep, kinds[0], TILE_ROWS):
+                    for other in rights if totals else rights[:1]:
+                        _same_width(some, other)
+                        if totals:
+                            # Units of right rows are made anew each time: kept ones would take twice the memory of the vectors.
+                            total.add(some, Block(other.columns, other.matrix))
+                    if totals:
+                        continue
+                    columns = kernel(some, rights)
+                    if len(columns[names[0]]):
+                        yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
+        if totals:
+            columns = total.result()
+            yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
+
+    return _dealt(placed, copied, right_keep, left_keep, vector, parts).mapInArrow(run, schema)
+
+
 class Held:
     """What a task keeps for a block of held rows while all others pass by; it emits once per block."""
 
@@ -279,9 +343,9 @@ def pass_by(
     return _dealt(placed, copied, held_keep, other_keep, vector, parts).mapInArrow(run, schema)
 
 
-def _tasks(df: DataFrame, pairs: int) -> int:
+def _tasks(df: DataFrame, pairs: int, per_core: int = 8) -> int:
     """Cells that keep all cores busy to the end, if there are pairs enough."""
-    return max(1, min(8 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / CELL_PAIRS)))
+    return max(1, min(per_core * df.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / CELL_PAIRS)))
 
 
 def _dealt(a: DataFrame, b: DataFrame, a_keep: Sequence[str], b_keep: Sequence[str], vector: str, cells: int) -> DataFrame:
@@ -481,6 +545,12 @@ def _slices(block: Block, other: int) -> Iterator[Block]:
         )
 
 
+def rows_at_a_time(block: Block, rows: int, first: int = 0) -> Iterator[Block]:
+    """The block from row ``first`` on, in parts of up to ``rows`` rows."""
+    for at in range(first, len(block), rows):
+        yield Block({name: column.slice(at, rows) for name, column in block.columns.items()}, block.matrix[at:at + rows])
+
+
 def micro_cosines(left: Block, right: Block) -> np.ndarray:
     """Cosines rounded to six places, as integers.
 
@@ -515,11 +585,24 @@ def top_products(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
         bound = (np.rint(np.partition(sample, at, axis=1)[:, at] * MICRO) - 0.75) / MICRO
     rows, columns = np.nonzero((products >= bound[:, None]) & (products > -np.inf))
     scores = np.rint(products[rows, columns] * MICRO).astype(np.int64)
-    order = np.lexsort((columns, -scores, rows))
-    rows, columns, scores = rows[order], columns[order], scores[order]
+    rows, columns, scores, places = best_cells(rows, columns, scores, k)
+    return rows, places, columns, scores
+
+
+def best_cells(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, scores, places) of the k highest scores per row, best first, lower column on ties."""
+    if not len(rows):
+        return rows, columns, scores, rows
+    if rows.max() < 1 << 12 and columns.max() < 1 << 29:
+        # One number for row, falling score and column: sorted several times as fast as three.
+        keys = np.sort(rows << 51 | (2 * MICRO - scores) << 29 | columns)
+        rows, columns, scores = keys >> 51, keys & (1 << 29) - 1, 2 * MICRO - (keys >> 29 & (1 << 22) - 1)
+    else:
+        order = np.lexsort((columns, -scores, rows))
+        rows, columns, scores = rows[order], columns[order], scores[order]
     places = np.arange(len(rows)) - np.searchsorted(rows, rows)
     kept = places < k
-    return rows[kept], places[kept], columns[kept], scores[kept]
+    return rows[kept], columns[kept], scores[kept], places[kept]
 
 
 def same_keys(left: Block, right: Block, key: str) -> tuple[np.ndarray, np.ndarray]:

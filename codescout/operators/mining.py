@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codescout.functions.draws import MODULUS, draw_number, pair_draws
+from codescout.functions.draws import MODULUS, draw_number, low_pairs, pair_draws
 from codescout.functions.vectors import cosine
 from codescout.operators import blocks
 from codescout.operators.retrieval import exclusion_mask, nearest
@@ -22,6 +22,10 @@ _LOWEST = -2 * blocks.MICRO
 WHOLE_POOL_BYTES = 64 << 20
 #: Queries that a task holds while the pool passes by: 32 MB of counts for the first digits, as much again for each percentile.
 HELD_ROWS = 4096
+#: Queries whose pool is counted at a time, and codes of it that say between which cosines their percentiles lie.
+HELD_IN_POOL, _PIVOTS = 512, 32768
+#: In place of a product that is no number: below all others.
+_NO_NUMBER = -3.0
 #: How many times the negatives asked for are looked at, in the order of the draws.
 LOOKED_AT = 12
 
@@ -53,12 +57,16 @@ def similarity_percentiles(
 ) -> DataFrame:
     """Linear percentiles of the cosines of each query to all its candidates.
 
-    A pool of one block is sorted per query in the task. A larger pool passes twice by
-    the queries that a task holds and is counted by digits of the six-place cosine, so
-    the exact value is found from a few thousand counts per query, whatever the size of
-    the pool, and no count leaves the task. Columns ``p70`` ... and ``candidates``.
+    A small pool is sorted per query in the task. One that a task can hold passes by its
+    queries once: a part of it says between which cosines a percentile must lie, all of it
+    is counted, and only what lies between is ordered (a query whose percentile lies
+    elsewhere after all has its whole pool ordered). A pool beyond that passes twice by the
+    queries that a task holds and is counted by digits of the six-place cosine, so the
+    exact value is found from a few thousand counts per query, whatever the size of the
+    pool, and no count leaves the task. Columns ``p70`` ... and ``candidates``.
     """
-    limits = {"block_bytes": WHOLE_POOL_BYTES, **limits}
+    in_task = blocks.fits_task(pool, vector, **limits)
+    limits = {"block_bytes": WHOLE_POOL_BYTES, **{name: value for name, value in limits.items() if name != "task_bytes"}}
     queries = one_row_each(queries, key)
     keep = [key] + ([exclude] if exclude else [])
     names = [f"p{p}" for p in percents]
@@ -89,7 +97,21 @@ def similarity_percentiles(
         [query_field, T.StructField("candidates", T.LongType())]
         + [T.StructField(name, T.DoubleType()) for name in names]
     )
-    result, n_blocks = blocks.meet(queries, pool, keep, [code_key], vector, whole, schema, **limits)
+
+    def of_all(left: blocks.Block, rights: list[blocks.Block]) -> dict[str, pa.Array]:
+        def barred_in(some: blocks.Block, other: blocks.Block) -> np.ndarray | None:
+            return exclusion_mask(some, other, exclude, code_key) if exclude else None
+
+        parts = [_percentiles_of_all(some, rights, percents, barred_in) for some in blocks.rows_at_a_time(left, HELD_IN_POOL)]
+        counts = np.concatenate([x for x, _ in parts])
+        values = np.concatenate([x for _, x in parts])
+        out = {key: left.columns[key], "candidates": pa.array(counts)}
+        return out | {name: pa.array(values[:, i], mask=counts == 0) for i, name in enumerate(names)}
+
+    if in_task:
+        result, n_blocks = blocks.beside(queries, pool, keep, [code_key], vector, of_all, schema), 1
+    else:
+        result, n_blocks = blocks.meet(queries, pool, keep, [code_key], vector, whole, schema, **limits)
     if n_blocks == 1:
         # Queries without a vector meet no block; they have no candidates here as well.
         return (
@@ -188,6 +210,78 @@ def similarity_percentiles(
     )
 
 
+def _percentiles_of_all(
+    left: blocks.Block,
+    rights: list[blocks.Block],
+    percents: Sequence[int],
+    barred_in: Callable[[blocks.Block, blocks.Block], np.ndarray | None],
+) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates and percentiles of each left row over all right ones, exact.
+
+    Rounding keeps the order, so it is products that are compared, and only those that are chosen are rounded.
+    """
+
+    finite = np.isfinite(left.unit).all()
+
+    def products_with(some: np.ndarray, unit: np.ndarray, barred: np.ndarray | None) -> np.ndarray:
+        products = some @ unit.T
+        if not finite or not np.isfinite(unit.sum()):
+            products[np.isnan(products)] = _NO_NUMBER
+        if barred is not None:
+            products[barred] = -np.inf
+        return products
+
+    total = sum(map(len, rights))
+    # Between these products the percentiles lie, but for one case in ten thousand.
+    every = max(1, total // min(_PIVOTS, max(2048, total // 16)))
+    some_rights = blocks.unit_rows(np.concatenate([b.matrix[::every] for b in rights]))
+    count = len(some_rights)
+    shares = np.array(percents) / 100
+    slack = 4 * np.sqrt(count * shares * (1 - shares)) + 2
+    at = np.stack([np.floor(shares * (count - 1) - slack), np.ceil(shares * (count - 1) + slack)]).astype(int)
+    kept = np.clip(at, 0, count - 1)
+    low, high = (np.zeros((len(percents), len(left))) for _ in range(2))
+    for start in range(0, len(left), 64):
+        ordered = np.partition(left.unit[start:start + 64] @ some_rights.T, np.unique(kept), axis=1)
+        low[:, start:start + 64], high[:, start:start + 64] = ordered[:, kept[0]].T, ordered[:, kept[1]].T
+    low[at[0] < 0], high[at[1] > count - 1] = -2.0, 2.0
+
+    skipped, below = np.zeros(len(left), np.int64), np.zeros((len(percents), len(left)), np.int64)
+    slices = [slice(at, at + blocks.PRODUCT_ROWS) for at in range(0, len(left), blocks.PRODUCT_ROWS)]
+    between: list[list[list[tuple[np.ndarray, np.ndarray]]]] = [[[] for _ in percents] for _ in slices]
+    for other in rights:
+        unit, barred = blocks.unit_rows(other.matrix), barred_in(left, other)
+        if barred is not None:
+            skipped += barred.sum(axis=1)
+        for number, some in enumerate(slices):
+            products = products_with(left.unit[some], unit, None if barred is None else barred[some])
+            for i in range(len(percents)):
+                under = products < low[i][some, None]
+                below[i][some] += np.count_nonzero(under, axis=1)
+                inside = (products <= high[i][some, None]) ^ under
+                found = np.rint(products.ravel()[np.flatnonzero(inside)] * blocks.MICRO).astype(np.int32)
+                between[number][i].append((found, np.cumsum([0, *np.count_nonzero(inside, axis=1)])))
+
+    counts = total - skipped
+    values = np.zeros((len(left), len(percents)))
+    for i, share in enumerate(shares):
+        place = share * np.maximum(counts - 1, 0)
+        for row in np.flatnonzero(counts):
+            wanted = np.array([np.floor(place[row]), np.ceil(place[row])], np.int64) + skipped[row] - below[i][row]
+            number, place_in = divmod(int(row), blocks.PRODUCT_ROWS)
+            mine = np.concatenate([found[ends[place_in]:ends[place_in + 1]] for found, ends in between[number][i]])
+            if wanted[0] < 0 or wanted[1] >= len(mine):
+                alone = next(blocks.rows_at_a_time(left, 1, int(row)))
+                mine = np.concatenate([products_with(alone.unit, blocks.unit_rows(b.matrix), barred_in(alone, b))[0] for b in rights])
+                wanted += below[i][row]
+                mine = np.rint(np.partition(mine, wanted) * blocks.MICRO)
+            else:
+                mine = np.partition(mine, wanted)
+            a, b = mine[wanted] / blocks.MICRO
+            values[row, i] = np.round(a + (b - a) * (place[row] - np.floor(place[row])), 9)
+    return counts, values
+
+
 # --- selection -------------------------------------------------------------------------------
 
 
@@ -268,6 +362,7 @@ def mine_negatives_band(
     cosines are taken; queries for which they were too few have all draws looked at.
     """
     cuts = similarity_percentiles(queries, pool, (low, high), **limits)
+    sizes = {name: value for name, value in limits.items() if name != "task_bytes"}
     marked = materialise(
         one_row_each(queries, "query").join(cuts, "query").withColumn("draw", draw_number(seed, F.col("query")))
     )
@@ -319,34 +414,54 @@ def mine_negatives_band(
         }
 
     def all_draws(asked: DataFrame) -> DataFrame:
-        return blocks.meet(asked, drawn_pool, keep, ["code", "draw"], "embedding", kernel, schema, **limits)[0]
+        return blocks.meet(asked, drawn_pool, keep, ["code", "draw"], "embedding", kernel, schema, **sizes)[0]
 
     size, _ = blocks.vector_stats(drawn_pool, "embedding")
     if size <= 16 * LOOKED_AT * num:
         return _with_quotas(all_draws(marked), num)
     upto = MODULUS * LOOKED_AT * num // size
 
-    def low_draws(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
+    def low_cells(left: blocks.Block, right: blocks.Block) -> dict[str, np.ndarray | pa.Array]:
         mine, other = (b.columns["draw"].to_numpy(zero_copy_only=False) for b in (left, right))
-        draws = pair_draws(mine[:, None], other[None, :])
-        rows, columns = np.nonzero(draws <= upto)
-        draws = draws[rows, columns]
+        rows, columns = low_pairs(mine, other, upto)
+        draws = pair_draws(mine[rows], other[columns])
         barred = exclusion_mask(left, right, "positives", "code")
-        cosines = np.einsum("ij,ij->i", left.unit[rows], right.unit[columns])
+        cosines = np.einsum("ij,ij->i", left.unit[rows], blocks.unit_rows(right.matrix[columns]))
         similarity = np.rint(cosines * blocks.MICRO) / blocks.MICRO
         bottom, top = (left.columns[f"p{p}"].fill_null(0.0).to_numpy(zero_copy_only=False)[rows] for p in (low, high))
         member = (similarity < top) & (np.ones(len(rows), bool) if barred is None else ~barred[rows, columns])
-        rows, columns, draws, similarity, bottom = (x[member] for x in (rows, columns, draws, similarity, bottom))
+        code = right.columns["code"].take(pa.array(columns[member]))
+        return {"row": rows[member], "code": code, "draw": draws[member], "similarity": similarity[member], "kind": (similarity >= bottom)[member]}
+
+    def named(left: blocks.Block, rows: np.ndarray, codes: pa.Array, draws: np.ndarray, similarity: np.ndarray, hard: np.ndarray) -> dict[str, pa.Array]:
         return {
             "query": left.columns["query"].take(pa.array(rows)),
-            "code": right.columns["code"].take(pa.array(columns)),
-            "kind": pa.array(np.where(similarity >= bottom, "hard", "easy"), pa.string()),
+            "code": codes,
+            "kind": pa.array(np.where(hard, "hard", "easy"), pa.string()),
             "draw": pa.array(draws),
             "similarity": pa.array(similarity),
         }
 
+    def low_draws(left: blocks.Block, right: blocks.Block) -> dict[str, pa.Array]:
+        x = low_cells(left, right)
+        return named(left, x["row"], x["code"], x["draw"], x["similarity"], x["kind"])
+
+    def low_draws_of_all(left: blocks.Block, rights: list[blocks.Block]) -> dict[str, pa.Array]:
+        """The first ones of every query and kind: it sees all its pairs."""
+        found = [[x[c] for c in ("row", "draw", "similarity", "kind", "code")] for x in (low_cells(left, right) for right in rights)]
+        codes = pa.concat_arrays([x[-1] for x in found])
+        rows, draws, similarity, hard = (np.concatenate(x) for x in list(zip(*found))[:-1])
+        # Codes come in order, so equal draws stay in that of their codes.
+        order = np.lexsort((draws, hard, rows))
+        group = rows[order] * 2 + hard[order]
+        order = order[np.arange(len(order)) - np.searchsorted(group, group) < num]
+        return named(left, rows[order], codes.take(pa.array(order)), draws[order], similarity[order], hard[order])
+
     plenty = marked.filter(F.col("candidates") >= num)
-    parts, _ = blocks.meet(plenty, drawn_pool, keep, ["code", "draw"], "embedding", low_draws, schema, **limits)
+    if blocks.fits_task(drawn_pool, "embedding", **limits):
+        parts = blocks.beside(plenty, drawn_pool, keep, ["code", "draw"], "embedding", low_draws_of_all, schema)
+    else:
+        parts, _ = blocks.meet(plenty, drawn_pool, keep, ["code", "draw"], "embedding", low_draws, schema, **sizes)
     picked = materialise(_with_quotas(parts, num))
     # All hard ones and the rest easy ones: then nothing with a higher draw is among the first.
     hard, easy = F.count_if(F.col("kind") == "hard"), F.count_if(F.col("kind") == "easy")

@@ -7,6 +7,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codescout.functions import draws
 from codescout.functions.vectors import cosine, l2_normalize
 from codescout.operators import blocks, diversity, evaluation, mining, retrieval
 from codescout.operators.embed import embed_texts, hashing_encoder
@@ -517,3 +518,37 @@ def test_low_draws_are_the_first_ones(spark, monkeypatch):
         rows = mining.mine_negatives_band(asked, pool, 10, block_bytes=2400, broadcast_bytes=0).collect()
         got[looked_at] = sorted(map(tuple, rows))
     assert len(got[1000]) == 400 and got[1000] == got[3] == got[1]
+
+
+@pytest.mark.parametrize("pivots", [32768, 20])
+def test_percentiles_do_not_rest_on_the_pivots(monkeypatch, pivots):
+    """Every hundredth code lies apart from all others, and with few pivots only these say where to look."""
+    rng = np.random.default_rng(12)
+    made = rng.normal(size=(2000, 3))
+    made[::100] = made[0] + rng.normal(size=(20, 3)) / 100
+    asked = rng.normal(size=(40, 3))
+    blocked = [blocks.Block({}, made[i:i + 500]) for i in range(0, 2000, 500)]
+    monkeypatch.setattr(mining, "_PIVOTS", pivots)
+    barred = rng.random((40, 2000)) < 0.3
+    barred[3], barred[4, 1:] = True, True
+    starts = {id(b): i * 500 for i, b in enumerate(blocked)}
+    places = {x.tobytes(): i for i, x in enumerate(asked)}
+
+    def barred_in(left, right):
+        return barred[[places[x.tobytes()] for x in left.matrix], starts[id(right)]:starts[id(right)] + 500]
+
+    counts, values = mining._percentiles_of_all(blocks.Block({}, asked), blocked, (10, 70, 90), barred_in)
+    scores = micro(asked, made) / 1e6
+    assert counts.tolist() == (~barred).sum(axis=1).tolist()
+    for row in range(40):
+        if counts[row]:
+            assert values[row] == pytest.approx(np.percentile(scores[row][~barred[row]], [10, 70, 90]), abs=1e-9)
+
+
+def test_low_pairs_are_those_of_all_draws():
+    rng = np.random.default_rng(13)
+    a, b = rng.integers(0, 1 << 60, 300), rng.integers(0, 1 << 60, 2000)
+    a[0], b[5] = b[0], a[1] ^ draws.MODULUS
+    for upto in (0, 5_000, 3_000_000, draws.MODULUS - 1):
+        want = np.nonzero(draws.pair_draws(a[:, None], b[None, :]) <= upto)
+        assert [x.tolist() for x in draws.low_pairs(a, b, upto)] == [x.tolist() for x in want]
