@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,12 @@ from codescout.functions.vectors import cosine
 from codescout.operators import blocks
 from codescout.operators.running import row_numbers, running_sums
 
+#: Scores whose counts are one row while they are summed up.
+_TOGETHER = 1 << 14
+_ROUNDED = 1.5 * 2.0**52
+#: Bits of the sum of that and the lowest score.
+_LOWEST_BITS = np.array([_ROUNDED - blocks.MICRO]).view(np.int64)[0]
+
 
 def precision_recall_at_k(df: DataFrame, k: int, relevant: str = "relevant", retrieved: str = "retrieved") -> DataFrame:
     """Family-aware precision and recall of ranked code lists, with match counts.
@@ -70,37 +79,57 @@ def score_counts(
     schema = T.StructType(
         [
             T.StructField("fold", T.IntegerType()),
-            T.StructField("score", T.LongType()),
-            T.StructField("n", T.LongType()),
+            T.StructField("_part", T.IntegerType()),
+            T.StructField("_counts", T.BinaryType()),
         ]
     )
 
     class Counts(blocks.Total):
-        """Pairs per fold and score, counted over all blocks of a task."""
+        """Pairs per fold and score, counted over all blocks of a task; the counts of many scores are one row."""
 
         def __init__(self) -> None:
             self.of_fold: dict[int, np.ndarray] = {}
 
         def add(self, left: blocks.Block, right: blocks.Block) -> None:
-            scores = blocks.micro_cosines(left, right) + blocks.MICRO
             folds = left.columns["fold"].to_numpy(zero_copy_only=False)
             for value in np.unique(folds).tolist():
-                counts = np.bincount(scores[folds == value].ravel(), minlength=2 * blocks.MICRO + 1)
-                self.of_fold[value] = self.of_fold.get(value, 0) + counts
+                if value not in self.of_fold:
+                    self.of_fold[value] = np.zeros(-(-(2 * blocks.MICRO + 1) // _TOGETHER) * _TOGETHER, np.int64)
+                rows = np.flatnonzero(folds == value)
+                for at in range(0, len(rows), blocks.PRODUCT_ROWS):
+                    scores = left.unit[rows[at:at + blocks.PRODUCT_ROWS]] @ right.unit.T
+                    scores *= blocks.MICRO
+                    # Adding 1.5 * 2^52 rounds to a whole number and leaves it in the lowest bits, where it is counted without a copy.
+                    scores += _ROUNDED
+                    places = scores.view(np.int64)
+                    places -= _LOWEST_BITS
+                    np.add.at(self.of_fold[value], places.ravel(), 1)
 
         def result(self) -> dict[str, pa.Array]:
-            parts = [(value, np.flatnonzero(counts), counts) for value, counts in self.of_fold.items()]
-            none = [np.zeros(0, dtype=np.int64)]
-            found = np.concatenate([places for _, places, _ in parts] or none)
-            return {
-                "fold": pa.array(
-                    np.concatenate([np.full(len(places), value) for value, places, _ in parts] or none), pa.int32()
-                ),
-                "score": pa.array(found - blocks.MICRO),
-                "n": pa.array(np.concatenate([counts[places] for _, places, counts in parts] or none)),
-            }
-
-    parts, _ = blocks.meet(keyed, codes, ["query", "fold"], ["code"], vector, Counts, schema, **limits)
+            rows = []
+            for value, counts in self.of_fold.items():
+                parts = counts.reshape(-1, _TOGETHER)
+                rows += [(value, part, parts[part].tobytes()) for part in np.flatnonzero(parts.any(axis=1)).tolist()]
+            kinds = (pa.int32(), pa.int32(), pa.binary())
+            return {name: pa.array([row[i] for row in rows], kind) for i, (name, kind) in enumerate(zip(schema.names, kinds))}
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, p, c) for batch in batches for f, p, c in zip(*(batch.column(i) for i in range(3))))
+        for (value, part), same in itertools.groupby(rows, key=lambda row: (row[0].as_py(), row[1].as_py())):
+            counts = np.zeros(_TOGETHER, np.int64)
+            for row in same:
+                counts += np.frombuffer(row[2].as_buffer(), np.int64)
+            found = np.flatnonzero(counts)
+            columns = [np.full(len(found), value, np.int32), found + part * _TOGETHER - blocks.MICRO, counts[found]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["fold", "score", "n"])
+
+    if blocks.fits_task(codes, vector, **limits):
+        counted = blocks.beside(keyed, codes, ["query", "fold"], ["code"], vector, Counts, schema)
+    else:
+        sizes = {name: value for name, value in limits.items() if name != "task_bytes"}
+        counted, _ = blocks.meet(keyed, codes, ["query", "fold"], ["code"], vector, Counts, schema, **sizes)
+    dealt = counted.repartition("fold", "_part").sortWithinPartitions("fold", "_part")
+    parts = dealt.mapInArrow(summed, "fold int, score long, n long")
     first = codes.groupBy("code").agg(F.min_by(vector, "ord").alias("_code_vector"))
     relevant = (
         truth.select("query", "code")

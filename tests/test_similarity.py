@@ -552,3 +552,19 @@ def test_low_pairs_are_those_of_all_draws():
     for upto in (0, 5_000, 3_000_000, draws.MODULUS - 1):
         want = np.nonzero(draws.pair_draws(a[:, None], b[None, :]) <= upto)
         assert [x.tolist() for x in draws.low_pairs(a, b, upto)] == [x.tolist() for x in want]
+
+
+def test_scores_are_counted_by_fold(spark):
+    """Counts of all pairs, for blocks of many rows, are those of the rounded cosines."""
+    rng = np.random.default_rng(14)
+    made = np.round(rng.normal(size=(300, 3)), 1).astype(np.float32)
+    frame = spark.createDataFrame([(f"q{i:03d}", i % 3, x.tolist()) for i, x in enumerate(made)], "query string, f int, embedding array<float>")
+    codes = frame.select(F.col("query").alias("code"), F.col("f").alias("ord"), "embedding")
+    truth = spark.createDataFrame([("q000", "q001")], "query string, code string")
+    for limits in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_bytes": 1000}):
+        got = {(r.fold, r.score): (r.n, r.hits) for r in evaluation.score_counts(frame, codes, truth, fold="f", **limits).collect()}
+        want = {}
+        for i, row in enumerate(micro(made, made)):
+            for score in row.tolist():
+                want[i % 3, score] = want.get((i % 3, score), 0) + 1
+        assert {x: n for x, (n, _) in got.items() if n} == want and sum(h for _, h in got.values()) == 1
