@@ -80,7 +80,48 @@ def nearest(
             out[chance] = pa.array(pair_draws(mine[rows], other[columns]))
         return out
 
+    def of_all(left_block: blocks.Block, rights: list[blocks.Block]) -> dict[str, pa.Array]:
+        """The best of all right rows: only cells above the k-th best so far are looked at."""
+        rows, columns, scores = (np.zeros(0, np.int64) for _ in range(3))
+        bound, new, waiting = _lowest_of_best(left_block, rights, k, exclude), [], 0
+        starts = np.cumsum([0, *map(len, rights)])
+        for start, right_block in zip(starts, rights):
+            unit = blocks.unit_rows(right_block.matrix)
+            barred = exclusion_mask(left_block, right_block, exclude, code_key) if exclude else None
+            for at in range(0, len(left_block), blocks.PRODUCT_ROWS):
+                some = slice(at, at + blocks.PRODUCT_ROWS)
+                products = left_block.unit[some] @ unit.T
+                if barred is not None:
+                    products[barred[some]] = -np.inf
+                cells = np.flatnonzero(products >= bound[some, None])
+                values = products.ravel()[cells]
+                if len(cells) and values.min() == -np.inf:
+                    cells, values = cells[values > -np.inf], values[values > -np.inf]
+                new.append((cells // len(unit) + at, cells % len(unit) + start, np.rint(values * blocks.MICRO).astype(np.int64)))
+                waiting += len(cells)
+            if waiting > k * len(left_block):
+                rows, columns, scores = (np.concatenate(x) for x in zip((rows, columns, scores), *new))
+                rows, columns, scores, places = blocks.best_cells(rows, columns, scores, k)
+                new, waiting = [], 0
+                last = places == k - 1
+                # Equal scores further on lose to the ones there.
+                bound[rows[last]] = (scores[last] + 0.25) / blocks.MICRO
+        rows, columns, scores = (np.concatenate(x) for x in zip((rows, columns, scores), *new))
+        rows, columns, scores, places = blocks.best_cells(rows, columns, scores, k)
+        out = {name: left_block.columns[name].take(pa.array(rows)) for name in keys}
+        out[code_key] = pa.chunked_array([b.columns[code_key] for b in rights]).take(pa.array(columns)).combine_chunks()
+        out["similarity"] = pa.array(scores / blocks.MICRO)
+        out["rank"] = pa.array((places + 1).astype(np.int32))
+        if chance:
+            mine = left_block.columns[chance].to_numpy(zero_copy_only=False)[rows]
+            other = np.concatenate([b.columns[chance].to_numpy(zero_copy_only=False) for b in rights])[columns]
+            out[chance] = pa.array(pair_draws(mine, other))
+        return out
+
     right_keep = [code_key] + ([chance] if chance else [])
+    if blocks.fits_task(codes, vector, **limits):
+        return blocks.beside(queries, codes, keep, right_keep, vector, of_all, schema)
+    limits.pop("task_bytes", None)
     parts, n_blocks = blocks.meet(queries, codes, keep, right_keep, vector, kernel, schema, **limits)
     if n_blocks == 1:
         return parts
@@ -88,6 +129,22 @@ def nearest(
     return parts.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
+def _lowest_of_best(left: blocks.Block, rights: list[blocks.Block], k: int, exclude: str | None) -> np.ndarray:
+    """Products that the k best of each left row are not below: the k-th best of a part of the right rows, without those excluded."""
+    total = sum(map(len, rights))
+    most = pa.compute.max(pa.compute.list_value_length(left.columns[exclude])).as_py() or 0 if exclude else 0
+    every = max(1, min(16, total // 2048))
+    units = blocks.unit_rows(np.concatenate([b.matrix[::every] for b in rights]))
+    bound = np.full(len(left), -np.inf)
+    at = len(units) - k - most
+    if at < 0 or not (np.isfinite(units).all() and np.isfinite(left.unit).all()):
+        return bound
+    for start in range(0, len(left), 32):
+        products = left.unit[start:start + 32] @ units.T
+        bound[start:start + 32] = (np.rint(np.partition(products, at, axis=1)[:, at] * blocks.MICRO) - 0.75) / blocks.MICRO
+    return bound
+
+
 def exclusion_mask(
     left: blocks.Block, right: blocks.Block, exclude: str, code_key: str
 ) -> np.ndarray | None:

@@ -182,14 +182,12 @@ def trimmed_positives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def triplet_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = catalog.vectors(spark, folder).select(F.col("query").alias("key"), "embedding")
+    # Whole vectors as text, in millionths, so that both engines write them alike; each is written once and not in every triplet.
+    whole = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",")
+    vectors = materialise(catalog.vectors(spark, folder).select(F.col("query").alias("key"), whole.alias("embedding")))
     attached = mining.triplet_embeddings(triplet_rows(spark, folder), vectors)
-    # Whole vectors as text, in millionths, so that both engines write them alike.
-    whole = [
-        F.array_join(F.transform(f"{role}_embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",").alias(role + "_x")
-        for role in ("anchor", "positives", "negatives")
-    ]
-    return attached.select("specialty", "anchor", "positives", "negatives", *whole)
+    written = [F.col(f"{role}_embedding").alias(role + "_x") for role in ("anchor", "positives", "negatives")]
+    return attached.select("specialty", "anchor", "positives", "negatives", *written)
 
 
 def triplet_accuracy(spark: SparkSession, folder: str) -> DataFrame:

@@ -520,6 +520,27 @@ def test_low_draws_are_the_first_ones(spark, monkeypatch):
     assert len(got[1000]) == 400 and got[1000] == got[3] == got[1]
 
 
+def test_a_task_that_holds_the_pool_finds_the_same(spark):
+    """Nearest codes, percentiles and picks of the path for pools that a task holds, and the plan of it: nothing is merged."""
+    rng = np.random.default_rng(11)
+    made = np.round(rng.normal(size=(5000, 5)), 1).astype(np.float32)  # many equal cosines
+    pool = spark.createDataFrame([(f"c{i}", x.tolist()) for i, x in enumerate(made)], "code string, embedding array<float>").repartition(5)
+    asked = pool.limit(90).select(F.col("code").alias("query"), F.array(F.col("code"), F.lit("c7"), F.lit("none")).alias("positives"), "embedding")
+    asked = asked.unionByName(spark.createDataFrame([("alone", None, [0.0] * 5), ("empty", [], None)], "query string, positives array<string>, embedding array<float>")).cache()
+    held, grid = {"broadcast_bytes": 0, "task_bytes": 1 << 30}, {"broadcast_bytes": 0, "block_bytes": 4000}
+    assert blocks.fits_task(pool, "embedding", **held) and not blocks.fits_task(pool, "embedding", **grid)
+
+    def rows(frame):
+        return sorted(map(tuple, frame.collect()), key=str)
+
+    for k in (1, 30):
+        both = [retrieval.nearest(asked, pool, k, ["query"], "code", "embedding", "positives", **limits) for limits in (held, grid)]
+        assert "Window" not in both[0]._jdf.queryExecution().executedPlan().toString()
+        assert rows(both[0]) == rows(both[1]) and both[0].count() == 91 * k
+    assert rows(mining.similarity_percentiles(asked, pool, (0, 33, 70, 100), **held)) == rows(mining.similarity_percentiles(asked, pool, (0, 33, 70, 100), **grid))
+    assert rows(mining.mine_negatives_band(asked, pool, 10, **held)) == rows(mining.mine_negatives_band(asked, pool, 10, **grid))
+
+
 @pytest.mark.parametrize("pivots", [32768, 20])
 def test_percentiles_do_not_rest_on_the_pivots(monkeypatch, pivots):
     """Every hundredth code lies apart from all others, and with few pivots only these say where to look."""
