@@ -28,23 +28,22 @@ def pair_draws(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def low_pairs(a: np.ndarray, b: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the pairs whose draw is at most ``upto``.
 
-    The remainder of a product is its lower 31 bits plus its upper ones, which are less than the multiplier. So the lower bits alone,
-    in 32-bit numbers, rule out nearly all pairs.
+    The remainder of a product is its lower 31 bits plus its upper ones, which are less than the multiplier, and a factor that is one
+    modulus too high makes these bits less by one multiplier. So the lower bits alone, in the upper 31 of 32-bit numbers, rule out
+    nearly all pairs.
     """
     low, high = ([(x & MODULUS).astype(np.uint32), (x >> 31).astype(np.uint32)] for x in (a, b))
     rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    modulus, multiplier, reach = np.uint32(MODULUS), np.uint32(MULTIPLIER), min(upto + MULTIPLIER, MODULUS)
+    multiplier, shift = np.uint32(2 * MULTIPLIER), np.uint32(4 * MULTIPLIER)
+    reach = np.uint32(min(2 * upto + 4 * MULTIPLIER + 1, (1 << 32) - 1))
     step = max(1, (1 << 18) // max(1, len(b)))
     for start in range(0, len(a), step):
         some = slice(start, start + step)
         x = low[0][some, None] ^ high[0][None, :]
         x += low[1][some, None] ^ high[1][None, :]
-        np.minimum(x, x - modulus, out=x)
         x *= multiplier
-        x &= modulus
-        x += multiplier
-        x &= modulus
-        at = np.flatnonzero(x <= np.uint32(reach))
+        x += shift
+        at = np.flatnonzero(x <= reach)
         row, column = at // len(b) + start, at % len(b)
         close = pair_draws(a[row], b[column]) <= upto
         rows.append(row[close])

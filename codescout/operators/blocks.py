@@ -268,7 +268,10 @@ def beside(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = kernel() if totals else None
         for pieces, streamed in _cells(batches):
-            rights = [block for piece in pieces for block in _blocks([piece], "a_", right_keep, kinds[1], TILE_COLUMNS)]
+            rights: list[Block] = []
+            while pieces:
+                # Taken off the list, so that what came with the vectors is free again.
+                rights += _blocks([pieces.pop(0)], "a_", right_keep, kinds[1], TILE_COLUMNS)
             for piece in streamed:
                 for some in _blocks([piece], "b_", left_keep, kinds[0], TILE_ROWS):
                     for other in rights if totals else rights[:1]:
